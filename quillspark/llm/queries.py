@@ -4,10 +4,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import bpe, orc_output
+from quillspark.llm import bpe, mixing, orc_output, sharding, url_filter, winnow
 from quillspark.llm.common import new_path, table
 
 
+def op1_url_language_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
+
+
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.round_trip(docs, bpe.default_path())
@@ -19,9 +23,28 @@ def op10_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_output.index(spark, path)
 
 
+def op5_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.edited(table(spark, sf_dir, "documents"))
+
+
+def op9_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(table(spark, sf_dir, "documents")).drop("copies")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_language_models": op1_url_language_models,
     "op2_bpe_round_trip": op2_bpe_round_trip,
+    "op5_extendible_shards": op5_extendible_shards,
+    "op7_winnowing": op7_winnowing,
+    "op9_fair_mix": op9_fair_mix,
     "op10_orc_tokens": op10_orc_tokens,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_extendible_shards": sharding.SQL,
+    "op9_fair_mix": mixing.SQL,
+}
