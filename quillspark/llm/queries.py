@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import bpe, mixing, orc_output, sharding, url_filter, winnow
+from quillspark.llm import bpe, embed_dedup, mixing, orc_output, sharding, url_filter, winnow
 from quillspark.llm.common import new_path, table
 
 
@@ -27,6 +27,10 @@ def op5_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op6_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.edited(table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_language_models": op1_url_language_models,
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op5_extendible_shards": op5_extendible_shards,
+    "op6_projection_forest": op6_projection_forest,
     "op7_winnowing": op7_winnowing,
     "op9_fair_mix": op9_fair_mix,
     "op10_orc_tokens": op10_orc_tokens,
