@@ -40,7 +40,7 @@ def byte_alphabet() -> list[str]:
 
 def latin_pattern() -> re.Pattern:
     """The vocabulary file's word pattern for texts in Latin-1; there, NFC changes nothing."""
-    return re.compile(f"{CONTRACTIONS}|[{LATIN_LETTERS}]+|[{LATIN_NUMBERS}]|[^\\s\\x85\\xa0{LATIN_LETTERS}{LATIN_NUMBERS}]+")
+    return re.compile(f"{CONTRACTIONS}|[{LATIN_LETTERS}]+|[{LATIN_NUMBERS}]|[^\\t-\\r \\x85\\xa0{LATIN_LETTERS}{LATIN_NUMBERS}]+")
 
 
 class _Remembered(dict):
