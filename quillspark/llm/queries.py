@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import bpe, embed_dedup, mixing, orc_output, sharding, url_filter, winnow
+from quillspark.llm import bpe, embed_dedup, minhash, mixing, orc_output, sharding, url_filter, winnow
 from quillspark.llm.common import new_path, table
 
 
@@ -23,6 +23,10 @@ def op10_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_output.index(spark, path)
 
 
+def op3_b_bit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.dedup(table(spark, sf_dir, "documents"))
+
+
 def op5_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
@@ -42,6 +46,7 @@ def op9_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_language_models": op1_url_language_models,
     "op2_bpe_round_trip": op2_bpe_round_trip,
+    "op3_b_bit_minhash": op3_b_bit_minhash,
     "op5_extendible_shards": op5_extendible_shards,
     "op6_projection_forest": op6_projection_forest,
     "op7_winnowing": op7_winnowing,
