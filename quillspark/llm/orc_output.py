@@ -14,6 +14,7 @@ import hashlib
 import sys
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,17 +23,34 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm import bpe
+from quillspark.llm.common import saved
 
 END_ID = 1
 ROW_INDEX = 10_000
 STRIPE_BYTES = 64 << 20
 
 
+class _Words(dict):
+    """Word to ids by the library's model; remembers up to ``most`` words."""
+
+    def __init__(self, model, model_size: int, most: int):
+        super().__init__()
+        self.model, self.most = model, most
+        self.ints = list(range(model_size))  # one object for each id
+        self.alphabet = str.maketrans({chr(b): c for b, c in enumerate(bpe.byte_alphabet())})
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        ids = tuple([self.ints[t.id] for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.alphabet))])
+        if len(self) < self.most:
+            self[word] = ids
+        return ids
+
+
 class LibraryEncoder:
     """The tokenizers library, asked once for each word that is not remembered.
 
-    Words of texts in Latin-1 are cut by the vocabulary file's own pattern, and the library encodes the new ones in one
-    call; all other texts, and those with added tokens, go to the library as a whole.
+    Texts in Latin-1 are cut into words by the vocabulary file's own pattern, and the library's model encodes each word;
+    all other texts, and those with added tokens, go to the library as a whole.
     """
 
     def __init__(self, content: bytes, remembered: int = bpe.REMEMBERED):
@@ -43,19 +61,11 @@ class LibraryEncoder:
         self.tokenizer.no_padding()
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.latin = bpe.latin_pattern()
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.remembered = remembered
+        self.words = _Words(self.tokenizer.model, self.tokenizer.get_vocab_size(), remembered)
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _new(self, words: list[str]) -> dict[str, tuple[int, ...]]:
-        got = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
-        out: dict[str, list[int]] = {w: [] for w in words}
-        for at, i in zip(got.word_ids, got.ids):
-            out[words[at]].append(i)
-        return {w: tuple(ids) for w, ids in out.items()}
-
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
@@ -65,27 +75,7 @@ class LibraryEncoder:
             return self.whole(text)
         if "<" in text and any(a in text for a in self.added):
             return self.whole(text)
-        pieces = self.latin.findall(text.lower())
-        known = self.words
-        if new := [w for w in set(pieces) if w not in known]:
-            known = self._new(new)
-            if len(self.words) + len(known) <= self.remembered:
-                self.words |= known
-                known = self.words
-            else:
-                known = _Both(known, self.words)
-        return [i for w in pieces for i in known[w]]
-
-
-class _Both(dict):
-    """A dict that looks in another one for what it lacks."""
-
-    def __init__(self, own: dict, other: dict):
-        super().__init__(own)
-        self.other = other
-
-    def __missing__(self, key):
-        return self.other[key]
+        return list(chain.from_iterable(map(self.words.__getitem__, self.latin.findall(text.lower()))))
 
 
 def worker_encoder(content: bytes) -> LibraryEncoder:
@@ -108,7 +98,9 @@ def write(df: DataFrame, out: str, vocabulary: str, text: str = "text", doc_id:
         for b in batches:
             for a in range(0, b.num_rows, 1000):  # ids take more room than their text
                 c = b.slice(a, 1000)
-                ids = [[*encoder.encode(t.as_py()), end_id] for t in c.column("text")]
+                ids = [encoder.encode(t) for t in c.column("text").to_pylist()]
+                for x in ids:
+                    x.append(end_id)
                 n = c.num_rows
                 yield pa.RecordBatch.from_pydict({"doc_id": c.column("doc_id"), "ids": bpe.id_lists(ids), "part": pa.array(np.full(n, part, np.int32)), "pos": pa.array(np.arange(pos, pos + n, dtype=np.int64))})
                 pos += n
@@ -143,7 +135,7 @@ def index(spark: SparkSession, path: str) -> DataFrame:
             crc = [zlib.crc32(flat[4 * x : 4 * y]) for x, y in zip(ends, ends[1:])]
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "part": b.column("part"), "pos": b.column("pos"), "n_tokens": pa.array(np.diff(ends).astype(np.int64)), "ids_crc32": pa.array(crc, pa.int64())})
 
-    docs = read(spark, path).mapInArrow(run, "doc_id long, part int, pos long, n_tokens long, ids_crc32 long")
+    docs = saved(read(spark, path).mapInArrow(run, "doc_id long, part int, pos long, n_tokens long, ids_crc32 long"), "token-index")
     before = Window.partitionBy("part").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     within = docs.withColumn("before", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
     parts = docs.groupBy("part").agg(F.sum("n_tokens").alias("total"))  # a row for each file
