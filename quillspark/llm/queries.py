@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import bpe, embed_dedup, minhash, mixing, orc_output, sharding, url_filter, winnow
+from quillspark.llm import bpe, embed_dedup, minhash, mixing, orc_output, sharding, suffix, url_filter, winnow
 from quillspark.llm.common import new_path, table
 
 
@@ -39,6 +39,10 @@ def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.edited(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digests(table(spark, sf_dir, "documents"))
+
+
 def op9_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents")).drop("copies")
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_extendible_shards": op5_extendible_shards,
     "op6_projection_forest": op6_projection_forest,
     "op7_winnowing": op7_winnowing,
+    "op8_suffix_blocks": op8_suffix_blocks,
     "op9_fair_mix": op9_fair_mix,
     "op10_orc_tokens": op10_orc_tokens,
 }
