@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import bpe, embed_dedup, minhash, mixing, orc_output, sharding, suffix, url_filter, winnow
+from quillspark.llm import bpe, embed_dedup, minhash, mixing, orc_output, quality, sharding, suffix, url_filter, winnow
 from quillspark.llm.common import new_path, table
 
 
@@ -27,6 +27,10 @@ def op3_b_bit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op5_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_language_models": op1_url_language_models,
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_b_bit_minhash": op3_b_bit_minhash,
+    "op4_weak_label_quality": op4_weak_label_quality,
     "op5_extendible_shards": op5_extendible_shards,
     "op6_projection_forest": op6_projection_forest,
     "op7_winnowing": op7_winnowing,
