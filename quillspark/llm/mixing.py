@@ -23,6 +23,7 @@ SHARE = 1.5
 MOST = 2
 #: Ranges of finish time at each of the levels of the search for the cut.
 RANGES = 4096
+NEW = ("size", "source_size", "target", "copies", "taken")
 LEVELS = 3
 
 
@@ -96,13 +97,13 @@ def cut(rows: DataFrame) -> tuple[float, str] | None:
 def mix(df: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
     """Adds ``size, source_size, target, copies`` (0 to 2) and ``taken`` (size times copies) to every row."""
     spark = df.sparkSession
-    new = ("size", "source_size", "target", "copies", "taken")
-    rows = df.drop(*[c for c in new if c not in (text, source, doc_id)]).withColumn("size", words(F.col(text)))
-    narrow_path = new_path(spark, "mixing")
-    placed(rows.select(doc_id, source, "size"), source, doc_id).select("key", "size", "source_size", "target", "budget", "_end").write.parquet(narrow_path)
-    last = cut(spark.read.parquet(narrow_path))
-    drop_path(spark, narrow_path)
-    return _decided(placed(rows, source, doc_id), last)
+    old = [F.col(c) for c in df.columns if c not in NEW or c in (text, source, doc_id)]
+    rows = df.select(F.struct(*old).alias("row"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words(F.col(text)).alias("size"))
+    path = new_path(spark, "mixing")
+    placed(rows.drop("row"), "source", "doc_id").select("key", "size", "source_size", "target", "budget", "_end").write.parquet(path)
+    last = cut(spark.read.parquet(path))
+    drop_path(spark, path)
+    return _decided(placed(rows, "source", "doc_id"), last).select("row.*", *[c for c in NEW if c not in (text, source, doc_id)])
 
 
 def _decided(rows: DataFrame, last: tuple[float, str] | None) -> DataFrame:
@@ -125,9 +126,10 @@ def plan(df: DataFrame, text: str = "text", source: str = "source", doc_id: str
     return _decided(rows, cut(rows)).select("doc_id", "size", "source_size", "target", "copies", "taken")
 
 
-def expand(mixed: DataFrame) -> DataFrame:
-    """The mix itself: each row as often as it is taken, without the columns that ``mix`` added."""
-    return mixed.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).drop("_copy", "size", "source_size", "target", "copies", "taken")
+def expand(df: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
+    """The mix itself: each row of ``df``, with its own columns only, as often as it is taken."""
+    whole = mix(df.select(F.struct("*").alias("_row"), F.col(text).alias("_t"), F.col(source).alias("_s"), F.col(doc_id).alias("_d")), "_t", "_s", "_d")
+    return whole.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
 
 
 SQL = r"""

@@ -57,7 +57,8 @@ def directory(rows: DataFrame, limit: int) -> list[tuple[int, DataFrame]]:
 def assign(df: DataFrame, limit: int = LIMIT_BYTES, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Adds ``n_bytes``, ``shard`` (the bits of its bucket; after a dot, the part of one that was cut) and ``depth``."""
     bytes_ = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
-    rows = df.drop(*[c for c in ("n_bytes", "shard", "depth") if c not in (text, key)]).withColumns({"n_bytes": bytes_, "_hash": key_hash(F.col(key))})
+    old = [F.col(c) for c in df.columns if c not in ("n_bytes", "shard", "depth") or c in (text, key)]
+    rows = df.select(F.struct(*old).alias("row"), bytes_.alias("n_bytes"), key_hash(F.col(key)).alias("_hash"))
     narrow = saved(rows.select("_hash", "n_bytes"), "sizes")
     out, depth, cut = rows, F.lit(None).cast("int"), F.lit(None).cast("boolean")
     for bits, cells in directory(narrow, limit):
@@ -74,7 +75,8 @@ def assign(df: DataFrame, limit: int = LIMIT_BYTES, text: str = "text", key: str
     half = limit / 2  # rows of at most half the limit that start in one half-limit stretch fit together; larger ones stand alone
     piece = F.when(F.col("n_bytes") > half, F.concat(F.lit("r"), F.col("_nth"))).otherwise(F.floor((F.col("_run") - F.col("n_bytes")) / half).cast("string"))
     parts = parts.withColumn("shard", F.concat_ws(".", shard, F.col("_part"), piece)).drop("_part", "_run", "_nth")
-    return whole.unionByName(parts).drop("_hash", "_cut")
+    new = [c for c in ("n_bytes", "shard", "depth") if c not in (text, key)]
+    return whole.unionByName(parts).select("row.*", *new)
 
 
 def write(assigned: DataFrame, out: str) -> None:

@@ -240,20 +240,19 @@ def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 
 
 def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents with their repeats cut out of ``text``; bytes of a character that is cut in two are dropped with it."""
-    columns = docs.columns
-    rows = keyed(docs, doc_id, text) if not {"doc", "tid", "cuts"} & set(columns) else None
-    if rows is None:
-        raise ValueError("columns named doc, tid or cuts must be renamed first")
-    out = rows.join(repeats(rows, text), ["doc", "tid"], "left").select(*columns, "cuts")
+    """The documents with their repeats cut out of ``text``; bytes of a character that is cut in two go with it."""
+    rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    rows = keyed(rows, "id", "text")
+    cuts = repeats(rows.select("doc", "tid", "text"), "text")
+    out = rows.join(cuts, ["doc", "tid"], "left").select("row", "text", "cuts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = b.schema.get_field_index(text)
             new = []
-            for t, c in zip(b.column(at), b.column("cuts").to_pylist()):
+            for t, c in zip(b.column("text"), b.column("cuts").to_pylist()):
                 t = t.as_py()
                 new.append(apply_cuts(t.encode("utf-8", "surrogatepass"), c)[0].decode("utf-8", "ignore") if c else t)
-            yield b.set_column(at, b.schema.field(at), pa.array(new, b.schema.field(at).type)).drop_columns(["cuts"])
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(new, pa.string())], names=["row", "text"])
 
-    return out.mapInArrow(run, docs.schema)
+    done = out.mapInArrow(run, f"row {out.schema['row'].dataType.simpleString()}, text string")
+    return done.select(*[F.col("text").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns])

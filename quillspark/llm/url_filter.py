@@ -116,11 +116,12 @@ def calibrated(scored: DataFrame) -> float:
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, url: str = "url", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Adds ``host, path, rule, verdict, score, cut`` to every row; columns of these names are replaced."""
     new = ("host", "path", "rule", "verdict", "score", "cut")
-    pages = pages.drop(*[c for c in new if c != url])
-    h, p = host(F.col(url)), path(F.col(url))
+    old = [F.col(c) for c in pages.columns if c not in new or c == url]
+    pages = pages.select(F.struct(*old).alias("row"), F.col(url).alias("_url"))
+    h, p = host(F.col("_url")), path(F.col("_url"))
     rule, verdict = ruled(h, p, rules)
     is_ = lambda v: F.sum(F.when(verdict == v, 1).otherwise(0))
-    texts = saved(pages.groupBy(normalised(F.col(url)).alias("text")).agg(is_("allow").alias("a"), is_("block").alias("r")), "urls")
+    texts = saved(pages.groupBy(normalised(F.col("_url")).alias("text")).agg(is_("allow").alias("a"), is_("block").alias("r")), "urls")
     seen = texts.select("text", "a", "r", F.explode(grams(F.col("text"))).alias("gram"))
     counted = saved(seen.groupBy("gram").agg(F.sum("a").alias("a"), F.sum("r").alias("r")), "grams")
     weights = saved(model(counted), "model")
@@ -130,12 +131,10 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, url: str = "url", b
         seen.join(weights, "gram").groupBy("text").agg(F.first("a").alias("a"), F.first("r").alias("r"), mean("llr").alias("score"), mean("llr_a").alias("score_a"), mean("llr_r").alias("score_r")), "scored"
     )
     cut = calibrated(scored)
-    out = pages.withColumns({"_text": normalised(F.col(url)), "_host": h, "_path": p})
+    out = pages.withColumns({"_text": normalised(F.col("_url")), "_host": h, "_path": p})
     rule, verdict = ruled(F.col("_host"), F.col("_path"), rules)
     out = out.withColumns({"rule": rule, "_verdict": verdict})
     out = out.join(scored.select(F.col("text").alias("_text"), "score"), "_text", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     by_model = F.when(F.col("score") >= cut, "allow").otherwise("block")
     out = out.withColumn("verdict", F.coalesce("_verdict", by_model)).withColumn("cut", F.lit(cut))
-    if url in ("host", "path"):
-        return out.drop("_text", "_host", "_path", "_verdict")
-    return out.withColumnsRenamed({"_host": "host", "_path": "path"}).drop("_text", "_verdict")
+    return out.withColumnsRenamed({"_host": "host", "_path": "path"}).select("row.*", *[c for c in new if c != url])
