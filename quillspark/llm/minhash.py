@@ -6,9 +6,10 @@ number of equal slots of two signatures, corrected for chance collisions, estima
 candidates (well below the threshold); those that remain are confirmed on their full sets.
 
 Groups of copies never become all their pairs. Documents with the same words in the same order are one class, of which
-one goes on. In each bucket all are paired with its smallest document first; when these links are confirmed and joined to
-components, only pairs whose ends are still apart are looked at. Links within a component could not change the result.
-Large buckets are joined by Spark's skew join, never gathered.
+one goes on. In each bucket all are paired with its smallest node first; when these links are confirmed and joined to
+components, only buckets with several components are looked at again. There, signatures are compared block by block
+within a task, and only promising pairs whose ends are still apart come out, each in the first band that they share.
+Links within a component could not change the result. No task holds a large bucket: it is cut into pairs of blocks.
 
 Texts without words have an empty set and link with nothing; with fewer than five words the whole sequence is the one
 shingle. Null texts count as empty. Rows without an id can take no links: their component is null, and they are kept.
@@ -27,15 +28,18 @@ from quillspark.llm.common import saved
 
 SHINGLE = 5
 SIMILARITY = (75, 100)
-PERMUTATIONS = 128
-#: Minima in a band: two sets at similarity .75 share one of the 32 bands of 4 with probability 1 - 5e-6.
+PERMUTATIONS = 768
+#: The first minima make BANDS bands of ROWS: two sets at similarity .75 share a band with probability 1 - 5e-6.
+BANDS = 32
 ROWS = 4
 BITS = 2
 #: Standard errors below the threshold at which an estimate drops a candidate.
-MARGIN = 5.0
+MARGIN = 4.0
 SEED = 1_000_003
 #: Shingles permuted at once.
-CHUNK = 512
+CHUNK = 256
+#: Rows of a bucket that are compared in one task; larger buckets are cut into pairs of such blocks.
+BLOCK = 1024
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -91,7 +95,7 @@ def packed(mins: np.ndarray) -> np.ndarray:
 
 
 def bands(mins: np.ndarray) -> np.ndarray:
-    rows = mins.reshape(-1, ROWS)
+    rows = mins[: BANDS * ROWS].reshape(BANDS, ROWS)
     key = np.arange(len(rows), dtype=np.uint64)
     for j in range(ROWS):
         key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, j])
@@ -127,10 +131,9 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
                     sig.append(packed(m))
                     keys.append(bands(m))
                 sig, flat = np.array(sig).reshape(-1, LONGS), np.concatenate([*keys, np.zeros(0, np.int64)])
-                per = PERMUTATIONS // ROWS
                 cols = {"doc_id": c.column("doc_id"), "n_shingles": pa.array(n, pa.int64()), "node": pa.array(nodes, pa.int64())}
                 cols |= {f"s{i}": pa.array(np.ascontiguousarray(sig[:, i])) for i in range(LONGS)}
-                yield pa.RecordBatch.from_pydict(cols | {"bands": pa.ListArray.from_arrays(pa.array(np.arange(0, per * len(n) + 1, per, dtype=np.int32)), pa.array(flat))})
+                yield pa.RecordBatch.from_pydict(cols | {"bands": pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(n) + 1, BANDS, dtype=np.int32)), pa.array(flat))})
 
     sig = ", ".join(f"s{i} long" for i in range(LONGS))
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id long, n_shingles long, node long, {sig}, bands array<long>")
@@ -178,13 +181,18 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, own_set = None, None
         part, whole = SIMILARITY
+        known: dict[int, np.ndarray] = {}  # sets of nodes seen lately, which come back with other partners
         for batch in batches:
             out_a, out_b, linked = [], [], []
             for a, b, t in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("text")):
-                h = shingles(words(t.as_py()))
                 if b is None:
-                    own, own_set = a, h
+                    own, own_set = a, shingles(words(t.as_py()))
                     continue
+                if b not in known:
+                    if len(known) >= 2000:
+                        known.clear()
+                    known[b] = shingles(words(t.as_py()))
+                h = known[b]
                 assert own == a
                 both = len(np.intersect1d(own_set, h, assume_unique=True))
                 out_a.append(a)
@@ -207,13 +215,79 @@ def apart(pairs: DataFrame, component: DataFrame) -> DataFrame:
     return _labelled(pairs, component, "a", "b").where("c_a <> c_b").select(*pairs.columns)
 
 
-def across(buckets: DataFrame, component: DataFrame) -> DataFrame:
-    """Pairs within a bucket whose ends are in different components; buckets of one component are left out first."""
+SIGNATURE = [f"s{i}" for i in range(LONGS)]
+
+
+def across(buckets: DataFrame, component: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Promising pairs ``a, b`` within a bucket whose ends are in different components; buckets of one are left out first."""
     rows = saved(_labelled(buckets.select("key", "node"), component, "node"), "labelled")
-    mixed = rows.groupBy("key").agg(F.min("c_node").alias("low"), F.max("c_node").alias("high")).where("low < high").select("key")
-    rows = saved(rows.join(mixed, "key", "left_semi"), "mixed")
-    x, y = rows.toDF("key", "a", "c_a"), rows.toDF("key", "b", "c_b")
-    return x.join(y, "key").where("a < b and c_a <> c_b").select("a", "b").distinct()
+    mixed = rows.groupBy("key").agg(F.min("c_node").alias("low"), F.max("c_node").alias("high"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("low < high")
+    rows = rows.join(mixed.select("key", "blocks"), "key").join(nodes.select("node", "bands", *SIGNATURE), "node")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    partners = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("low"), F.greatest("block", o).alias("high")))
+    cells = rows.withColumn("cell", F.explode(partners)).select("key", F.col("cell.low").alias("low"), F.col("cell.high").alias("high"), "block", "node", "c_node", "bands", *SIGNATURE)
+    cells = cells.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    least = least_estimate()
+
+    def compare(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        node, own, block, key = (rows.column(c).to_numpy() for c in ("node", "c_node", "block", "key"))
+        sig = np.stack([rows.column(c).to_numpy() for c in SIGNATURE], axis=1).view(np.uint64)
+        bands_ = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        band = int(np.argmax(bands_[0] == key[0]))
+        same = rows.column("low")[0] == rows.column("high")[0]
+        out_a, out_b = [], []
+        for i in range(len(node) - 1):
+            j = np.arange(i + 1, len(node))
+            j = j[(own[j] != own[i]) & (same | (block[j] != block[i]))]
+            if len(j):
+                j = j[similarity(sig[i], sig[j]) >= least]
+                j = j[~(bands_[j, :band] == bands_[i, :band]).any(axis=1)]
+                out_a.append(np.minimum(node[i], node[j]))
+                out_b.append(np.maximum(node[i], node[j]))
+        none = np.zeros(0, np.int64)
+        return np.concatenate([none, *out_a]), np.concatenate([none, *out_b])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups(batches, ("key", "low", "high")):
+            a, b = compare(group)
+            if len(a):
+                yield pa.RecordBatch.from_pydict({"a": pa.array(a), "b": pa.array(b)})
+
+    return cells.mapInArrow(run, "a long, b long")
+
+
+def groups(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Runs of rows with equal values of ``by``, one after another."""
+    rest: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        columns = [b.column(c).to_numpy() for c in by]
+        new = np.zeros(b.num_rows, bool)
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        new[0] = bool(rest) and any(rest[-1].column(c)[-1] != b.column(c)[0] for c in by)
+        cuts = [0, *np.flatnonzero(new).tolist(), b.num_rows]
+        for x, y in zip(cuts, cuts[1:]):
+            if rest and (x or new[0]):
+                yield pa.Table.from_batches(rest)
+                rest = []
+            if y > x:
+                rest.append(b.slice(x, y - x))
+    if rest:
+        yield pa.Table.from_batches(rest)
+
+
+def similarity(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``estimate`` of one packed signature and each row of others."""
+    d = x ^ y
+    any_bit = d.copy()
+    for k in range(1, BITS):
+        any_bit |= d >> np.uint64(k)
+    slots = np.uint64(sum(1 << (BITS * i) for i in range(64 // BITS)))
+    equal = 1 - np.bitwise_count(any_bit & slots).sum(axis=-1, dtype=np.int64) / PERMUTATIONS
+    chance = 0.5**BITS
+    return (equal - chance) / (1 - chance)
 
 
 def node_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -228,14 +302,13 @@ def node_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.join(wanted, "doc_id").select("node", "text").mapInArrow(run, "node long, text string")
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each document: ``doc_id, n_shingles, component_id, kept``."""
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+def components_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From ``doc_id, text``: (a row ``doc_id, n_shingles, node`` for each document, ``node, component_id, first_id, component`` of each node)."""
     rows = saved(signatures(docs), "signatures")
     members = rows.where("node is not null and doc_id is not null")
     classes = saved(members.groupBy("node").agg(F.min("doc_id").alias("first_id")), "classes")
     one = members.join(classes, "node").where("doc_id = first_id").dropDuplicates(["node"])
-    nodes = saved(one.select("node", "doc_id", "bands", *[f"s{i}" for i in range(LONGS)]), "nodes")
+    nodes = saved(one.select("node", "doc_id", "bands", *SIGNATURE), "nodes")
     keyed = nodes.select("node", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last")
     buckets = saved(keyed.join(shared.select("key", "first"), "key"), "buckets")
@@ -247,16 +320,40 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     tested = saved(confirmed(best, texts), "confirmed")
     component = saved(graph.components(tested.where("linked")), "joined")
     for step in ("stars", "buckets"):  # after the stars, whatever else shares a bucket and is still apart
-        todo = stars.select("a", "b") if step == "stars" else across(buckets, component)
-        todo = apart(todo, component).join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        todo = saved(todo if step == "stars" else promising(todo, nodes).select("a", "b"), "todo")
+        todo = apart(stars.select("a", "b"), component) if step == "stars" else across(buckets, component, nodes)
+        todo = saved(todo.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "todo")
         if not todo.isEmpty():
             tested = tested.unionAll(saved(confirmed(todo, texts), "confirmed"))
             component = saved(graph.components(tested.where("linked")), "joined")
 
-    whole = _labelled(classes, component, "node")
-    smallest = whole.groupBy("c_node").agg(F.min("first_id").alias("component_id"))
-    of_node = whole.join(smallest, "c_node").select("node", "component_id")
-    out = rows.select("doc_id", "n_shingles", "node").join(of_node, "node", "left")
+    whole = _labelled(classes, component, "node").withColumnRenamed("c_node", "component")
+    smallest = whole.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    return rows.select("doc_id", "n_shingles", "node"), saved(whole.join(smallest, "component"), "components")
+
+
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row for each document: ``doc_id, n_shingles, component_id, kept``."""
+    rows, nodes = components_of(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
+    out = rows.join(nodes.select("node", "component_id"), "node", "left")
     id_ = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", id_.alias("component_id"), id_.eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: of each component the document of the smallest id, once.
+
+    Rows without words or without an id stay.
+    """
+    _, nodes = components_of(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
+    chosen = nodes.where("first_id = component_id").groupBy("component").agg(F.min("node").alias("node"), F.min("first_id").alias("id"))
+    packed = docs.select(F.struct("*").alias("row"), F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            node = [node_of(words(t.as_py())) for t in b.column("t")]
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("id"), pa.array(node, pa.int64())], names=["row", "id", "node"])
+
+    rows = packed.mapInArrow(run, f"row {packed.schema['row'].dataType.simpleString()}, id long, node long")
+    free = rows.where("node is null or id is null").select("row.*")
+    once = rows.where("node is not null and id is not null").join(chosen.select("node", "id"), ["node", "id"]).groupBy("node", "id").agg(F.first("row").alias("row"))
+    return free.unionAll(once.select("row.*"))
