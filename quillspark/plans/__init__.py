@@ -1,6 +1,6 @@
 """All queries of the engine and the SQL that gives the same rows."""
 
-from quillspark.plans import retrieval
+from quillspark.plans import chat, reports, retrieval
 from quillspark.plans.common import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "retrieval"]
+__all__ = ["QUERIES", "SQL", "chat", "reports", "retrieval"]
