@@ -5,7 +5,7 @@ allow and block train two variable-order Markov models over normalised URLs: eac
 next shorter one, with a weight that follows how often the context was seen, down to equal chances. A URL without a
 rule is judged by the mean over its characters of the log-likelihood difference (accepted less rejected). The cut is
 calibrated on the ruled URLs, whose own occurrences are left out of the counts that score them: the score with the
-largest sum of the shares of allowed and blocked URLs that it puts right.
+largest sum of the shares of allowed and blocked URLs that it puts right, in the middle of the gap between the two.
 
 The alphabet is closed (``ALPHABET`` symbols), so a model has at most ALPHABET ** ORDER rows whatever the input's size;
 counts cover all URLs. Scores are summed as integers, so reruns agree. Everything runs as DataFrame operations.
@@ -109,8 +109,9 @@ def calibrated(scored: DataFrame) -> float:
     below = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # over at most a few thousand bins
     right = F.coalesce(F.sum("r").over(below), F.lit(0)) / F.sum("r").over(Window.partitionBy()) - F.coalesce(F.sum("a").over(below), F.lit(0)) / F.sum("a").over(Window.partitionBy())
     best = bins.withColumn("right", F.when((F.sum("a").over(Window.partitionBy()) > 0) & (F.sum("r").over(Window.partitionBy()) > 0), right))
-    first = best.where("right is not null").orderBy(F.desc("right"), F.abs("bin"), "bin").select("bin").first()
-    return first["bin"] / BINS if first else 0.0
+    best = best.withColumn("last", F.coalesce(F.lag("bin").over(Window.orderBy("bin")) + 1, F.col("bin")))  # the end of the bin before
+    first = best.where("right is not null").orderBy(F.desc("right"), F.abs("bin"), "bin").select("last", "bin").first()
+    return (first["last"] + first["bin"]) / 2 / BINS if first else 0.0
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, url: str = "url", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
