@@ -71,20 +71,32 @@ def statistics(tf: DataFrame, n: DataFrame, key: str) -> DataFrame:
     return tf.groupBy(key).agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select(key, "df", idf(F.col("n"), F.col("df")).alias("idf"))
 
 
+def lengths(sections: DataFrame) -> DataFrame:
+    """``section_id, length``: weighted words of each section; needs no stems and no grouping by term."""
+    n = T.terms(fields(sections), "value").groupBy("section_id").agg(F.sum("weight").alias("length"))
+    return sections.select("section_id").join(n, "section_id", "left").fillna(0, ["length"])
+
+
 def build(sections: DataFrame, with_bigrams: bool = False, keep: bool = True) -> Index:
+    """The plans of all tables; with ``keep``, lengths stay in memory for the searches that follow."""
     sections = cleaned(sections)
     tf = postings(sections)
-    tf = tf.cache() if keep else tf
-    lengths = sections.select("section_id").join(tf.groupBy("section_id").agg(F.sum("tf").alias("length")), "section_id", "left").fillna(0, ["length"])
-    corpus = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("avg_len"))
+    size = lengths(sections).cache() if keep else lengths(sections)
+    corpus = size.agg(F.count("*").alias("n"), F.avg("length").alias("avg_len"))
     n = corpus.select("n")
-    out = Index(sections, tf, lengths, statistics(tf, n, "term"), corpus)
+    out = Index(sections, tf, size, statistics(tf, n, "term"), corpus)
     if with_bigrams:
         out.bigrams = bigram_postings(sections)
         out.pairs = statistics(out.bigrams, n, "pair")
     return out
 
 
+def only(index: Index, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Postings and statistics of the ``wanted`` terms alone: the filter goes below the counting of postings."""
+    tf = index.postings.join(F.broadcast(wanted.select("term").distinct()), "term", "left_semi")
+    return tf, statistics(tf, index.corpus.select("n"), "term")
+
+
 def display_forms(sections: DataFrame) -> DataFrame:
     """``term, display``: the most frequent written form, the first seen of equals (by section and place)."""
     forms = T.terms(sections.select("section_id", "text"), "text").groupBy("term", "word").agg(F.count("*").alias("n"), F.min(F.struct("section_id", "pos")).alias("first"))

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import distance, text as T
-from quillspark.operators.index import B, K1, Index, bm25, vocabulary
+from quillspark.operators.index import K1, Index, bm25, only, statistics, vocabulary
 
 # Fixed values of the ranking.
 SYNONYM_WEIGHT, SYNONYM_ONLY_WEIGHT, TYPO_WEIGHT, PREFIX_WEIGHT = 0.6, 0.9, 0.7, 0.5
@@ -36,8 +36,9 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 def plain_search(index: Index, queries: DataFrame, limit: int = LIMIT, min_score: float = 0.0) -> DataFrame:
     """``qid, rank, section_id, score``: BM25 over exact terms; ties go to the larger section id."""
-    q = query_terms(queries).select("qid", "term")
-    hits = q.join(index.postings, "term").join(index.terms, "term").join(index.lengths, "section_id").crossJoin(F.broadcast(index.corpus.select("avg_len")))
+    q = query_terms(queries).select("qid", "term").cache()
+    tf, stats = only(index, q)
+    hits = q.join(tf.cache(), "term").join(stats, "term").join(index.lengths, "section_id").crossJoin(F.broadcast(index.corpus.select("avg_len")))
     score = hits.groupBy("qid", "section_id").agg(F.sum(bm25(F.col("tf"), F.col("length"), F.col("avg_len"), F.col("idf"))).alias("score"))
     return top(score.where(F.col("score") >= min_score), limit)
 
@@ -49,9 +50,7 @@ def top(scored: DataFrame, limit: int) -> DataFrame:
 
 
 def misspelled_question_word(word: Column) -> Column:
-    near = F.lit(False)
-    for q in QUESTION_WORDS:
-        near = near | distance.within_one(word, F.lit(q))
+    near = F.exists(F.array(*map(F.lit, QUESTION_WORDS)), lambda q: distance.within_one(word, q))
     return word.isin(WHAT_TYPOS) | ((F.length(word) >= 4) & near)
 
 
@@ -66,9 +65,13 @@ def typo_corrections(unknown: DataFrame, index_terms: DataFrame) -> DataFrame:
     vocab = vocabulary(index_terms).withColumnRenamed("term", "guess")
     short = words.where(F.length("term") < 8).withColumn("key", F.explode(distance.deletions(F.col("term"), 1)))
     short = short.join(vocab.where(F.length("guess") <= 8).withColumn("key", F.explode(distance.deletions(F.col("guess"), 1))), "key")
-    long = words.where(F.length("term") >= 8).withColumn("key", F.explode(distance.deletions(F.col("term"), 2)))
-    long = long.join(vocab.where(F.length("guess") >= 6).withColumn("key", F.explode(distance.deletions(F.col("guess"), 2))), "key")
-    pairs = short.select("term", "guess", "df").unionAll(long.select("term", "guess", "df")).distinct()
+    pairs = short.select("term", "guess", "df")
+    long = words.where(F.length("term") >= 8).cache()
+    if not long.isEmpty():  # the neighbourhood of two deletions is large; it is only made when a long word needs it
+        long = long.withColumn("key", F.explode(distance.deletions(F.col("term"), 2)))
+        long = long.join(vocab.where(F.length("guess") >= 6).withColumn("key", F.explode(distance.deletions(F.col("guess"), 2))), "key")
+        pairs = pairs.unionAll(long.select("term", "guess", "df"))
+    pairs = pairs.distinct()
     near = pairs.withColumn("dist", distance.alignment_column(F.col("term"), F.col("guess"))).where(F.col("dist") <= limit)
     w = Window.partitionBy("term").orderBy("dist", F.desc("df"), "guess")
     return near.withColumn("nth", F.row_number().over(w)).where("nth = 1").select("term", "guess", "dist")
@@ -156,14 +159,15 @@ def score(index: Index, queries: DataFrame, groups: DataFrame, interests: DataFr
     """
     active = groups.where(F.size("alternatives") > 0)
     alts = active.select("qid", "pos", F.posexplode("alternatives").alias("alt", "a")).select("qid", "pos", "alt", F.col("a.weight").alias("weight"), F.explode("a.terms").alias("term"))
-    hits = alts.join(index.postings, "term").join(index.terms, "term").join(index.lengths, "section_id").crossJoin(F.broadcast(index.corpus.select("avg_len")))
+    tf, stats = only(index, alts)
+    hits = alts.join(tf.cache(), "term").join(stats, "term").join(index.lengths, "section_id").crossJoin(F.broadcast(index.corpus.select("avg_len")))
     each = hits.groupBy("qid", "section_id", "pos", "alt").agg((F.first("weight") * F.sum(bm25(F.col("tf"), F.col("length"), F.col("avg_len"), F.col("idf")))).alias("s"))
     best = each.groupBy("qid", "section_id", "pos").agg(F.max("s").alias("s")).where("s > 0")
     words = best.groupBy("qid", "section_id").agg(F.sum("s").alias("words"), F.count("*").alias("matched"))
     info = active.groupBy("qid").agg(F.count("*").alias("active"), F.array_distinct(F.flatten(F.flatten(F.collect_list(F.col("alternatives.terms"))))).alias("asked"))
     info = info.join(queries.select("qid", T.question_hints(F.col("query")).alias("hints")), "qid")
 
-    feats = features(index.sections)
+    feats = features(index.sections).cache()
     rows = words.join(F.broadcast(info), "qid").join(feats, "section_id")
     if index.bigrams is not None:
         order = Window.partitionBy("qid").orderBy("pos")
@@ -172,7 +176,8 @@ def score(index: Index, queries: DataFrame, groups: DataFrame, interests: DataFr
         pairs = follows.select("qid", last.alias("first"), "second").withColumn("pair", F.concat_ws(" ", "first", "second"))
         folders = feats.select(F.explode("folder_terms").alias("t")).distinct()
         named = pairs.join(folders.select(F.col("t").alias("first"), F.lit(True).alias("f1")), "first", "left").join(folders.select(F.col("t").alias("second"), F.lit(True).alias("f2")), "second", "left")
-        in_text = named.join(index.bigrams, "pair").join(index.pairs, "pair").join(feats.select("section_id", "folder_terms"), "section_id")
+        bigrams = index.bigrams.join(F.broadcast(pairs.select("pair").distinct()), "pair", "left_semi").cache()
+        in_text = named.join(bigrams, "pair").join(statistics(bigrams, index.corpus.select("n"), "pair"), "pair").join(feats.select("section_id", "folder_terms"), "section_id")
         own = lambda flag, c: F.col(flag).isNull() | F.array_contains("folder_terms", F.col(c))
         in_text = in_text.where(own("f1", "first") & own("f2", "second"))
         add = in_text.groupBy("qid", "section_id").agg(F.sum(BIGRAM_WEIGHT * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1)).alias("pairs"))

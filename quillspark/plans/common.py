@@ -28,15 +28,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A few small files give fewer partitions than there are cores; only then rows are dealt anew."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def text_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as sections that have a text only."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("section_id"), "text")
+    return spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("section_id"), "text"))
 
 
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as sections: the source is the project, the first two words the title, the third the heading."""
     ws = F.split(F.trim("text"), r"\s+")
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         F.col("doc_id").alias("section_id"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"),
         F.array_join(F.slice(ws, 1, 2), " ").alias("page_title"), F.coalesce(F.get(ws, F.lit(2)), F.lit("")).alias("heading"), "text", F.col("lang").alias("meta"),
     )
