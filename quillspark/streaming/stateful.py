@@ -35,25 +35,23 @@ def cooldown_batch(events: DataFrame, gap: int, key: str = "user_id", at: str =
     return events.repartition(key).sortWithinPartitions(key, at, tie).mapInPandas(run, events.schema)
 
 
-def cooldown_stream(events: DataFrame, gap_seconds: int, key: str = "user_id", ts: str = "ts") -> DataFrame:
-    """The same on a stream: ``key, ts`` of accepted messages; state is the last accepted time, forgotten after a day."""
+def cooldown_stream(events: DataFrame, gap_seconds: int, late: str = "1 minute", key: str = "user_id", ts: str = "ts") -> DataFrame:
+    """The same on a stream: ``key, ts`` of accepted messages. State is the last accepted time; it goes when the watermark is past the cooldown."""
 
     def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         last = state.get[0] if state.exists else None
-        for f in frames:
-            f = f.sort_values(ts)
-            flags, last = accepted((f[ts].astype("int64") // 1000).tolist() if str(f[ts].dtype).endswith("ns]") else f[ts].astype("int64").tolist(), gap_seconds * 1_000_000, last)
-            yield pd.DataFrame({key: [k[0]] * sum(flags), ts: f[ts][flags]})
-        if last is not None:
-            state.update((last,))
-        state.setTimeoutDuration(86_400_000)
-
-    out = events.select(key, ts).groupBy(key)
+        seen = pd.concat(list(frames)).sort_values(ts)
+        flags, last = accepted(seen[ts].astype("datetime64[us]").astype("int64").tolist(), gap_seconds * 1_000_000, last)
+        state.update((last,))
+        state.setTimeoutTimestamp(max(last // 1000 + gap_seconds * 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({key: [k[0]] * sum(flags), ts: seen[ts][flags]})
+
+    out = events.select(key, ts).withWatermark(ts, late).groupBy(key)
     schema = f"{key} {events.schema[key].dataType.simpleString()}, {ts} {events.schema[ts].dataType.simpleString()}"
-    return out.applyInPandasWithState(run, schema, "last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return out.applyInPandasWithState(run, schema, "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def merged_answers(events: DataFrame, gap: str = "10 seconds", late: str = "1 minute", key: str = "user_id", ts: str = "ts") -> DataFrame:
