@@ -91,11 +91,13 @@ def analyze(index: Index, queries: DataFrame, synonyms: DataFrame, names: DataFr
 
     ``synonyms``: (word, synonym). ``names``: terms of names that are never corrected to something else.
     """
-    known = index.terms.select("term", F.lit(True).alias("known"))
-    q = query_terms(queries).join(known, "term", "left").withColumn("known", F.coalesce("known", F.lit(False)))
     of_word = _synonym_terms(synonyms)
+    q = query_terms(queries)
+    wanted = q.select("term").unionAll(of_word.select("s")).distinct()
+    there = index.postings.join(F.broadcast(wanted), "term", "left_semi").select("term").distinct().cache()
+    q = q.join(there.withColumn("known", F.lit(True)), "term", "left").withColumn("known", F.coalesce("known", F.lit(False)))
     usable = q.select("qid", "term", "word").join(of_word, q["word"] == of_word["w"]).where("s <> term")
-    usable = usable.join(index.terms.select(F.col("term").alias("s")), "s", "left_semi").groupBy("qid", "term").agg(F.array_sort(F.collect_list(F.struct("at", "s"))).alias("found"))
+    usable = usable.join(there.withColumnRenamed("term", "s"), "s", "left_semi").groupBy("qid", "term").agg(F.array_sort(F.collect_list(F.struct("at", "s"))).alias("found"))
     q = q.join(usable.select("qid", "term", F.col("found.s").alias("synonym")), ["qid", "term"], "left")
     protected = names.select(F.col("term"), F.lit(True).alias("name")) if names is not None else None
     q = q.join(F.broadcast(protected), "term", "left").withColumn("name", F.coalesce("name", F.lit(False))) if protected is not None else q.withColumn("name", F.lit(False))

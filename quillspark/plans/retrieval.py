@@ -153,7 +153,7 @@ def query_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     ix = I.build(sections(spark, sf_dir), keep=False)
     got = S.analyze(ix, title_questions(spark, sf_dir), synonyms(spark), guesses=False)
     syn = F.filter("alternatives", lambda a: a["weight"] < 1)
-    return got.select("qid", "pos", "word", "term", "exact", F.size("alternatives").cast("long").alias("n_alternatives"), F.coalesce(F.array_join(F.get(syn, F.lit(0))["terms"], " "), F.lit("")).alias("synonym"))
+    return got.select("qid", F.col("pos").cast("long").alias("pos"), "word", "term", "exact", F.size("alternatives").cast("long").alias("n_alternatives"), F.coalesce(F.array_join(F.get(syn, F.lit(0))["terms"], " "), F.lit("")).alias("synonym"))
 
 
 def _set_sql(name: str, column: str, stop: bool) -> str:
