@@ -8,12 +8,12 @@ from quillspark.operators import classify
 from quillspark.plans.common import MESSAGES_SQL, messages, query, table
 
 SAYINGS = [
-    "thaaanks merl lol", "how do I craft a waypoint hub?", "recipe for iron ingots", "oak boat recipe", "what about the boss one", "and in the nether?", "so it's the bosses?",
+    "thaaanks bot lol", "how do I craft a waypoint hub?", "recipe for iron ingots", "oak boat recipe", "what about the boss one", "and in the nether?", "so it's the bosses?",
     "HELP I am stuck", "turtles", "where do I find him", "what dungeons are there", "how do I get there", "remind me in 10 minutes to check the furnace", "remind me to eat in 1h",
     "remind me after half an hour about it", "remind me in 2 seconds", "take me to 100 64 -200", "x 12 z: -7", "route to 300, -150 in the nether", "you're funny! tell me a joke",
     "pretty good, you?", "im bored gimme ideas", "can you tell me a joke please", "ok so where are trial chambers", "NO! Stop!", "thanks! how do I tame a cat",
 ]
-PAGE = "Raj Raksha"
+PAGE = "Stone King"
 _VALUES = ", ".join("({}, '{}')".format(i, s.replace("'", "''")) for i, s in enumerate(SAYINGS))
 SAID_SQL = f"{MESSAGES_SQL}, s AS (SELECT conv_id, turn, text FROM m UNION ALL SELECT -1, * FROM (VALUES {_VALUES}))"
 
