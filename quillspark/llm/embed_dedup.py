@@ -1,7 +1,8 @@
 """Near-duplicate vectors by a forest of random-projection trees.
 
 Each tree splits recursively: a random direction, the median of a sample's projections as the threshold, and a spill
-band around it, whose vectors go to both sides. The trees are fitted on a bounded sample of the vectors; every vector is
+band around it, whose vectors go to both sides. How wide the bands are, where splitting stops and how many trees there
+are follow from the depth and the sample's links (``fit``), so that recall doesn't fall with size. The trees are fitted on a bounded sample of the vectors; every vector is
 indexed by every tree. Within each leaf all pairs are compared (cosine in double precision), pairs at the threshold or
 above are verified links, and links of all trees are united. A leaf above ``BLOCK`` vectors is cut into blocks, and each
 pair of blocks is compared in a task of its own: nothing is dropped and no task holds a large leaf.
@@ -31,38 +32,88 @@ TREES = 12
 LEAF = 256
 SAMPLE = 20_000
 SPILL = 0.6
+#: Chance that all trees miss a link, share of a node's vectors in the band of a split, times ``trees`` at most.
+MISS = 1e-3
+WIDE = 0.4
+MORE = 4
+#: Vectors of the sample whose links are followed, links of each, and links that say something about a node.
+ANCHORS = 2000
+EACH = 10
+FEW = 20
 BLOCK = 2048
 SEED = 20_240_501
 
 
-def fit(sample: np.ndarray, n: int, threshold: float, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL, seed: int = SEED) -> list[list[tuple[np.ndarray, np.ndarray, float]]]:
-    """[tree][level]: (directions, thresholds, half band) of its 2 ** level nodes. ``n``: vectors that will be indexed."""
+def near_pairs(sample: np.ndarray, threshold: float, rng: np.random.Generator) -> np.ndarray:
+    """(i, j) of links within the sample: of ``ANCHORS`` random vectors up to ``EACH`` random links each."""
+    out = [np.zeros((0, 2), np.int64)]
+    for i in rng.permutation(len(sample))[:ANCHORS]:
+        near = np.flatnonzero(sample @ sample[i] >= threshold)
+        near = rng.permutation(near[near != i])[:EACH]
+        out.append(np.stack([np.full(len(near), i), near], axis=1))
+    return np.concatenate(out)
+
+
+def _means(values: np.ndarray, at: np.ndarray, nodes: int) -> np.ndarray:
+    """The mean of ``values`` in each node, 0 in those without any."""
+    return np.bincount(at, values, nodes) / np.maximum(np.bincount(at, minlength=nodes), 1)
+
+
+def fit(sample: np.ndarray, n: int, threshold: float, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL, seed: int = SEED, miss: float = MISS) -> list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """[tree][level]: (directions, thresholds, half bands) of its 2 ** level nodes. ``n``: vectors that will be indexed.
+
+    A node may separate a link with chance ``most``, such that all trees together miss one with chance ``miss`` at the
+    forest's depth. It takes the narrowest band that keeps to it, from ``spill`` on, by two estimates: for links at the
+    threshold in any direction, and for the sample's links that reach the node. If that band would hold over ``WIDE`` of
+    the node's vectors, as in a group about as tight as a link is long, the node is not split: its threshold is infinite.
+    At last trees are added, up to ``MORE`` times as many, while the sample's links are missed more often than ``miss``.
+    """
     rng = np.random.default_rng(seed)
     dims = sample.shape[1]
     depth = max(0, int(np.ceil(np.log2(max(1.0, n / leaf)))))
     depth = min(depth, max(0, int(np.log2(max(1, len(sample) // 4)))))
-    band = spill * np.sqrt(2 - 2 * threshold) / np.sqrt(dims) / 2
-    forest = []
-    for _ in range(trees):
+    most = 1 - (1 - miss ** (1 / trees)) ** (1 / max(1, depth))
+    gap = np.sqrt(2 - 2 * threshold) / np.sqrt(dims)  # spread between the projections of two vectors at the threshold
+    pairs = near_pairs(sample, threshold, np.random.default_rng(seed + 1)) if depth else np.zeros((0, 2), np.int64)
+    missed, forest = np.ones(len(pairs), bool), []
+    while len(forest) < trees or (len(forest) < MORE * trees and missed.sum() > miss * len(pairs)):
         at, levels = np.zeros(len(sample), np.int64), []
+        pair, on = np.arange(len(pairs)), np.zeros(len(pairs), np.int64)
         for level in range(depth):
             nodes = 1 << level
             directions = rng.standard_normal((nodes, dims))
             directions /= np.linalg.norm(directions, axis=1, keepdims=True)
             x = np.einsum("ij,ij->i", sample, directions[at])
             cuts = pd.Series(x).groupby(at).median().reindex(range(nodes), fill_value=0.0).to_numpy()
-            levels.append((directions, cuts, float(band)))
+            away = np.abs(x - cuts[at])
+            y, z = (np.einsum("ij,ij->i", sample[pairs[pair, k]], directions[on]) - cuts[on] for k in (0, 1))
+            bands, found = np.zeros(nodes), np.zeros(nodes, bool)
+            reached = np.bincount(on, minlength=nodes)
+            for wider in (1, 1.5, 2, 3, 4):
+                band = wider * spill * gap / 2
+                far = (away + band) / gap
+                apart = np.where(away > band, 0.5 * np.exp(-0.717 * far - 0.416 * far * far), 0.0)  # normal upper tail
+                split = (np.minimum(y, z) <= -band) & (np.maximum(y, z) > band)
+                fits = (_means(apart, at, nodes) <= most) & ((reached < FEW) | (_means(split, on, nodes) <= most)) & (_means(away <= band, at, nodes) <= WIDE)
+                bands = np.where(fits & ~found, band, bands)
+                found |= fits
+            cuts = np.where(found, cuts, np.inf)
+            levels.append((directions, cuts, bands))
             at = 2 * at + (x > cuts[at])
+            whole, b = ~found[on], bands[on]
+            left, right = whole | (np.maximum(y, z) <= b), ~whole & (np.minimum(y, z) > -b)
+            pair, on = np.concatenate([pair[left], pair[right]]), np.concatenate([2 * on[left], 2 * on[right] + 1])
+        missed[pair] = False
         forest.append(levels)
     return forest
 
 
-def leaves(vectors: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray, float]]) -> tuple[np.ndarray, np.ndarray]:
+def leaves(vectors: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """(row, leaf) of each leaf that a vector falls into."""
     row, at = np.arange(len(vectors)), np.zeros(len(vectors), np.int64)
-    for directions, cuts, band in levels:
+    for directions, cuts, bands in levels:
         x = np.einsum("ij,ij->i", vectors[row], directions[at]) - cuts[at]
-        left, right = x <= band, x > -band
+        left, right = x <= bands[at], x > -bands[at]
         row, at = np.concatenate([row[left], row[right]]), np.concatenate([2 * at[left], 2 * at[right] + 1])
     return row, at
 
@@ -107,7 +158,7 @@ def links(classes: DataFrame, threshold: float = COSINE, trees: int = TREES, lea
         return spark.createDataFrame([], "a long, b long")
     fitted = np.array([r["v"] for r in classes.orderBy(F.xxhash64("node")).limit(sample).select("v").collect()], dtype=np.float64)
     fitted /= np.linalg.norm(fitted, axis=1, keepdims=True)
-    forest = spark.sparkContext.broadcast(fit(fitted, n, threshold, trees, leaf))  # trees * n / leaf * 2 directions of the sample's depth at most
+    forest = spark.sparkContext.broadcast(fit(fitted, n, threshold, trees, leaf))  # MORE * trees * n / leaf * 2 directions of the sample's depth at most
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -319,6 +319,32 @@ def test_embeddings(spark):
     assert embed_dedup.dedup(df.limit(0)).isEmpty()
 
 
+def test_forest_depth():
+    """A hot group of a third loses no links at depth 12, and few at any depth."""
+    rng = np.random.default_rng(66)
+    centre = rng.standard_normal(64)
+    centre /= np.linalg.norm(centre)
+
+    def unit(x):
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    def hot(n):
+        return unit(centre + np.sqrt(1 / 0.9 - 1) * unit(rng.standard_normal((n, 64))))
+
+    sample = np.concatenate([hot(6666), unit(rng.standard_normal((13_334, 64)))])
+    x = hot(600)
+    near = np.triu(x @ x.T >= 0.9, 1)
+    for n, depth in ((10_000, 6), (1_000_000, 12)):
+        forest = embed_dedup.fit(sample, n, 0.9)
+        together = np.zeros_like(near)
+        for levels in forest:
+            assert len(levels) == depth
+            row, leaf = embed_dedup.leaves(x, levels)
+            for k in np.unique(leaf):
+                together[np.ix_(row[leaf == k], row[leaf == k])] = True
+        assert (together & near).sum() >= 0.999 * near.sum()
+
+
 def test_components(spark):
     pairs = [(i, i + 1) for i in range(20)] + [(30, 31), (31, 30), (40, 40), (None, 1)]
     got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
