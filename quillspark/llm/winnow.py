@@ -1,22 +1,26 @@
 """Document fingerprints by winnowing.
 
-A text is a sequence of words (runs without white space); its k-grams are ``K`` words in a row, hashed to 40 bits. Of each
-window of ``WINDOW`` k-grams the smallest hash is chosen, the rightmost if several are smallest, and kept with its place. So
-two texts that share ``WINDOW + K - 1`` words in a row share a fingerprint, and nothing under ``K`` words can make them do so.
-A text of fewer than ``K`` words has one gram of all its words; one of fewer grams than a window has one window.
+A text is a sequence of characters, in which a run of white space is one space and the ends have none. Each of its k-grams,
+``K`` characters in a row, is hashed to 40 bits. Of each window of ``WINDOW`` k-grams the smallest hash is chosen, the
+rightmost if several are smallest, and kept with its place. So two texts that share ``WINDOW + K - 1`` characters in a row
+share a fingerprint, with or without spaces, and nothing under ``K`` characters can make them do so. A text of fewer than
+``K`` characters has one gram of all of them; one of fewer grams than a window has one window. A gram is cut out and hashed
+by itself: the hashes are what rolling would give for equal grams, but columns have no expression that carries a state.
 
 A chosen hash and its place are one long: the place stands in the low 24 bits, counted downwards, so the smallest number of
-a window is its smallest hash with the rightmost place. Places wrap after 16.7 million words. Only DataFrame expressions.
+a window is its smallest hash with the rightmost place. Places wrap after 16.7 million characters. Only DataFrame expressions.
 
 Null and empty texts and those of white space have no fingerprints. Two texts without any are wholly alike (1.0), one
 without any and another are not alike at all (0.0). Texts of any length are taken as a whole. Equal rows stay.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-K = 5
-WINDOW = 8
+K = 12
+WINDOW = 20
 PLACE_BITS = 24
 PLACES = (1 << PLACE_BITS) - 1
 #: Ranges that the ids are counted in, and rows wanted in a range of neighbours.
@@ -24,24 +28,41 @@ CELLS = 65_536
 ROWS = 1500
 
 
-def word_hashes(text: Column) -> Column:
-    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    return F.transform(words, lambda w: F.xxhash64(w))
+def spaced(text: Column) -> Column:
+    """One space for each run of white space, none at the ends."""
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " "))
+
+
+def gram_hashes(text: Column, k: int = K) -> Column:
+    """The hash of each k-gram of a text. A match of no width at each character captures the ``k`` that start there."""
+    plain = spaced(text)
+    each = F.regexp_extract_all(plain, F.lit(rf"(?s)(?![\x{{DC00}}-\x{{DFFF}}])(?=(.{{{k}}}))"), F.lit(1))
+    short = F.when(plain == "", F.array().cast("array<string>")).otherwise(F.array(plain))
+    return F.transform(F.when(F.char_length(plain) < k, short).otherwise(each), lambda g: F.xxhash64(g))
+
+
+word_hashes = gram_hashes  # under its former name
+
+
+def grams(hashes: Column) -> Column:
+    """Each hash above its place from the end."""
+    return F.transform(hashes, lambda h, i: h.bitwiseAND(F.lit(~PLACES)).bitwiseOR(F.lit(PLACES) - (i + 1).bitwiseAND(F.lit(PLACES))))
 
 
-def grams(hashes: Column, k: int = K) -> Column:
-    """Of each k-gram its hash above its place from the end; ``hashes`` should be a plain column."""
-    n = F.size(hashes)
-    at = F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1)))
-    each = F.transform(at, lambda i: (F.xxhash64(*[F.get(hashes, i + (j - 1)) for j in range(k)]).bitwiseAND(F.lit(~PLACES))).bitwiseOR(F.lit(PLACES) - i.bitwiseAND(F.lit(PLACES))))
-    return F.when(n > 0, each).otherwise(F.array().cast("array<bigint>"))
+def _least(of: str, step: int) -> Callable[[Column, Column], Column]:
+    return lambda x, i: F.least(x, F.get(of, i + step))
 
 
-def chosen(packed: Column, window: int = WINDOW) -> Column:
-    """The smallest of each window, once; ``packed`` should be a plain column."""
-    at = F.sequence(F.lit(1), F.greatest(F.size(packed) - (window - 1), F.lit(1)))
-    each = F.array_distinct(F.transform(at, lambda i: F.array_min(F.slice(packed, i, F.lit(window)))))
-    return F.when(F.size(packed) > 0, each).otherwise(F.array().cast("array<bigint>"))
+def with_chosen(df: DataFrame, packed: str, name: str, window: int = WINDOW) -> DataFrame:
+    """Adds ``name``: the smallest of each window of ``packed``, once. The reach of the minima doubles with each step."""
+    at, reach, steps = packed, 1, []
+    while reach < window:
+        step, to = min(reach, window - reach), f"_reach{len(steps)}"
+        df = df.withColumn(to, F.transform(at, _least(at, step)))
+        at, reach = to, reach + step
+        steps.append(to)
+    windows = F.greatest(F.size(packed) - (window - 1), F.least(F.size(packed), F.lit(1)))
+    return df.withColumn(name, F.array_distinct(F.slice(at, F.lit(1), windows))).drop(*steps)
 
 
 def hashes(packed: Column) -> Column:
@@ -49,7 +70,7 @@ def hashes(packed: Column) -> Column:
 
 
 def fingerprints(packed: Column) -> Column:
-    """array<struct<hash, place>>, places counted in words from 0."""
+    """array<struct<hash, place>>, places counted in characters from 0."""
     return F.transform(packed, lambda x: F.struct(F.shiftright(x, PLACE_BITS).alias("hash"), (F.lit(PLACES - 1) - x.bitwiseAND(F.lit(PLACES))).alias("place")))
 
 
@@ -62,9 +83,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 def with_packed(df: DataFrame, text: str, name: str) -> DataFrame:
     """Adds ``name``: the packed fingerprints of ``text``. Each step is a column of its own, so that none runs twice."""
-    df = df.withColumn("_words", word_hashes(F.col(text)))
-    df = df.withColumn("_grams", grams(F.col("_words"))).drop("_words")
-    return df.withColumn(name, chosen(F.col("_grams"))).drop("_grams")
+    return with_chosen(df.withColumn("_grams", grams(gram_hashes(F.col(text)))), "_grams", name).drop("_grams")
 
 
 def fingerprint(df: DataFrame, text: str = "text", name: str = "fingerprint") -> DataFrame:

@@ -391,6 +391,21 @@ def test_winnowing_edits(docs, unique, none):
     assert winnow.edited(docs).count() == docs.count() and winnow.edited(none).isEmpty()
 
 
+def test_winnowing_characters(spark):
+    """Texts without white space and texts with small edits keep fingerprints; grams are those of code points."""
+    rng = np.random.default_rng(7)
+    run = "".join(chr(0x4E00 + c) for c in rng.integers(0, 5000, 400))
+    words = [("".join(chr(97 + c) for c in rng.integers(0, 26, 6))) for _ in range(200)]
+    changed = " ".join(w[:2] + "#" + w[3:] if i % 5 == 0 else w for i, w in enumerate(words))
+    texts = [run, run[:200] + "".join(reversed(run[200:])), " ".join(words), changed, "\n ".join(words), "ab" + "\U0001f98a" * 9 + "cdefghijkl", "short", " \t\n", ""]
+    df = winnow.with_packed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "text", "p").withColumn("n", F.size(winnow.gram_hashes(F.col("text"))))
+    got = {r["doc_id"]: r for r in df.withColumn("h", winnow.hashes(F.col("p"))).collect()}
+    for i, j in ((0, 1), (2, 3)):
+        assert set(got[i]["h"]) & set(got[j]["h"]) and got[i]["h"] != got[j]["h"]
+    assert got[2]["h"] == got[4]["h"] and [got[i]["n"] for i in range(9)] == [389, 389, 1388, 1388, 1388, 10, 1, 0, 0]
+    assert all(len(got[i]["p"]) == len(winnowed([0] * got[i]["n"])) for i in (6, 7, 8))
+
+
 def test_winnowing_ranges(spark, monkeypatch):
     """Many ranges, so that next documents cross from one to another."""
     monkeypatch.setattr(winnow, "ROWS", 3)
