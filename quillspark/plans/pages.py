@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import formats as X, text as T
 from quillspark.operators import answers, blend, index as I, palette as P, search as S, settings
-from quillspark.plans.common import BM25_SQL, QTERMS_SQL, index_sql, query, questions, questions_sql, table, text_sections
+from quillspark.plans.common import BM25_SQL, QTERMS_SQL, index_sql, query, questions, questions_sql, spread, table, text_sections
 from quillspark.plans.reports import _RGB
 from quillspark.sources import html
 
@@ -153,7 +153,7 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as blocks: colors from their keys, families from their names."""
     k = F.col("p_partkey")
     lab = X.lab(*[(k * m % 256).cast("double") for m in (37, 91, 151)])
-    return table(spark, sf_dir, "part").where("p_partkey < 500").select(
+    return table(spark, sf_dir, "part").select(
         F.concat_ws(" ", "p_name", k.cast("string")).alias("name"), F.concat_ws(" ", "p_type", (k % 40).cast("string")).alias("family"), *[v.alias(n) for n, v in lab.items()],
         (k * 13 % 40).cast("double").alias("contrast"), (k % 11 == 0).alias("see_through"), (k % 7 == 0).alias("less_used"), (k % 5 != 0).alias("pick"),
     )
@@ -161,9 +161,9 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def palette(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy choices that depend on those before; tested for their rules."""
+    """Greedy choices that depend on those before, for every part as the base; tested for their rules."""
     c = catalog(spark, sf_dir)
-    requests = c.where("contrast < 5").select(F.col("name").alias("base"))
+    requests = spread(c.select(F.col("name").alias("base")))
     return P.palettes(requests.withColumn("request", F.col("base")), c, "request", "base")
 
 

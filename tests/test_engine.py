@@ -81,6 +81,18 @@ def test_palette(spark):
     assert all(c.set_index("name")["pick"][others])
 
 
+def test_palette_of_all_parts(spark, tmp_path):
+    """Every part is in the catalogue and gets a palette, whatever its key."""
+    part = spark.read.parquet("/root/testdata/sf0.01/part.parquet").where("p_partkey % 40 = 0")
+    part.write.parquet(str(tmp_path / "part.parquet"))
+    c = pages.catalog(spark, str(tmp_path)).toPandas()
+    got = {}
+    for r in pages.palette(spark, str(tmp_path)).orderBy("nth").collect():
+        got.setdefault(r["request"], []).append(r["name"])
+    assert len(c) == part.count() and part.where("p_partkey >= 500").count() and set(got) == set(c["name"])
+    assert all(got[n] == P.choose(c, n) for n in c["name"])
+
+
 def test_cooldown(spark):
     e = spark.createDataFrame([(1, 1, 0), (1, 2, 3), (1, 3, 5), (1, 4, 9), (1, 5, 10), (2, 6, 1)], "user_id long, event_id long, at long")
     assert sorted(r["event_id"] for r in stateful.cooldown_batch(e, 5).collect()) == [1, 3, 5, 6]
