@@ -52,8 +52,10 @@ SECTIONS_SQL = r"""sec AS (SELECT doc_id AS section_id, source || '/' || doc_id
   FROM (SELECT *, regexp_split_to_array(trim(text), '\s+') AS ws FROM documents))"""
 
 
-def questions(spark: SparkSession, sf_dir: str, words: int = 8) -> DataFrame:
-    """The first words of each benchmark item as a question."""
+def questions(spark: SparkSession, sf_dir: str, words: int | None = 8) -> DataFrame:
+    """The first words of each benchmark item as a question, or all of them."""
+    if words is None:
+        return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.array_join(F.slice(F.split("text", " "), 1, words), " ").alias("query"))
 
 

@@ -68,7 +68,7 @@ def answer_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Excerpts are greedy over each text's words; tested against a plain version on small texts."""
-    sec, q = text_sections(spark, sf_dir), questions(spark, sf_dir)
+    sec, q = text_sections(spark, sf_dir), questions(spark, sf_dir, None)
     asked = S.query_terms(q).groupBy("qid").agg(F.collect_set("term").alias("terms"))
     return answers.excerpts(S.plain_search(I.build(sec), q), sec, asked)
 

@@ -61,6 +61,15 @@ def test_excerpts():
     assert answers.lines_excerpt("", {"fox"}) == "" and answers.window_excerpt("", {"x"}) == ""
 
 
+def test_excerpts_of_whole_questions(spark, tmp_path):
+    """A word that stands late in a long question is looked up and marked."""
+    text = " ".join(f"filler{i}" for i in range(12))
+    spark.createDataFrame([(1, text + " walrus")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(7, "The walrus sleeps."), (8, "Owls nest.")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [(r["qid"], r["section_id"], r["excerpt"]) for r in QUERIES["excerpts"](spark, str(tmp_path)).collect()]
+    assert got == [(1, 7, "The **walrus** sleeps.")]
+
+
 def test_settings(spark):
     got = {}
     for r in pages.settings_rank(spark, DATA).collect():
