@@ -15,7 +15,7 @@ from quillspark.llm.common import saved, table
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
-    rows = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"))
+    rows = docs.select("doc_id", F.struct("*").alias("row"), F.col("text").alias("text"))
     return quality.classify(rows).where("keep").select("row.*")
 
 

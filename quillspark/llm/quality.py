@@ -14,6 +14,7 @@ Repeated rows get the same score. If all documents look alike, all get the same
 """
 
 import operator
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -120,7 +121,7 @@ def _bucket(name: bytes) -> int:
 
 def collapsed(shape: bytes) -> bytes:
     """Each run of one kind as one."""
-    return bytes(b for i, b in enumerate(shape) if not i or shape[i - 1] != b)
+    return re.sub(rb"(.)\1+", rb"\1", shape, flags=re.DOTALL)
 
 
 def hashed(look: Look, p: dict[str, float], known: dict[bytes, tuple[int, int]]) -> np.ndarray:
@@ -130,7 +131,7 @@ def hashed(look: Look, p: dict[str, float], known: dict[bytes, tuple[int, int]])
         if k not in known:
             if len(known) > 100_000:
                 known.clear()
-            known[k] = _bucket(b"s" + k[:64]), _bucket(b"c" + collapsed(k[:64]))
+            known[k] = _bucket(b"s" + k), _bucket(b"c" + collapsed(k))
         for i in known[k]:
             out[i] += v
     out /= look.n + SHRINK  # few words say little
@@ -192,7 +193,8 @@ def fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     return w[:-1], float(w[-1])
 
 
-def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> tuple[np.ndarray, float]:
+def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE, doc_id: str = "doc_id") -> tuple[np.ndarray, float]:
+    """Weights and bias. The sample goes by a hash of id and text, so copies of a text are thinned like all others."""
     counted = patterns(docs, text)
     posterior, _, _ = estimate(counted)
     total = max(1, int(counted["n"].sum()))
@@ -201,17 +203,19 @@ def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> tuple[np
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, tuple[int, int]] = {}
         for b in batches:
-            x, of = [], []
-            for t in b.column("t"):
+            h, x, of = [], [], []
+            for at, t in zip(b.column("h"), b.column("t")):
                 look = Look(t.as_py())
                 if look.n:
                     p = proportions(look)
+                    h.append(at.as_py())
                     x.append(hashed(look, p, known).tobytes())
                     of.append(votes(look, p))
-            yield pa.RecordBatch.from_pydict({"x": pa.array(x, pa.binary()), "pattern": pa.array(of, pa.string())})
+            yield pa.RecordBatch.from_pydict({"h": pa.array(h, pa.int64()), "x": pa.array(x, pa.binary()), "pattern": pa.array(of, pa.string())})
 
-    chosen = docs.select(F.col(text).alias("t")).where(F.pmod(F.xxhash64("t"), F.lit(1 << 30)) < share)
-    rows = saved(chosen.mapInArrow(run, "x binary, pattern string"), "sample").limit(2 * sample).collect()
+    ids = [F.col(doc_id)] if doc_id in docs.columns and doc_id != text else []
+    chosen = docs.select(F.pmod(F.xxhash64(*ids, F.col(text)), F.lit(1 << 30)).alias("h"), F.col(text).alias("t")).where(F.col("h") < share)
+    rows = saved(chosen.mapInArrow(run, "h long, x binary, pattern string"), "sample").orderBy("h", "x", "pattern").limit(2 * sample).select("x", "pattern").collect()
     rows.sort(key=lambda r: r["x"])  # the order of rows doesn't change the fit
     x = np.stack([np.frombuffer(r["x"], np.float32) for r in rows]) if rows else np.zeros((0, DIMS), np.float32)
     return fit(x, np.array([posterior[r["pattern"]] for r in rows]))

@@ -266,6 +266,24 @@ def test_quality_on_labels(spark):
     assert right[0] >= 0.97 and right[1] >= 0.99  # the labels were not used to fit it
 
 
+def test_quality_shapes():
+    """Signs and digits late in a long token reach the scorer."""
+    marks = [quality.hashed(quality.Look("a" * 70 + end), {}, {}) for end in ("", "!", "7", "!7")]
+    assert all((marks[i] != marks[j]).any() for i in range(4) for j in range(i))
+    assert quality.collapsed(b"aaA\n\n00a") == b"aA\n0a"
+
+
+def test_quality_sample(spark, monkeypatch):
+    """Copies of a text are thinned like other texts, so that a hot text is neither left out nor nearly all of the sample."""
+    copies = [(i, "The same few words stand in all of these rows, over and over.") for i in range(2000)]
+    others = [(2000 + i, f"Row number {i} says something of its own about {i * 7} things.") for i in range(1000)]
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda x, y: seen.append(x) or (np.zeros(quality.DIMS), 0.0))
+    quality.train(spark.createDataFrame(copies + others, "doc_id long, text string"), sample=300)
+    same = max(np.unique(seen[0], axis=0, return_counts=True)[1])
+    assert 200 < len(seen[0]) < 400 and 130 < same < 270
+
+
 # 5
 
 def test_sharding(spark, none, tmp_path):
