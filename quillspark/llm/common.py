@@ -2,21 +2,41 @@
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Word separators of the contracts: space, tab, newline, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of a batch of rows on its way to Python; one row may be larger.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: object) -> DataFrame:
+    """``mapInArrow`` in batches of bounded bytes: lowers the session's limit to ``BATCH_BYTES`` where it is higher."""
+    conf = df.sparkSession.conf
+    now = str(conf.get(_BATCH)).rstrip("b")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        conf.set(_BATCH, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by the session's ``spark.checkpoint.dir``; one of its own where that is unset (tests)."""
+    """The folder named by the session's ``spark.checkpoint.dir``.
+
+    Where that is unset, a session on a single machine (master ``local``, as in tests) gets a folder of its own; on a cluster
+    it is an error, as a folder of one machine would not be seen by the others.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='quillspark-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -32,12 +52,33 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def saved(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """``df`` written as Parquet into the shared folder and read again.
+def saved(df: DataFrame, name: str, codec: str = "zstd", path: str | None = None) -> DataFrame:
+    """``df`` written as Parquet into the shared folder (or at ``path``) and read again.
 
     It cuts the lineage and survives the loss of executors, as the files do not live with them.
     """
     spark = df.sparkSession
-    path = new_path(spark, name)
+    path = path or new_path(spark, name)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """The intermediate tables of one run of an operator, in one folder of the shared one; ``drop`` deletes them all.
+
+    What an operator returns is written outside of it, by ``saved``, before that.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder, self.paths = spark, new_path(spark, name), {}
+
+    def path(self, name: str) -> str:
+        self.paths[name] = f"{self.folder}/{len(self.paths):03d}-{name}-{uuid.uuid4().hex[:8]}"
+        return self.paths[name]
+
+    def saved(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+        return saved(df, name, codec, self.path(name))
+
+    def drop(self, name: str | None = None) -> None:
+        """Deletes the last table saved under this name, or all of them."""
+        drop_path(self.spark, self.paths[name] if name else self.folder)

@@ -3,21 +3,21 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import drop_path, new_path
+from quillspark.llm.common import Scratch, drop_path
 
 #: Rounds of a run; each round halves the distances at least, so 60 are enough for any graph.
 ROUNDS = 60
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b", scratch: Scratch | None = None) -> DataFrame:
     """``node, component`` (smallest node reachable) for every node that has a link; nodes are longs.
 
     Each round gives every node the smallest label among its neighbours, then follows labels to their labels (pointer
-    jumping). Labels of a round are written to the shared folder, so lineage stays short and lost executors do no harm.
-    Self-links and repeated links do no harm; rows with a null end are no links.
+    jumping). Labels of a round are written to the shared folder (into ``scratch`` if given), so lineage stays short and
+    lost executors do no harm. Self-links and repeated links do no harm; rows with a null end are no links.
     """
     spark = links.sparkSession
-    folder = new_path(spark, "components")
+    folder = (scratch or Scratch(spark, "components")).path("components")
     pairs = links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a is not null and b is not null")
     both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both.write.parquet(f"{folder}/edges")
@@ -32,6 +32,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         new.select("node", F.col("new").alias("label"), (F.col("new") < F.col("old")).alias("changed")).write.parquet(f"{folder}/{i}")
         if spark.read.schema("node long, label long, changed boolean").parquet(f"{folder}/{i}").where("changed").isEmpty():
             break
-        if i > 1:
-            drop_path(spark, f"{folder}/{i - 1}")
+        drop_path(spark, f"{folder}/{i - 1}")
+    drop_path(spark, f"{folder}/edges")
     return spark.read.schema("node long, label long").parquet(f"{folder}/{i}").select("node", F.col("label").alias("component"))

@@ -5,26 +5,31 @@ of ``ROWS`` minima each give candidates, and of each minimum only the low ``BITS
 number of equal slots of two signatures, corrected for chance collisions, estimates their similarity and drops hopeless
 candidates (well below the threshold); those that remain are confirmed on their full sets.
 
-Groups of copies never become all their pairs. Documents with the same words in the same order are one class, of which
-one goes on. In each bucket all are paired with its smallest node first; when these links are confirmed and joined to
-components, only buckets with several components are looked at again. There, signatures are compared block by block
-within a task, and only promising pairs whose ends are still apart come out, each in the first band that they share.
-Links within a component could not change the result. No task holds a large bucket: it is cut into pairs of blocks.
+Groups of copies never become all their pairs. Documents with the same words in the same order are one class (by 128 bits
+of their words), of which one goes on. In each bucket the smallest node is the first; each node is tested against the first
+with which it shares most bands, one pair for each node. Links that hold are joined to components, and only buckets with
+several components are looked at again, cut into blocks of bounded rows and bytes, a task for each pair of blocks (none for
+two blocks of one component). There, a first pass drops all rows without a promising partner in another component; the
+shingle sets of the others travel to their blocks once each, where pairs are confirmed while their ends are still apart,
+each in the first band that they share. Of the links found only those come out that join components of the task: fewer than
+it has rows, however many pairs are alike.
 
 Texts without words have an empty set and link with nothing; with fewer than five words the whole sequence is the one
 shingle. Null texts count as empty. Rows without an id can take no links: their component is null, and they are kept.
-Equal ids are one node. Words of any length and texts of any length are taken whole. An empty table gives no rows.
+Rows of one id with the same words are one document; with other words they are documents of their own, each with its own
+links, and ``keep_one`` keeps a component once. Words of any length and texts of any length are taken whole. An empty table
+gives no rows.
 """
 
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm import graph
-from quillspark.llm.common import saved
+from quillspark.llm.common import Scratch, in_arrow, saved
 
 SHINGLE = 5
 SIMILARITY = (75, 100)
@@ -38,8 +43,12 @@ MARGIN = 4.0
 SEED = 1_000_003
 #: Shingles permuted at once.
 CHUNK = 256
-#: Rows of a bucket that are compared in one task; larger buckets are cut into pairs of such blocks.
+#: Rows of a bucket, and bytes of their shingle sets, that make a block; larger buckets are compared by pairs of blocks.
 BLOCK = 1024
+BLOCK_BYTES = 8 << 20
+#: Parts of a hot first node's rows, and bytes of shingle sets that a task remembers.
+SALTS = 64
+KNOWN_BYTES = 16 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -102,41 +111,48 @@ def bands(mins: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def node_of(tokens: list[bytes]) -> int | None:
-    """A 64-bit hash of the word sequence: the node of all documents with these words; none without words."""
+def digest(tokens: list[bytes]) -> tuple[int, int] | tuple[None, None]:
+    """128 bits of the word sequence, as two signed longs; none without words."""
     import xxhash
 
-    h = xxhash.xxh3_64_intdigest(b" ".join(tokens))
-    return (h - 2**64 if h >> 63 else h) if tokens else None
+    if not tokens:
+        return None, None
+    h = xxhash.xxh3_128_digest(b" ".join(tokens))
+    return int.from_bytes(h[:8], "big", signed=True), int.from_bytes(h[8:], "big", signed=True)
 
 
 LONGS = PERMUTATIONS * BITS // 64
+SIGNATURE = [f"s{i}" for i in range(LONGS)]
+
+
+def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``doc_id, tid, text``: an id and 64 bits of the text tell rows apart, but for repeated ones."""
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("tid"), F.col(text).alias("text"))
 
 
-def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, node`` (hash of the word sequence; null without words), ``s0`` ... and ``bands``."""
+def signatures(docs: DataFrame) -> DataFrame:
+    """``doc_id, tid, n_shingles, h, l`` (128 bits of the word sequence; null without words), ``s0`` ... and ``bands``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = permutations()
-        for batch in batches:
-            for s in range(0, batch.num_rows, 2000):
-                c = batch.slice(s, 2000)
-                n, nodes, sig, keys = [], [], [], []
-                for t in c.column("text"):
-                    tokens = words(t.as_py())
-                    h = shingles(tokens)
-                    n.append(len(h))
-                    nodes.append(node_of(tokens))
-                    m = minima(h, a, b) if len(h) else np.zeros(PERMUTATIONS, np.uint64)
-                    sig.append(packed(m))
-                    keys.append(bands(m))
-                sig, flat = np.array(sig).reshape(-1, LONGS), np.concatenate([*keys, np.zeros(0, np.int64)])
-                cols = {"doc_id": c.column("doc_id"), "n_shingles": pa.array(n, pa.int64()), "node": pa.array(nodes, pa.int64())}
-                cols |= {f"s{i}": pa.array(np.ascontiguousarray(sig[:, i])) for i in range(LONGS)}
-                yield pa.RecordBatch.from_pydict(cols | {"bands": pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(n) + 1, BANDS, dtype=np.int32)), pa.array(flat))})
-
-    sig = ", ".join(f"s{i} long" for i in range(LONGS))
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id long, n_shingles long, node long, {sig}, bands array<long>")
+        for c in batches:
+            n, high, low, sig, keys = [], [], [], [], []
+            for t in c.column("text"):
+                tokens = words(t.as_py())
+                s = shingles(tokens)
+                n.append(len(s))
+                h, l = digest(tokens)
+                high.append(h)
+                low.append(l)
+                m = minima(s, a, b) if len(s) else np.zeros(PERMUTATIONS, np.uint64)
+                sig.append(packed(m))
+                keys.append(bands(m))
+            sig, flat = np.array(sig).reshape(-1, LONGS), np.concatenate([*keys, np.zeros(0, np.int64)])
+            cols = {"doc_id": c.column("doc_id"), "tid": c.column("tid"), "n_shingles": pa.array(n, pa.int64()), "h": pa.array(high, pa.int64()), "l": pa.array(low, pa.int64())}
+            cols |= {k: pa.array(np.ascontiguousarray(sig[:, i])) for i, k in enumerate(SIGNATURE)}
+            yield pa.RecordBatch.from_pydict(cols | {"bands": pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(n) + 1, BANDS, dtype=np.int32)), pa.array(flat))})
+
+    return in_arrow(docs.select("doc_id", "tid", "text"), run, f"doc_id long, tid long, n_shingles long, h long, l long, {', '.join(f'{k} long' for k in SIGNATURE)}, bands array<long>")
 
 
 def estimate(x: str, y: str) -> Column:
@@ -161,99 +177,157 @@ def least_estimate() -> float:
     return j - MARGIN * (p * (1 - p) / PERMUTATIONS) ** 0.5 / (1 - chance)
 
 
+def linked(both: int | np.ndarray, x: int | np.ndarray, y: int | np.ndarray) -> bool | np.ndarray:
+    """Whether sets of x and y shingles that share ``both`` are similar enough; exact."""
+    part, whole = SIMILARITY
+    return whole * both >= part * (x + y - both)
+
+
 def promising(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` whose estimate ``e`` is not hopeless."""
-    of = lambda k, p: nodes.select(F.col("node").alias(k), *[F.col(f"s{i}").alias(f"{p}{i}") for i in range(LONGS)])
-    return pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").withColumn("e", estimate("x", "y")).where(F.col("e") >= least_estimate()).select("a", "b", "e")
+    """Pairs ``a, b`` whose estimate is not hopeless."""
+    of = lambda k, p: nodes.select(F.col("node").alias(k), *[F.col(s).alias(f"{p}{i}") for i, s in enumerate(SIGNATURE)])
+    return pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").where(estimate("x", "y") >= least_estimate()).select("a", "b")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``a, b, linked`` by the full shingle sets of ``texts`` (node, text).
+    """The ``a, b`` of ``pairs`` that are linked by the full shingle sets of ``texts`` (node, text).
 
     Rows of one ``a`` follow its own text in a partition sorted by it; a hot ``a`` is split by a salt of ``b``, its text
     copied to each part.
     """
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(64)).cast("int"))
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
     first = salted.select("a", "salt").distinct().join(texts.withColumnRenamed("node", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
     rest = salted.join(texts.withColumnRenamed("node", "b"), "b").select("a", "salt", "b", "text")
     rows = first.unionAll(rest).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, own_set = None, None
-        part, whole = SIMILARITY
-        known: dict[int, np.ndarray] = {}  # sets of nodes seen lately, which come back with other partners
         for batch in batches:
-            out_a, out_b, linked = [], [], []
+            out_a, out_b = [], []
             for a, b, t in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("text")):
+                s = shingles(words(t.as_py()))
                 if b is None:
-                    own, own_set = a, shingles(words(t.as_py()))
+                    own, own_set = a, s
                     continue
-                if b not in known:
-                    if len(known) >= 2000:
-                        known.clear()
-                    known[b] = shingles(words(t.as_py()))
-                h = known[b]
                 assert own == a
-                both = len(np.intersect1d(own_set, h, assume_unique=True))
-                out_a.append(a)
-                out_b.append(b)
-                linked.append(bool(h.size) and whole * both >= part * (len(own_set) + len(h) - both))
-            yield pa.RecordBatch.from_pydict({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64()), "linked": pa.array(linked, pa.bool_())})
+                if linked(len(np.intersect1d(own_set, s, assume_unique=True)), len(own_set), len(s)):
+                    out_a.append(a)
+                    out_b.append(b)
+            yield pa.RecordBatch.from_pydict({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
-    return rows.mapInArrow(run, "a long, b long, linked boolean")
+    return in_arrow(rows, run, "a long, b long")
 
 
-def _labelled(rows: DataFrame, component: DataFrame, *nodes: str) -> DataFrame:
-    """Adds ``c_`` + node: the component of each named column (itself if it has no link yet)."""
-    for n in nodes:
-        own = component.select(F.col("node").alias(n), F.col("component").alias(f"c_{n}"))
-        rows = rows.join(own, n, "left").withColumn(f"c_{n}", F.coalesce(f"c_{n}", n))
-    return rows
+def _labelled(rows: DataFrame, component: DataFrame, node: str = "node") -> DataFrame:
+    """Adds ``c_node``: the component of the node (itself if it has no link yet)."""
+    own = component.select(F.col("node").alias(node), F.col("component").alias("c_node"))
+    return rows.join(own, node, "left").withColumn("c_node", F.coalesce("c_node", node))
 
 
-def apart(pairs: DataFrame, component: DataFrame) -> DataFrame:
-    return _labelled(pairs, component, "a", "b").where("c_a <> c_b").select(*pairs.columns)
+CELL = ("key", "low", "high")
 
 
-SIGNATURE = [f"s{i}" for i in range(LONGS)]
+def cells(buckets: DataFrame, component: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of buckets with several components, dealt to cells: ``key, low, high`` (bucket and its two blocks), ``block, node, c_node, n, bands, s0`` ...
 
+    A component that fills a block has blocks of its own, as it needs no comparison with itself; the others share theirs.
+    """
+    load = F.lit(1.0 / BLOCK) + F.col("n") * (8.0 / BLOCK_BYTES)
+    rows = scratch.saved(_labelled(buckets.select("key", "node", "n"), component).withColumn("load", load), "labelled")
+    runs = rows.groupBy("key", "c_node").agg(F.sum("load").alias("load")).withColumn("own", F.when(F.col("load") >= 1, F.ceil("load")).cast("long"))
+    shared = F.ceil(F.coalesce(F.sum(F.when(F.col("own").isNull(), F.col("load"))), F.lit(0.0))).cast("long")
+    mixed = runs.groupBy("key").agg(F.min("c_node").alias("low"), F.max("c_node").alias("high"), F.coalesce(F.sum("own"), F.lit(0)).alias("owned"), shared.alias("shared"))
+    mixed = mixed.where("low < high").select("key", "owned", "shared")
+    before = Window.partitionBy("key").orderBy("c_node").rowsBetween(Window.unboundedPreceding, -1)
+    large = runs.where("own is not null").select("key", "c_node", "own", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("offset"))
+    rows = rows.select("key", "node", "c_node").join(mixed, "key").join(large, ["key", "c_node"], "left")
+    at = F.when(F.col("own").isNotNull(), F.col("offset") + F.pmod(F.xxhash64("node"), "own")).otherwise(F.col("owned") + F.pmod(F.xxhash64("node"), F.greatest("shared", F.lit(1))))
+    rows = rows.withColumn("block", at.cast("int"))
+    partners = F.filter(F.sequence(F.lit(0), (F.col("owned") + F.col("shared") - 1).cast("int")), lambda o: F.col("own").isNull() | (o < F.col("offset")) | (o >= F.col("offset") + F.col("own")))
+    rows = rows.withColumn("other", F.explode(partners)).select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "c_node")
+    return rows.join(nodes.select("node", "n", "bands", *SIGNATURE), "node")
+
+
+class Cell:
+    """The rows of a cell, and which pairs of them this cell has to look at."""
+
+    def __init__(self, rows: pa.Table):
+        self.node, self.own, self.block, self.n = (rows.column(c).to_numpy() for c in ("node", "c_node", "block", "n"))
+        self.sig = np.stack([rows.column(c).to_numpy() for c in SIGNATURE], axis=1).view(np.uint64)
+        self.bands = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        self.band = int(np.argmax(self.bands[0] == rows.column("key")[0].as_py()))
+        self.same = rows.column("low")[0] == rows.column("high")[0]
+        self.least = least_estimate()
+
+    def partners(self, i: int, label: np.ndarray) -> np.ndarray:
+        """Later rows of another label that may be similar to row i and share no earlier band with it."""
+        j = np.arange(i + 1, len(self.node))
+        j = j[(label[j] != label[i]) & (self.same | (self.block[j] != self.block[i]))]
+        if len(j):  # the smaller set as the intersection, the larger as the union, at best
+            j = j[linked(np.minimum(self.n[j], self.n[i]), self.n[j], self.n[i])]
+        if len(j):
+            j = j[similarity(self.sig[i], self.sig[j]) >= self.least]
+        if len(j):
+            j = j[~(self.bands[j, : self.band] == self.bands[i, : self.band]).any(axis=1)]
+        return j
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition(*CELL).sortWithinPartitions(*CELL)
+
+
+def candidates(rows: DataFrame) -> DataFrame:
+    """The rows of ``cells`` that have a promising partner of another component in their cell."""
 
-def across(buckets: DataFrame, component: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Promising pairs ``a, b`` within a bucket whose ends are in different components; buckets of one are left out first."""
-    rows = saved(_labelled(buckets.select("key", "node"), component, "node"), "labelled")
-    mixed = rows.groupBy("key").agg(F.min("c_node").alias("low"), F.max("c_node").alias("high"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("low < high")
-    rows = rows.join(mixed.select("key", "blocks"), "key").join(nodes.select("node", "bands", *SIGNATURE), "node")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    partners = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("low"), F.greatest("block", o).alias("high")))
-    cells = rows.withColumn("cell", F.explode(partners)).select("key", F.col("cell.low").alias("low"), F.col("cell.high").alias("high"), "block", "node", "c_node", "bands", *SIGNATURE)
-    cells = cells.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    least = least_estimate()
-
-    def compare(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        node, own, block, key = (rows.column(c).to_numpy() for c in ("node", "c_node", "block", "key"))
-        sig = np.stack([rows.column(c).to_numpy() for c in SIGNATURE], axis=1).view(np.uint64)
-        bands_ = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
-        band = int(np.argmax(bands_[0] == key[0]))
-        same = rows.column("low")[0] == rows.column("high")[0]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups(batches, CELL):
+            cell = Cell(group)
+            wanted = np.zeros(len(cell.node), bool)
+            for i in range(len(wanted) - 1):
+                j = cell.partners(i, cell.own)
+                wanted[j] = True
+                wanted[i] |= len(j) > 0
+            if wanted.any():
+                yield from group.filter(pa.array(wanted)).combine_chunks().to_batches()
+
+    return in_arrow(dealt(rows), run, rows.schema)
+
+
+def spanning(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links ``a, b`` that join the components of each cell as its confirmed pairs do; ``sets`` has ``node, shingles``."""
+
+    def joined(group: pa.Table) -> tuple[list[int], list[int]]:
+        cell = Cell(group)
+        _, label = np.unique(cell.own, return_inverse=True)
+        flat = np.frombuffer(b"".join(group.column("shingles").to_pylist()), np.uint64)
+        _, ids = np.unique(flat, return_inverse=True)
+        end = np.cumsum(cell.n)
+        begin = end - cell.n
+        mark = np.zeros(len(ids), bool)
         out_a, out_b = [], []
-        for i in range(len(node) - 1):
-            j = np.arange(i + 1, len(node))
-            j = j[(own[j] != own[i]) & (same | (block[j] != block[i]))]
-            if len(j):
-                j = j[similarity(sig[i], sig[j]) >= least]
-                j = j[~(bands_[j, :band] == bands_[i, :band]).any(axis=1)]
-                out_a.append(np.minimum(node[i], node[j]))
-                out_b.append(np.maximum(node[i], node[j]))
-        none = np.zeros(0, np.int64)
-        return np.concatenate([none, *out_a]), np.concatenate([none, *out_b])
+        for i in range(len(label) - 1):
+            j = cell.partners(i, label)
+            if not len(j):
+                continue
+            mark[ids[begin[i] : end[i]]] = True
+            size = cell.n[j]
+            first = np.cumsum(size) - size
+            hits = mark[ids[np.repeat(begin[j] - first, size) + np.arange(size.sum())]]
+            both = np.add.reduceat(hits, first, dtype=np.int64)
+            mark[ids[begin[i] : end[i]]] = False
+            for k in j[linked(both, size, cell.n[i])]:
+                if label[k] != label[i]:
+                    label[label == label[k]] = label[i]
+                    out_a.append(int(cell.node[i]))
+                    out_b.append(int(cell.node[k]))
+        return out_a, out_b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in groups(batches, ("key", "low", "high")):
-            a, b = compare(group)
-            if len(a):
-                yield pa.RecordBatch.from_pydict({"a": pa.array(a), "b": pa.array(b)})
+        for group in groups(batches, CELL):
+            a, b = joined(group)
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return cells.mapInArrow(run, "a long, b long")
+    return in_arrow(dealt(rows.join(sets, "node")), run, "a long, b long")
 
 
 def groups(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[pa.Table]:
@@ -290,51 +364,55 @@ def similarity(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (equal - chance) / (1 - chance)
 
 
-def node_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``node, text`` of the wanted nodes (doc_id, node): the text of that id whose words have that hash."""
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """``node, shingles``: the sorted 64-bit hashes of each node's shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            node = batch.column("node").to_pylist()
-            right = [node_of(words(t.as_py())) == n for n, t in zip(node, batch.column("text"))]
-            yield batch.filter(pa.array(right)).select(["node", "text"])
+        for b in batches:
+            sets = [shingles(words(t.as_py())).tobytes() for t in b.column("text")]
+            yield pa.RecordBatch.from_pydict({"node": b.column("node"), "shingles": pa.array(sets, pa.binary())})
 
-    return docs.join(wanted, "doc_id").select("node", "text").mapInArrow(run, "node long, text string")
+    return in_arrow(texts.select("node", "text"), run, "node long, shingles binary")
 
 
 def components_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From ``doc_id, text``: (a row ``doc_id, n_shingles, node`` for each document, ``node, component_id, first_id, component`` of each node)."""
-    rows = saved(signatures(docs), "signatures")
-    members = rows.where("node is not null and doc_id is not null")
-    classes = saved(members.groupBy("node").agg(F.min("doc_id").alias("first_id")), "classes")
-    one = members.join(classes, "node").where("doc_id = first_id").dropDuplicates(["node"])
-    nodes = saved(one.select("node", "doc_id", "bands", *SIGNATURE), "nodes")
-    keyed = nodes.select("node", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last")
-    buckets = saved(keyed.join(shared.select("key", "first"), "key"), "buckets")
-
-    # Round 1: each node with the most alike of its buckets' first nodes; round 2: with the others, if still apart.
-    stars = saved(promising(buckets.where("node > first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), nodes), "stars")
-    texts = saved(node_texts(docs, nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("doc_id", "node")), "texts")
-    best = stars.groupBy("b").agg(F.max(F.struct("e", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
-    tested = saved(confirmed(best, texts), "confirmed")
-    component = saved(graph.components(tested.where("linked")), "joined")
-    for step in ("stars", "buckets"):  # after the stars, whatever else shares a bucket and is still apart
-        todo = apart(stars.select("a", "b"), component) if step == "stars" else across(buckets, component, nodes)
-        todo = saved(todo.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "todo")
-        if not todo.isEmpty():
-            tested = tested.unionAll(saved(confirmed(todo, texts), "confirmed"))
-            component = saved(graph.components(tested.where("linked")), "joined")
-
-    whole = _labelled(classes, component, "node").withColumnRenamed("c_node", "component")
-    smallest = whole.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    return rows.select("doc_id", "n_shingles", "node"), saved(whole.join(smallest, "component"), "components")
+    """From ``keyed`` rows: (a row ``doc_id, n_shingles, component_id`` for each document; ``doc_id, tid`` of the one that stays of each component)."""
+    scratch = Scratch(docs.sparkSession, "minhash")
+    rows = scratch.saved(signatures(docs), "signatures")
+    members = rows.where("h is not null and doc_id is not null")
+    classes = members.groupBy("h", "l").agg(F.min(F.struct("doc_id", "tid")).alias("one")).select("h", "l", "one.*")
+    classes = scratch.saved(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # written once, so that numbers stay
+    nodes = members.join(classes, ["h", "l", "doc_id", "tid"]).dropDuplicates(["node"])
+    nodes = scratch.saved(nodes.select("node", "doc_id", "tid", F.col("n_shingles").alias("n"), "bands", *SIGNATURE), "nodes")
+    keyed_ = nodes.select("node", "n", F.explode("bands").alias("key"))
+    shared = keyed_.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last")
+    buckets = scratch.saved(keyed_.join(shared.select("key", "first"), "key"), "buckets")
+    wanted = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("doc_id", "tid", "node")
+    texts = scratch.saved(docs.join(wanted, ["doc_id", "tid"]).select("node", "text").dropDuplicates(["node"]), "texts")
+
+    # Each node with the first node that it shares most bands with; then what is still apart, block by block.
+    bands_ = buckets.where("node > first").groupBy("node", "first").agg(F.count("*").alias("shared"))
+    best = bands_.groupBy("node").agg(F.max(F.struct("shared", F.col("first").alias("a"))).alias("m")).select(F.col("m.a").alias("a"), F.col("node").alias("b"))
+    links = scratch.saved(confirmed(scratch.saved(promising(best, nodes), "pairs"), texts), "confirmed")
+    component = graph.components(links, scratch=scratch)
+    found = scratch.saved(candidates(cells(buckets, component, nodes, scratch)), "candidates")
+    if not found.isEmpty():
+        sets = shingle_sets(texts.join(found.select("node").distinct(), "node", "left_semi"))
+        more = scratch.saved(spanning(found, sets), "spanning")
+        component = graph.components(links.unionAll(more), scratch=scratch)
+
+    whole = _labelled(classes.select("h", "l", "node", "doc_id", "tid"), component)
+    smallest = whole.groupBy("c_node").agg(F.min(F.struct("doc_id", "tid")).alias("stays"))
+    named = whole.select("h", "l", "c_node").join(smallest, "c_node").select("h", "l", F.col("stays.doc_id").alias("component_id"))
+    out = saved(rows.select("doc_id", "n_shingles", "h", "l").join(named, ["h", "l"], "left").select("doc_id", "n_shingles", "component_id"), "near-duplicates")
+    stay = saved(smallest.select("stays.*"), "staying")
+    scratch.drop()
+    return out, stay
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document: ``doc_id, n_shingles, component_id, kept``."""
-    rows, nodes = components_of(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
-    out = rows.join(nodes.select("node", "component_id"), "node", "left")
+    out, _ = components_of(keyed(docs, doc_id, text))
     id_ = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", id_.alias("component_id"), id_.eqNullSafe(F.col("doc_id")).alias("kept"))
 
@@ -342,18 +420,11 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of each component the document of the smallest id, once.
 
-    Rows without words or without an id stay.
+    Rows without words or without an id stay. Of rows with the same id and text, that of the smallest hash of all columns stays.
     """
-    _, nodes = components_of(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
-    chosen = nodes.where("first_id = component_id").groupBy("component").agg(F.min("node").alias("node"), F.min("first_id").alias("id"))
-    packed = docs.select(F.struct("*").alias("row"), F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            node = [node_of(words(t.as_py())) for t in b.column("t")]
-            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("id"), pa.array(node, pa.int64())], names=["row", "id", "node"])
-
-    rows = packed.mapInArrow(run, f"row {packed.schema['row'].dataType.simpleString()}, id long, node long")
-    free = rows.where("node is null or id is null").select("row.*")
-    once = rows.where("node is not null and id is not null").join(chosen.select("node", "id"), ["node", "id"]).groupBy("node", "id").agg(F.first("row").alias("row"))
+    _, stay = components_of(keyed(docs, doc_id, text))
+    t = F.col(text)
+    rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(t).alias("tid"), F.coalesce(t.rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("_words"))
+    free = rows.where("not _words or doc_id is null").select("row.*")
+    once = rows.where("_words and doc_id is not null").join(stay, ["doc_id", "tid"]).groupBy("doc_id", "tid").agg(F.min_by("row", F.sha2(F.to_json("row"), 256)).alias("row"))
     return free.unionAll(once.select("row.*"))
