@@ -368,26 +368,65 @@ def test_sharding(spark, none, tmp_path):
 
 # 6
 
-def test_embeddings(spark):
+def linked_vectors(vectors, least=0.9):
+    """Which pairs of usable vectors are linked, in double precision; lists of other lengths never are."""
+    near = np.zeros((len(vectors), len(vectors)), bool)
+    for size in {len(v) for v in vectors}:
+        at = [i for i, v in enumerate(vectors) if len(v) == size]
+        x = np.array([vectors[i] for i in at], np.float64)
+        x /= np.abs(x).max(axis=1, keepdims=True)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        near[np.ix_(at, at)] = x @ x.T >= least
+    np.fill_diagonal(near, False)
+    return near
+
+
+def check_vectors(got, near, recall):
+    found = sum(got[i]["n_links"] for i in range(len(near)))
+    assert found >= recall * near.sum() and all(got[i]["n_links"] <= near[i].sum() for i in range(len(near)))
+    label = joined(len(near), list(zip(*np.nonzero(near))))
+    assert found < near.sum() or all(got[i]["component_id"] == label[i] and got[i]["kept"] == (label[i] == i) for i in range(len(near)))
+
+
+@pytest.mark.parametrize("how", [{"leaf": 32, "block": 16}, {"leaf": 8, "block": 4, "sample": 100}])
+def test_embeddings(spark, monkeypatch, how):
+    """Spilled leaves in blocks; with a small sample, leaves that are split by their own trees."""
+    split, own = [], embed_dedup.split_leaves
+    monkeypatch.setattr(embed_dedup, "split_leaves", lambda *a: split.append(1) or own(*a))
+    monkeypatch.setattr(embed_dedup, "PART", 50)
     rng = np.random.default_rng(6)
     centres = rng.standard_normal((40, 16))
     v = [c + 0.12 * rng.standard_normal(16) for c in centres for _ in range(12)] + [centres[0] * s for s in (1, 2)] + [centres[0]] * 3
-    v = [np.asarray(x, np.float32).tolist() for x in v]
-    odd = [None, [], [0.0] * 16, [1.0, None] + [0.0] * 14, [float("nan")] + [1.0] * 15, [float("inf")] * 16, [1.0, 2.0]]
+    v = [np.asarray(x, np.float32).tolist() for x in v] + [[1.0, 2.0], [2.0, 4.1], [1.0, -2.0], [3.0, 3.0, 3.0]]
+    odd = [None, [], [0.0] * 16, [1.0, None] + [0.0] * 14, [float("nan")] + [1.0] * 15, [float("inf")] * 16]
     rows = [(i, x, 0) for i, x in enumerate([*v, *odd])]
-    x = np.array(v, np.float64)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    near = x @ x.T >= 0.9
-    np.fill_diagonal(near, False)
-    label = joined(len(v), list(zip(*np.nonzero(near))))
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, component_id int")
-    got = {r["vec_id"]: r for r in embed_dedup.dedup(df, leaf=32, block=16).collect()}
-    found = sum(got[i]["n_links"] for i in range(len(v)))
-    assert found >= 0.995 * near.sum() and all(got[i]["n_links"] <= near[i].sum() for i in range(len(v)))
-    if found == near.sum():
-        assert all(got[i]["component_id"] == label[i] and got[i]["kept"] == (label[i] == i) for i in range(len(v)))
+    got = {r["vec_id"]: r for r in embed_dedup.dedup(df, **how).collect()}
+    check_vectors(got, linked_vectors([np.asarray(x, np.float32) for x in v]), 0.995)
     assert all((got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (0, i, True) for i in range(len(v), len(rows)))
-    assert embed_dedup.dedup(df.limit(0)).isEmpty()
+    assert bool(split) == ("sample" in how) and embed_dedup.dedup(df.limit(0)).isEmpty()
+    two = df.where("vec_id < 24").unionAll(df.where("vec_id = 20").withColumn("vec_id", F.lit(3).cast("long"))).unionAll(df.where("vec_id = 5"))
+    ids = [r for r in embed_dedup.dedup(two).collect() if r["vec_id"] == 3]
+    assert sorted(r["component_id"] for r in ids) == [0, 3]  # one id, two vectors
+
+
+def test_embeddings_doubles(spark):
+    """Components that floats can't hold, and cosines at the threshold."""
+    v = [[1.0, 0.0], [0.9, 0.19**0.5], [0.9 - 1e-9, (1 - (0.9 - 1e-9) ** 2) ** 0.5], [1e300, 1e300, 0.0, 0.0], [2e300, 2e300, 0.0, 0.0], [1e-300, 1e-300, 0.0, 0.0], [-1e300, 1e300, 0.0, 0.0], [3.0, 4.0, 0.0], [3.0, 4.0, 1e-8]]
+    df = spark.createDataFrame(list(enumerate(v)), "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embed_dedup.dedup(df).collect()}
+    assert got == {0: (1, 0), 1: (2, 0), 2: (1, 0), 3: (2, 3), 4: (2, 3), 5: (2, 3), 6: (0, 6), 7: (1, 7), 8: (1, 7)}
+
+
+def test_embeddings_recall(spark):
+    """Vectors of 64 components, a tight hot group of a third beside pairs: recall against brute force."""
+    rng = np.random.default_rng(64)
+    centre = rng.standard_normal(64)
+    hot = centre / np.linalg.norm(centre) + 0.33 * (lambda x: x / np.linalg.norm(x, axis=1, keepdims=True))(rng.standard_normal((1000, 64)))
+    pairs = np.repeat(rng.standard_normal((1000, 64)), 2, axis=0) + 0.2 * rng.standard_normal((2000, 64))
+    v = np.concatenate([hot, pairs])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    check_vectors({r["vec_id"]: r for r in embed_dedup.dedup(df).collect()}, linked_vectors(list(v)), 0.995)
 
 
 def test_forest_depth():
