@@ -4,15 +4,16 @@ Each document's key hashes to ``BITS`` bits. Starting from one bucket, a bucket
 bit, until every bucket fits. The sums of ``STEP`` further bits at a time are taken in one pass over the buckets that are
 still too large, so the number of passes doesn't depend on the number of shards.
 
-A bucket whose rows all share one hash cannot split by bits: equal keys. It stops at once and is cut by running sums
-of bytes within each input partition instead, so that a key that holds a large part of all rows meets in no single task.
-A single row above the limit gets a shard of its own; nothing else can exceed the limit.
+A bucket whose rows all share one hash cannot split by bits: equal keys. It stops at once and is cut by running sums of
+bytes in the order of its texts' hashes instead; like rows are counted where they lie, so that a key that holds a large part
+of all rows meets in no single task, and the cuts don't depend on how rows are dealt. A single row above the limit gets a
+shard of its own; nothing else can exceed the limit.
 
 Nulls: a null key hashes as the empty string, a null text has no bytes. Repeated rows share their hash and are cut as
 said. An empty table gives no rows. Columns named ``shard``, ``depth`` or ``n_bytes`` are replaced.
 """
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import saved
@@ -61,27 +62,52 @@ def assign(df: DataFrame, limit: int = LIMIT_BYTES, text: str = "text", key: str
     rows = df.select(F.struct(*old).alias("row"), bytes_.alias("n_bytes"), key_hash(F.col(key)).alias("_hash"))
     narrow = saved(rows.select("_hash", "n_bytes"), "sizes")
     out, depth, cut = rows, F.lit(None).cast("int"), F.lit(None).cast("boolean")
-    for bits, cells in directory(narrow, limit):
+    found = directory(narrow, limit)
+    for bits, cells in found:
         own = cells.select(F.col("cell").alias("_cell"), F.col("depth").alias(f"_depth{bits}"), F.col("cut").alias(f"_cut{bits}"))
         out = out.withColumn("_cell", prefix(F.col("_hash"), bits)).join(own, "_cell", "left").drop("_cell")
         depth, cut = F.coalesce(depth, F.col(f"_depth{bits}")), F.coalesce(cut, F.col(f"_cut{bits}"))
     out = out.withColumns({"depth": depth, "_cut": cut})
     out = out.drop(*[c for c in out.columns if c.startswith(("_depth", "_cut")) and c != "_cut"])
     shard = F.substring(F.lpad(F.bin("_hash"), BITS, "0"), F.lit(1), F.col("depth"))
-    whole = out.where(~F.col("_cut")).withColumn("shard", shard)
-    within = Window.partitionBy("_hash", "_part").orderBy("n_bytes").rowsBetween(Window.unboundedPreceding, 0)
-    parts = out.where("_cut").withColumn("_part", F.spark_partition_id())
-    parts = parts.withColumn("_run", F.sum("n_bytes").over(within)).withColumn("_nth", F.count("*").over(within))
-    half = limit / 2  # rows of at most half the limit that start in one half-limit stretch fit together; larger ones stand alone
-    piece = F.when(F.col("n_bytes") > half, F.concat(F.lit("r"), F.col("_nth"))).otherwise(F.floor((F.col("_run") - F.col("n_bytes")) / half).cast("string"))
-    parts = parts.withColumn("shard", F.concat_ws(".", shard, F.col("_part"), piece)).drop("_part", "_run", "_nth")
+    whole = out.where(F.coalesce(~F.col("_cut"), F.lit(True))).withColumn("shard", shard)
     new = [c for c in ("n_bytes", "shard", "depth") if c not in (text, key)]
-    return whole.unionByName(parts).select("row.*", *new)
+    if all(cells.where("cut").isEmpty() for _, cells in found):
+        return whole.select("row.*", *new)
+    parts = out.where("_cut").withColumn("_text", F.xxhash64(F.col("row").getField(text))).withColumn("_part", F.spark_partition_id())
+    parts = numbered(saved(parts, "equal-keys"), ["_hash", "_text", "n_bytes"])
+    half = limit / 2  # rows of at most half the limit that start in one half-limit stretch fit together; larger ones stand alone
+    piece = F.when(F.col("n_bytes") > half, F.concat(F.lit("r"), F.col("_nth"))).otherwise(F.floor(F.col("_before") / half).cast("string"))
+    parts = parts.withColumn("shard", F.concat_ws(".", shard, piece))
+    return whole.select("row", *new).unionAll(parts.select("row", *new)).select("row.*", *new)
+
+
+def numbered(rows: DataFrame, same: list[str]) -> DataFrame:
+    """Adds ``_nth`` and ``_before``: rows and bytes before each row among those of its ``_hash``, in the order of ``same``.
+
+    Rows alike in ``same`` are counted first, by ``_part`` (where they lie), so however many there are, no task has them
+    all, and the numbers that they get as a group don't depend on how they are dealt.
+    """
+    here = rows.groupBy(*same, "_part").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*same).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    here = here.withColumn("_at", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    group = here.groupBy(*same).agg(F.sum("_n").alias("_n"))
+    earlier = Window.partitionBy("_hash").orderBy(*same).rowsBetween(Window.unboundedPreceding, -1)
+    group = group.select(*same, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_rows"), F.coalesce(F.sum(F.col("_n") * F.col("n_bytes")).over(earlier), F.lit(0)).alias("_bytes"))
+    own = Window.partitionBy(*same, "_part").orderBy(F.lit(1))
+    out = rows.withColumn("_i", F.row_number().over(own) - 1).join(here.drop("_n"), [*same, "_part"]).join(group, same)
+    return out.withColumns({"_nth": F.col("_rows") + F.col("_at") + F.col("_i"), "_before": F.col("_bytes") + (F.col("_at") + F.col("_i")) * F.col("n_bytes")})
 
 
 def write(assigned: DataFrame, out: str) -> None:
-    """One folder for each shard."""
-    assigned.repartition("shard").sortWithinPartitions("shard").write.partitionBy("shard").parquet(out)
+    """One folder for each shard, named by a letter and its bits, as folders named by digits would be read as numbers."""
+    named = assigned.withColumn("shard", F.concat(F.lit("b"), "shard"))
+    named.repartition("shard").sortWithinPartitions("shard").write.partitionBy("shard").parquet(out)
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of ``write`` with their shards' names."""
+    return spark.read.parquet(path).withColumn("shard", F.substr("shard", F.lit(2)))
 
 
 SQL = """

@@ -4,8 +4,8 @@ Rules name a host (with all its subdomains) and the start of a path; the longest
 allow and block train two variable-order Markov models over normalised URLs: each order's estimate is smoothed by the
 next shorter one, with a weight that follows how often the context was seen, down to equal chances. A URL without a
 rule is judged by the mean over its characters of the log-likelihood difference (accepted less rejected). The cut is
-calibrated on the ruled URLs, whose own occurrences are left out of the counts that score them: the score with the
-largest sum of the shares of allowed and blocked URLs that it puts right, in the middle of the gap between the two.
+calibrated on the ruled URLs, each scored by counts less one occurrence of each of its grams (further ones, of grams that
+it or its copies repeat, stay): the score with the largest sum of the shares of allowed and blocked URLs that it puts right, in the middle of the gap between the two.
 
 The alphabet is closed (``ALPHABET`` symbols), so a model has at most ALPHABET ** ORDER rows whatever the input's size;
 counts cover all URLs. Scores are summed as integers, so reruns agree. Everything runs as DataFrame operations.
@@ -73,7 +73,7 @@ def grams(text: Column) -> Column:
 def model(counted: DataFrame) -> DataFrame:
     """From ``gram, a, r`` (occurrences in accepted and rejected URLs) to ``gram`` and three scores in 1 / UNIT.
 
-    ``llr`` for any URL; ``llr_a`` and ``llr_r`` for an accepted and a rejected one, without its own occurrence.
+    ``llr`` for any URL; ``llr_a`` and ``llr_r`` for an accepted and a rejected one, less one occurrence of each of its grams.
     """
     out = counted
     chance = {k: F.lit(1.0 / ALPHABET) for k in ("a", "r", "a1", "r1")}
