@@ -240,10 +240,14 @@ def repeats(docs: DataFrame, text: str) -> DataFrame:
     classes = twice.where("mixed").groupBy("gram", "span").agg(F.count("*").alias("n"), F.max(F.struct("doc", "tid", "place")).alias("one"))
     classes = classes.select("gram", "span", "n", "one.doc", "one.tid", "one.place")
     runs = repeated_windows(scratch.saved(whole_spans(docs, text, classes), "spans"), scratch)
-    piece = lambda first, last: F.shiftleft(low(F.col("place")) + first, 24).bitwiseOR(last - first + LENGTH)
-    settled = twice.where("not mixed").select("doc", "tid", piece(F.lit(0), windows(F.col("place"))).alias("cut"))
-    sorted_ = twice.where("mixed").join(runs, ["gram", "span"]).select("doc", "tid", piece(F.col("first"), F.col("end")).alias("cut"))
-    out = saved(settled.unionAll(sorted_).distinct().groupBy("doc", "tid").agg(F.sort_array(F.collect_list("cut")).alias("cuts")), "cuts")
+    piece = lambda place, first, last: F.shiftleft(low(place) + first, 24).bitwiseOR(last - first + LENGTH)
+    settled = twice.where("not mixed").select("doc", "tid", F.array(piece(F.col("place"), F.lit(0), windows(F.col("place")))).alias("cuts"))
+    within = twice.where("mixed").groupBy("gram", "span", "doc", "tid").agg(F.collect_list("place").alias("places"))  # a line may stand in a document many times
+    lists = runs.groupBy("gram", "span").agg(F.collect_list(F.struct("first", "end")).alias("runs"))
+    each = F.transform("places", lambda p: F.transform("runs", lambda r: piece(p, r["first"], r["end"])))
+    sorted_ = within.join(lists, ["gram", "span"]).select("doc", "tid", F.flatten(each).alias("cuts"))
+    every = settled.unionAll(sorted_).groupBy("doc", "tid").agg(F.flatten(F.collect_list("cuts")).alias("cuts"))
+    out = saved(every.select("doc", "tid", F.sort_array(F.array_distinct("cuts")).alias("cuts")), "cuts")
     scratch.drop()
     return out
 
