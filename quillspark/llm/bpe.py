@@ -22,8 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-#: Distinct words and fragments whose ids one Python worker remembers.
-REMEMBERED = 600_000
+from quillspark.llm.common import in_arrow
+
+#: Bytes of words, and of fragments, with their ids, that one Python worker remembers.
+REMEMBERED = 64 << 20
+FRAGMENTS = 24 << 20
 
 # Letters and numbers among the first 256 code points, after lower-casing.
 LATIN_LETTERS = "a-zªµºß-öø-ÿ"
@@ -31,6 +34,32 @@ LATIN_NUMBERS = "0-9²³¹¼½¾"
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 
 
+#: The settings of a vocabulary file that the encoders here follow; another file is refused.
+FOLLOWED = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": CONTRACTIONS + "|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "decoder": None,
+}
+MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+ADDED = {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False}
+
+
+def followed(spec: dict) -> dict:
+    """The vocabulary file's content, if its settings are those that are followed here; else an error that names the first one that isn't."""
+    wrong = [k for k, v in FOLLOWED.items() if spec.get(k) != v] + [f"model.{k}" for k, v in MODEL.items() if spec["model"].get(k, v) != v]
+    wrong += [f"added token {a['content']}" for a in spec["added_tokens"] if any(a.get(k, v) != v for k, v in ADDED.items())]
+    if wrong:
+        raise ValueError(f"this vocabulary file's {wrong[0]} is not one that can be followed")
+    return spec
+
+
 def byte_alphabet() -> list[str]:
     """The printable stand-in of each byte: itself if printable in Latin-1, else the next free one from 256."""
     shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -44,7 +73,7 @@ def latin_pattern() -> re.Pattern:
 
 
 class _Remembered(dict):
-    """Calls ``make`` for a key that is not there; keeps at most ``most`` results."""
+    """Calls ``make`` for a key that is not there; keeps results while they take at most ``most`` bytes."""
 
     def __init__(self, make, most: int):
         super().__init__()
@@ -52,19 +81,25 @@ class _Remembered(dict):
 
     def __missing__(self, key):
         value = self.make(key)
-        if len(self) < self.most:
+        if self.most > 0:
             self[key] = value
+            self.most -= cost(key, value)
         return value
 
 
+def cost(key: object, ids: tuple[int, ...]) -> int:
+    """Bytes of an entry: its key, its ids (numbers that are shared) and its place in the table."""
+    return sys.getsizeof(key) + (sys.getsizeof(key[0]) if isinstance(key, tuple) else 0) + sys.getsizeof(ids) + 104
+
+
 class ForcedBoundaryBPE:
-    """Encodes as the vocabulary file says: its added tokens, NFC, white space to one space, lower case, word split."""
+    """Encodes as the vocabulary file says: its added tokens, NFC, white space to one space, lower case, word split (``FOLLOWED``)."""
 
     def __init__(self, spec: dict, remembered: int = REMEMBERED):
         import regex
         from tokenizers import Tokenizer
 
-        model = spec["model"]
+        model = followed(spec)["model"]
         self.suffix = model.get("end_of_word_suffix") or ""
         self.vocab: dict[str, int] = model["vocab"]
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
@@ -84,7 +119,7 @@ class ForcedBoundaryBPE:
             self.token[i] = t
         self.decimal = [str(i) for i in self.ints]
         self.inside = self._pairs_inside(alphabet)
-        self.fragments = _Remembered(self._merge, remembered)
+        self.fragments = _Remembered(self._merge, min(remembered, FRAGMENTS))
         self.words = _Remembered(self._word, remembered)
         self.split_added = re.compile("(" + "|".join(map(re.escape, self.added)) + ")") if self.added else None
         self.latin = latin_pattern()
@@ -203,7 +238,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
         for b in batches:
             yield _with_columns(b, {ids: id_lists([bpe.encode(t) for t in b.column(text).to_pylist()])})
 
-    return df.mapInArrow(run, _schema(df, **{ids: T.ArrayType(T.IntegerType())}))
+    return in_arrow(df, run, _schema(df, **{ids: T.ArrayType(T.IntegerType())}))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -215,7 +250,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
         for b in batches:
             yield _with_columns(b, {text: pa.array([bpe.decode(x or []) for x in b.column(ids).to_pylist()], pa.string())})
 
-    return df.mapInArrow(run, _schema(df, **{text: T.StringType()}))
+    return in_arrow(df, run, _schema(df, **{text: T.StringType()}))
 
 
 def round_trip(df: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -237,7 +272,7 @@ def round_trip(df: DataFrame, path: str, text: str = "text") -> DataFrame:
                 of_text.append(sha(bpe.decode(ids).encode()).hexdigest())
             yield _with_columns(b, {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(of_ids), "decoded_sha256": pa.array(of_text)}).drop_columns([text])
 
-    return narrow.mapInArrow(run, out)
+    return in_arrow(narrow, run, out)
 
 
 def default_path(spark: SparkSession | None = None) -> str:

@@ -11,6 +11,7 @@ rows, ordered by the length and hash of their texts. An empty table gives files
 """
 
 import hashlib
+import json
 import sys
 import zlib
 from collections.abc import Iterator
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm import bpe
-from quillspark.llm.common import saved
+from quillspark.llm.common import in_arrow, saved
 
 END_ID = 1
 ROW_INDEX = 10_000
@@ -31,7 +32,7 @@ STRIPE_BYTES = 64 << 20
 
 
 class _Words(dict):
-    """Word to ids by the library's model; remembers up to ``most`` words."""
+    """Word to ids by the library's model; remembers words while they take at most ``most`` bytes."""
 
     def __init__(self, model, model_size: int, most: int):
         super().__init__()
@@ -41,8 +42,9 @@ class _Words(dict):
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         ids = tuple([self.ints[t.id] for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.alphabet))])
-        if len(self) < self.most:
+        if self.most > 0:
             self[word] = ids
+            self.most -= bpe.cost(word, ids)
         return ids
 
 
@@ -56,6 +58,7 @@ class LibraryEncoder:
     def __init__(self, content: bytes, remembered: int = bpe.REMEMBERED):
         from tokenizers import Tokenizer
 
+        bpe.followed(json.loads(content))
         self.tokenizer = Tokenizer.from_str(content.decode())
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -105,7 +108,7 @@ def write(df: DataFrame, out: str, vocabulary: str, text: str = "text", doc_id:
                 yield pa.RecordBatch.from_pydict({"doc_id": c.column("doc_id"), "ids": bpe.id_lists(ids), "part": pa.array(np.full(n, part, np.int32)), "pos": pa.array(np.arange(pos, pos + n, dtype=np.int64))})
                 pos += n
 
-    tokens = dealt.mapInArrow(run, "doc_id long, ids array<int>, part int, pos long")
+    tokens = in_arrow(dealt, run, "doc_id long, ids array<int>, part int, pos long")
     (
         tokens.write.option("orc.bloom.filter.columns", "doc_id")
         .option("orc.bloom.filter.fpp", "0.01")
@@ -135,7 +138,7 @@ def index(spark: SparkSession, path: str) -> DataFrame:
             crc = [zlib.crc32(flat[4 * x : 4 * y]) for x, y in zip(ends, ends[1:])]
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "part": b.column("part"), "pos": b.column("pos"), "n_tokens": pa.array(np.diff(ends).astype(np.int64)), "ids_crc32": pa.array(crc, pa.int64())})
 
-    docs = saved(read(spark, path).mapInArrow(run, "doc_id long, part int, pos long, n_tokens long, ids_crc32 long"), "token-index")
+    docs = saved(in_arrow(read(spark, path), run, "doc_id long, part int, pos long, n_tokens long, ids_crc32 long"), "token-index")
     before = Window.partitionBy("part").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     within = docs.withColumn("before", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
     parts = docs.groupBy("part").agg(F.sum("n_tokens").alias("total"))  # a row for each file

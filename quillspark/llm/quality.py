@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import saved
+from quillspark.llm.common import drop_path, in_arrow, new_path, saved
 
 #: Hash buckets of the scorer, and documents that it is fitted on.
 DIMS = 1024
@@ -36,6 +36,8 @@ FEW = 12
 ROUNDS = 100
 STEPS = 600
 BAD, GOOD, ABSTAIN = 0, 1, 2
+#: Score from which a document is kept.
+LEAST = 0.5
 
 
 def _shapes() -> bytes:
@@ -140,6 +142,22 @@ def hashed(look: Look, p: dict[str, float], known: dict[bytes, tuple[int, int]])
     return out
 
 
+SPARSE = np.dtype([("at", "<u2"), ("value", "<f4")])
+
+
+def sparse(x: np.ndarray) -> bytes:
+    """The places and values of a vector's numbers besides zeros."""
+    at = np.flatnonzero(x)
+    out = np.empty(len(at), SPARSE)
+    out["at"], out["value"] = at, x[at]
+    return out.tobytes()
+
+
+def unpack(packed: bytes, into: np.ndarray) -> None:
+    found = np.frombuffer(packed, SPARSE)
+    into[found["at"]] = found["value"]
+
+
 def patterns(docs: DataFrame, text: str) -> pd.DataFrame:
     """Vote patterns of documents with words, and how many have them."""
 
@@ -152,7 +170,7 @@ def patterns(docs: DataFrame, text: str) -> pd.DataFrame:
                     seen[votes(look, proportions(look))] += 1
             yield pa.RecordBatch.from_pydict({"pattern": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
 
-    counted = docs.select(F.col(text).alias("t")).mapInArrow(run, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
+    counted = in_arrow(docs.select(F.col(text).alias("t")), run, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
     return counted.orderBy("pattern").toPandas()  # at most 3 ** LABELLERS rows
 
 
@@ -209,33 +227,56 @@ def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE, doc_id: str
                 if look.n:
                     p = proportions(look)
                     h.append(at.as_py())
-                    x.append(hashed(look, p, known).tobytes())
+                    x.append(sparse(hashed(look, p, known)))
                     of.append(votes(look, p))
             yield pa.RecordBatch.from_pydict({"h": pa.array(h, pa.int64()), "x": pa.array(x, pa.binary()), "pattern": pa.array(of, pa.string())})
 
     ids = [F.col(doc_id)] if doc_id in docs.columns and doc_id != text else []
     chosen = docs.select(F.pmod(F.xxhash64(*ids, F.col(text)), F.lit(1 << 30)).alias("h"), F.col(text).alias("t")).where(F.col("h") < share)
-    rows = saved(chosen.mapInArrow(run, "h long, x binary, pattern string"), "sample").orderBy("h", "x", "pattern").limit(2 * sample).select("x", "pattern").collect()
-    rows.sort(key=lambda r: r["x"])  # the order of rows doesn't change the fit
-    x = np.stack([np.frombuffer(r["x"], np.float32) for r in rows]) if rows else np.zeros((0, DIMS), np.float32)
-    return fit(x, np.array([posterior[r["pattern"]] for r in rows]))
-
-
-def classify(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> DataFrame:
-    """Adds ``score`` (chance of a good document, to six places) and ``keep`` to every row."""
-    w, bias = train(docs, text, sample)
-    keep = [F.col(c) for c in docs.columns if c not in ("score", "keep") or c == text]
+    path = new_path(docs.sparkSession, "sample")
+    rows = saved(in_arrow(chosen, run, "h long, x binary, pattern string"), "sample", path=path)
+    if rows.count() > 2 * sample:
+        rows = rows.orderBy("h", "x", "pattern").limit(2 * sample)
+    got = sorted((r["x"], posterior[r["pattern"]]) for r in rows.select("x", "pattern").collect())  # so that their order doesn't change the fit
+    drop_path(docs.sparkSession, path)
+    y = np.array([label for _, label in got])
+    x = np.zeros((len(got), DIMS), np.float32)
+    for i, (packed, _) in enumerate(got):
+        unpack(packed, x[i])
+    del got
+    return fit(x, y)
+
+
+def scored(docs: DataFrame, text: str, w: np.ndarray, bias: float, least: float) -> DataFrame:
+    """``row`` (the columns besides ``text``), ``text`` and ``score``, of rows that score ``least`` at least. A text travels once."""
+    others = [c for c in docs.columns if c != text]
+    rows = docs.select(F.struct(*others, F.lit(0).alias("_")).alias("row"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, tuple[int, int]] = {}
         for b in batches:
             score = []
-            for t in b.column("t"):
+            for t in b.column("text"):
                 look = Look(t.as_py())
                 z = float(hashed(look, proportions(look), known).astype(np.float64) @ w) + bias if look.n else -np.inf
                 score.append(round(float(1 / (1 + np.exp(-np.clip(z, -500, 500)))), 6) if look.n else 0.0)
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(score, pa.float64())], names=["row", "score"])
+            out = pa.RecordBatch.from_arrays([b.column("row"), b.column("text"), pa.array(score, pa.float64())], names=["row", "text", "score"])
+            yield out if least <= 0 else out.filter(pa.array(np.array(score) >= least))
+
+    return in_arrow(rows, run, f"row {rows.schema['row'].dataType.simpleString()}, text {rows.schema['text'].dataType.simpleString()}, score double")
+
+
+def _columns(docs: DataFrame, text: str, names: list[str]) -> list:
+    return [F.col("text").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns if c in names]
+
+
+def classify(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> DataFrame:
+    """Adds ``score`` (chance of a good document, to six places) and ``keep`` to every row."""
+    out = scored(docs, text, *train(docs, text, sample), least=0.0)
+    old = [c for c in docs.columns if c not in ("score", "keep") or c == text]
+    return out.select(*_columns(docs, text, old), "score", (F.col("score") >= LEAST).alias("keep"))
+
 
-    rows = docs.select(F.struct(*keep).alias("row"), F.col(text).alias("t"))
-    out = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, score double")
-    return out.select("row.*", "score", (F.col("score") >= 0.5).alias("keep"))
+def keep_good(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> DataFrame:
+    """The rows that are not rejected, with their own columns."""
+    return scored(docs, text, *train(docs, text, sample), least=LEAST).select(*_columns(docs, text, docs.columns))

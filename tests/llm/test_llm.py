@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -115,6 +116,29 @@ def test_url_models(spark):
         assert got[i]["score"] == pytest.approx(sum(np.log(chance("a", g) / chance("r", g)) for g in gs) / len(gs), abs=1e-5)
 
 
+    # the cut: where most of both kinds are right, each scored without one occurrence of its own grams
+    def own(kind, g):
+        def less(c):
+            x = 1 / url_filter.ALPHABET
+            for n in range(1, k + 1):
+                s, one = g[k - n :], int(c == kind)
+                x = (max(0, counts[c][s] - one) + url_filter.STRENGTH * x) / (max(0, counts[c]["ctx" + str(n) + s[:-1]] - one) + url_filter.STRENGTH)
+            return x
+
+        return np.log(less("a") / less("r"))
+
+    at = {"a": [], "r": []}
+    for i, u in rows[:200]:
+        p = "^" * (k - 1) + u
+        kind = "a" if i % 2 else "r"
+        at[kind].append(np.floor(np.mean([own(kind, p[j : j + k]) for j in range(len(u))]) * url_filter.BINS))
+    cut = got[0]["cut"] * url_filter.BINS
+    right = lambda x: np.mean(np.array(at["a"]) >= x) + np.mean(np.array(at["r"]) < x)
+    assert right(cut) == max(right(x) for x in {y + d for v in at.values() for y in v for d in (0, 1)}) and right(cut) > 1.9
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    assert {r["page_id"]: r for r in url_filter.judge(df, broadcast_rows=0).collect()} == got  # the model joined by shuffle
+
+
 # 2 and 10
 
 ODD = [
@@ -131,6 +155,15 @@ def test_bpe_like_the_library():
     assert own.cuts("中x".encode()) and own.encode(None) == []
 
 
+def test_bpe_refuses_other_settings():
+    spec = json.loads(bpe.read_spec(bpe.default_path()))
+    for change in ({"normalizer": None}, {"decoder": {"type": "ByteLevel"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": spec["model"] | {"byte_fallback": True}}):
+        with pytest.raises(ValueError, match=next(iter(change))):
+            bpe.ForcedBoundaryBPE(spec | change)
+        with pytest.raises(ValueError, match=next(iter(change))):
+            orc_output.LibraryEncoder(json.dumps(spec | change).encode())
+
+
 def test_bpe_forgets(docs):
     small = bpe.ForcedBoundaryBPE(json.loads(bpe.read_spec(bpe.default_path())), remembered=600)
     t = library()
@@ -159,14 +192,43 @@ def test_orc(spark, unique, docs, none, tmp_path):
         ids = [*t.encode(text or "", add_special_tokens=False).ids, orc_output.END_ID]
         assert tuple(got[i])[1:] == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
-    first = next(p for p in (tmp_path / "orc").iterdir() if p.suffix == ".orc")
-    assert pyarrow.orc.ORCFile(first).nstripes >= 1
     assert orc_output.read(spark, out).where("doc_id = 5").count() == 1
     for k, df in (("all", docs), ("none", none)):
         orc_output.write(df, str(tmp_path / k), bpe.default_path())
         assert orc_output.index(spark, str(tmp_path / k)).count() == df.count()
 
 
+def test_orc_stripes(spark, tmp_path, monkeypatch):
+    """Several stripes in a file, each read by itself; Bloom filters, row indexes and disjoint ranges of ids to prune by."""
+    import pyarrow.orc
+
+    monkeypatch.setattr(orc_output, "STRIPE_BYTES", 64 << 10)
+    monkeypatch.setattr(orc_output, "ROW_INDEX", 1000)
+    n = 20_000
+    df = spark.range(n).select((F.col("id") * 3).alias("doc_id"), F.concat_ws(" ", F.md5(F.col("id").cast("string")), F.lit("word"), F.col("id")).alias("text"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    orc_output.write(df, str(tmp_path / "orc"), bpe.default_path())
+    ranges, rows = [], 0
+    for p in (tmp_path / "orc").glob("*.orc"):
+        f = pyarrow.orc.ORCFile(p)
+        for i in range(f.nstripes):
+            ids = f.read_stripe(i, columns=["doc_id"]).column(0).to_numpy()
+            rows += len(ids)
+            ranges.append((ids.min(), ids.max()))
+        assert f.nstripes > 1 and f.row_index_stride == 1000 and f.schema.field("ids").type.value_type == "int32"
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(str(p)), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        column = reader.getSchema().findSubtype("doc_id").getId()
+        records = reader.rows()
+        for stripe in reader.getStripes():
+            streams = {(s.getKind().toString(), s.getColumn()) for s in records.readStripeFooter(stripe).getStreamsList()}
+            assert ("ROW_INDEX", column) in streams and ("BLOOM_FILTER_UTF8", column) in streams
+        records.close()
+    ranges.sort()
+    assert rows == n and all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))
+    assert orc_output.read(spark, str(tmp_path / "orc")).where("doc_id = 3000").count() == 1
+
+
 # 3
 
 def sets(rows):
@@ -326,6 +388,54 @@ def test_quality_shapes():
     assert quality.collapsed(b"aaA\n\n00a") == b"aA\n0a"
 
 
+def test_quality_estimate():
+    """EM against a plain version that follows every document and labeller by itself."""
+    rng = random.Random(31)
+    n_labellers, docs_ = quality.LABELLERS, []
+    for _ in range(300):
+        good = rng.random() < 0.7
+        docs_.append([2 if rng.random() < 0.3 else int(good == (rng.random() < 0.6 + 0.03 * i)) for i in range(n_labellers)])
+    counted = Counter("".join(map(str, d)) for d in docs_)
+    frame = pd.DataFrame({"pattern": sorted(counted), "n": [counted[p] for p in sorted(counted)]})
+    posterior, tables, prior = quality.estimate(frame)
+    p = [0.2 if 0 in d else 0.9 for d in docs_]
+    for _ in range(quality.ROUNDS):
+        share = [[[0.5, 0.5], [0.5, 0.5]] for _ in range(n_labellers)]  # [labeller][class][vote]
+        for d, good in zip(docs_, p):
+            for i, vote in enumerate(d):
+                if vote != 2:
+                    share[i][1][vote] += good
+                    share[i][0][vote] += 1 - good
+        share = [[[v / sum(c) for v in c] for c in t] for t in share]
+        first = (sum(p) + 1) / (len(p) + 2)
+        new = []
+        for d in docs_:
+            odds = first / (1 - first)
+            for i, vote in enumerate(d):
+                if vote != 2:
+                    odds *= share[i][1][vote] / share[i][0][vote]
+            new.append(odds / (1 + odds))
+        if max(abs(a - b) for a, b in zip(p, new)) < 1e-9:
+            break
+        p = new
+    assert all(posterior["".join(map(str, d))] == pytest.approx(x, abs=1e-6) for d, x in zip(docs_, p))
+    assert prior == pytest.approx(first, abs=1e-6) and tables[:, 1, 1] == pytest.approx([t[1][1] for t in share], abs=1e-6)
+
+
+def test_quality_fit():
+    """The logistic regression against plain gradient descent on the same loss."""
+    rng = np.random.default_rng(32)
+    x = np.zeros((200, quality.DIMS), np.float32)
+    x[:, :5] = rng.standard_normal((200, 5))
+    y = 1 / (1 + np.exp(-(x[:, 0] - 2 * x[:, 1] + 0.5 + 0.5 * rng.standard_normal(200))))
+    w, bias = quality.fit(x, y)
+    v, c = np.zeros(5), 0.0
+    for _ in range(20_000):
+        e = 1 / (1 + np.exp(-(x[:, :5] @ v + c))) - y
+        v, c = v - (x[:, :5].T @ e / 200 + 1e-5 * v), c - e.mean()
+    assert w[:5] == pytest.approx(v, abs=0.02) and bias == pytest.approx(c, abs=0.02) and not w[5:].any()
+
+
 def test_quality_sample(spark, monkeypatch):
     """Copies of a text are thinned like other texts, so that a hot text is neither left out nor nearly all of the sample."""
     copies = [(i, "The same few words stand in all of these rows, over and over.") for i in range(2000)]
@@ -362,8 +472,14 @@ def test_sharding(spark, none, tmp_path):
         if d:  # a bucket only exists because the one above it was too large
             parent = b[:-1]
             assert sum(v for h, v in whole.items() if format(h, "060b").startswith(parent)) > 1000
+    key = lambda x: [(str(v)) for v in x]
+    held = lambda rows: sorted(((r["shard"], r["doc_id"], r["text"], r["n_bytes"]) for r in rows), key=key)
     sharding.write(sharding.assign(df, limit=1000), str(tmp_path / "out"))
-    assert spark.read.parquet(str(tmp_path / "out")).count() == len(rows) and sharding.assign(none).isEmpty()
+    back = sharding.read(spark, str(tmp_path / "out"))
+    assert dict(back.dtypes)["shard"] == "string" and held(back.collect()) == held(got)
+    for n in (1, 7):  # the same shards however the rows are dealt, those of a cut bucket too
+        assert held(sharding.assign(df.repartition(n), limit=1000).collect()) == held(got)
+    assert any("." in k for k in size) and sharding.assign(none).isEmpty()
 
 
 # 6
@@ -479,7 +595,7 @@ def winnowed(hashes, k=winnow.K, w=winnow.WINDOW):
 
 def test_winnowing(spark, docs):
     df = docs.where(F.coalesce(F.length("text"), F.lit(0)) < 5000)
-    for r in winnow.fingerprint(winnow.with_packed(df, "text", "p").withColumn("g", winnow.grams(winnow.word_hashes(F.col("text")))).withColumn("_packed", F.lit(1)).drop("_packed")).collect():
+    for r in winnow.fingerprint(winnow.with_packed(df, "text", "p").withColumn("g", winnow.grams(F.col("text"))).withColumn("_packed", F.lit(1)).drop("_packed")).collect():
         h = [x >> winnow.PLACE_BITS for x in r["g"]]
         places = winnowed(h)
         assert [x["place"] for x in r["fingerprint"]] == places and [x["hash"] for x in r["fingerprint"]] == [h[i] for i in places]
@@ -508,7 +624,7 @@ def test_winnowing_characters(spark):
     words = [("".join(chr(97 + c) for c in rng.integers(0, 26, 6))) for _ in range(200)]
     changed = " ".join(w[:2] + "#" + w[3:] if i % 5 == 0 else w for i, w in enumerate(words))
     texts = [run, run[:200] + "".join(reversed(run[200:])), " ".join(words), changed, "\n ".join(words), "ab" + "\U0001f98a" * 9 + "cdefghijkl", "short", " \t\n", ""]
-    df = winnow.with_packed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "text", "p").withColumn("n", F.size(winnow.gram_hashes(F.col("text"))))
+    df = winnow.with_packed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "text", "p").withColumn("n", F.size(winnow.grams(F.col("text"))))
     got = {r["doc_id"]: r for r in df.withColumn("h", winnow.hashes(F.col("p"))).collect()}
     for i, j in ((0, 1), (2, 3)):
         assert set(got[i]["h"]) & set(got[j]["h"]) and got[i]["h"] != got[j]["h"]
@@ -516,14 +632,85 @@ def test_winnowing_characters(spark):
     assert all(len(got[i]["p"]) == len(winnowed([0] * got[i]["n"])) for i in (6, 7, 8))
 
 
-def test_winnowing_ranges(spark, monkeypatch):
-    """Many ranges, so that next documents cross from one to another."""
+def test_winnowing_seams(spark):
+    """Edited texts' grams, put together at the seam, are those of the edited text itself."""
+    rng = random.Random(17)
+    texts = ["", " ", "a", "ab cd", "abcdefghijk", "abcdefghijkl", "  lead and tail \n", "x" * 40, "words " * 9, "\t\t\n", "中文" * 20, "ab\U0001f98a" * 8, "end ", " begin"]
+    texts += ["".join(rng.choices("ab \n", k=rng.randint(0, 70))) for _ in range(60)]
+    rng.shuffle(texts)
+    pairs = list(zip(texts, texts[1:] + texts[:1])) + [(t, t) for t in texts[:20]]
+    df = winnow.with_edit(spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i long, text string, following string"), "text", "following")
+    df = df.withColumns({"g": winnow.grams(F.col("text")), "h": winnow.grams(F.col("following")), "whole": winnow.grams(F.col("_edited"))})
+    for r in df.collect():
+        part = r["g"][: r["_left"]] + [x - r["_left"] for x in r["_seam"]] + [x - r["_left"] - len(r["_seam"]) for x in r["h"][: r["_right"]]]
+        assert part == r["whole"], (r["text"], r["following"])
+        assert r["_edited"] == r["text"][: len(r["text"]) - len(r["text"]) // 2] + r["following"][: len(r["text"]) // 2]
+
+
+def test_winnowing_edited_whole(spark, monkeypatch):
+    """The edited text's fingerprint, put together at the seam, is what the whole edited text has by itself."""
+    rng = random.Random(18)
+    texts = ["".join(rng.choices("ab c" if i % 3 else "abcdefgh \n", k=rng.choice((0, 3, 11, 12, 25, 31, 32, 50, 62, 63, 64, 90, 300)))) for i in range(150)]
+    df = spark.createDataFrame([(len(texts) - i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    edits = {len(texts) - i: t[: len(t) - len(t) // 2] + texts[(i + 1) % len(texts)][: len(t) // 2] for i, t in enumerate(texts)}
+    alone = winnow.with_packed(spark.createDataFrame(list(edits.items()), "doc_id long, text string"), "text", "p")
+    alone = {r["doc_id"]: r["d"] for r in alone.select("doc_id", F.concat_ws("-", F.lower(F.hex(F.xxhash64("p"))), F.size("p").cast("string")).alias("d")).collect()}
+    got = {r["doc_id"]: r for r in winnow.edited(df).collect()}
+    for d, t in edits.items():
+        assert got[d]["edited_sha256"] == hashlib.sha256(t.encode()).hexdigest()
+        assert got[d]["edited_fingerprint"] == alone[d], (d, t)
+
+
+@pytest.mark.parametrize("ids", ["squares", "outlier", "powers", "hot", "missing"])
+def test_winnowing_ranges(spark, monkeypatch, ids):
+    """Many ranges, so that next documents cross from one to another, whatever the ids; no range is large."""
     monkeypatch.setattr(winnow, "ROWS", 3)
-    rows = [(i * i, f"text {i} " * 4) for i in range(40)]
-    got = {r["doc_id"]: r["edited_sha256"] for r in winnow.edited(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    monkeypatch.setattr(winnow, "CELLS", 16)
+    made, own = [], winnow.ranges
+    monkeypatch.setattr(winnow, "ranges", lambda *a: made.append(own(*a)) or made[-1])
+    n = 48
+    of = {"squares": lambda i: i * i, "outlier": lambda i: i if i else 2**63 - 1, "powers": lambda i: 2 ** (i + 10) - 2**62, "hot": lambda i: i if i % 2 else 8, "missing": lambda i: i if i % 3 else None}[ids]
+    rows = [(of(i), f"text {i} " * 4) for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    tie = {r["text"]: r["tie"] for r in df.select("text", F.xxhash64("text").alias("tie")).collect()}
+    rows.sort(key=lambda r: (r[0] is None, -(r[0] or 0), tie[r[1]]))
+    want = []
     for i, (d, t) in enumerate(rows):
-        n = rows[i - 1][1]
-        assert got[d] == hashlib.sha256((t[: len(t) - len(t) // 2] + n[: len(t) // 2]).encode()).hexdigest()
+        following = rows[(i + 1) % n][1]
+        want.append((d, hashlib.sha256((t[: len(t) - len(t) // 2] + following[: len(t) // 2]).encode()).hexdigest()))
+    got = [(r["doc_id"], r["edited_sha256"]) for r in winnow.edited(df).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    parts = [r["count"] for r in made[0].groupBy("_part").count().collect()]
+    assert len(parts) > 4 and max(parts) <= 16 and sum(parts) == n
+
+
+def test_winnowing_likeness(spark, unique):
+    """The likeness of two texts' fingerprints against sets of chosen grams by hand."""
+    rows = sorted((r for r in corpus()[:-3] if len(r[1] or "") < 5000), reverse=True, key=lambda r: r[0])
+    df = unique.where("length(text) < 5000 or text is null")
+    seen: dict[str, int] = {}
+
+    def prints(text):
+        t = re.sub(r"[\x20\x09-\x0D]+", " ", text).strip(" ")
+        gs = [t[i : i + winnow.K] for i in range(len(t) - winnow.K + 1)] or ([t] if t else [])
+        return {gs[i] for i in winnowed([seen[g] for g in gs])}, gs
+
+    texts, pairs = [], {}
+    for i, r in enumerate(rows):
+        text, following = r[1] or "", rows[(i + 1) % len(rows)][1] or ""
+        half = len(text) // 2
+        pairs[r[0]] = (text, text[: len(text) - half] + following[:half], following)
+        texts += pairs[r[0]]
+    every = sorted({t[i : i + winnow.K] for x in texts for t in [re.sub(r"[\x20\x09-\x0D]+", " ", x).strip(" ")] for i in range(max(1, len(t) - winnow.K + 1))} - {""})
+    seen = {r["g"]: r["h"] >> winnow.PLACE_BITS for r in spark.createDataFrame([(g,) for g in every], "g string").select("g", F.xxhash64("g").alias("h")).collect()}
+
+    def alike(a, b):
+        a, b = prints(a)[0], prints(b)[0]
+        return len(a & b) / len(a | b) if a | b else 1.0
+
+    got = {r["doc_id"]: r for r in winnow.edited(df).collect()}
+    for d, (text, new, following) in pairs.items():
+        assert got[d]["near_edited"] == pytest.approx(alike(text, new)) and got[d]["near_next"] == pytest.approx(alike(text, following))
 
 
 # 8
