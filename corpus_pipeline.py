@@ -10,13 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import bpe, minhash, mixing, quality, suffix
-from quillspark.llm.common import saved, table
+from quillspark.llm.common import drop_path, new_path, saved, table
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
-    rows = docs.select("doc_id", F.struct("*").alias("row"), F.col("text").alias("text"))
-    return quality.classify(rows).where("keep").select("row.*")
+    return quality.keep_good(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,10 +52,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to ``documents``; each one's rows are written and read again before the next."""
-    docs = table(spark, sf_dir, "documents")
+    """Applies the stages to ``documents``; each one's rows are written and read again before the next, then deleted."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = saved(docs, name)
+            path = new_path(spark, name)
+            docs = saved(docs, name, path=path)
+            if before:
+                drop_path(spark, before)
+            before = path
     return docs
