@@ -138,7 +138,7 @@ def features(sections: DataFrame) -> DataFrame:
     title = F.array_except(T.tokens(F.col("page_title")), F.array(*map(F.lit, GENERIC_TITLES)))
     heading = F.coalesce("heading", F.lit(""))
     hint = F.array_distinct(T.tokens(heading, None))
-    lists = F.array(*[F.lit(T.plain_stem(x)) for x in T.LIST_HEADINGS.split()])
+    lists = T.stems(T.LIST_HEADINGS.split())
     hint = F.array_union(hint, F.array_intersect(T.tokens(F.col("page_title"), None), lists))
     return sections.select(
         "section_id", "path", "page_title", "heading", home.alias("home"),
@@ -193,7 +193,7 @@ def score(index: Index, queries: DataFrame, groups: DataFrame, interests: DataFr
     bonus = bonus + F.when((F.size("project_terms") > 0) & subset(F.col("asked"), F.col("project_terms")), PROJECT_BONUS).otherwise(0.0)
     about = lambda words: F.arrays_overlap("asked", F.array(*map(F.lit, words)))
     damp = F.when(~about(CHANGELOG_WORDS) & F.lower("path").contains("changelog"), CHANGELOG_FACTOR).otherwise(1.0)
-    damp = damp * F.when(~about(list(dict.fromkeys(map(T.plain_stem, TECHNICAL_WORDS)))) & F.lower("heading").isin(TECHNICAL_HEADINGS), TECHNICAL_FACTOR).otherwise(1.0)
+    damp = damp * F.when(~F.arrays_overlap("asked", T.stems(list(TECHNICAL_WORDS))) & F.lower("heading").isin(TECHNICAL_HEADINGS), TECHNICAL_FACTOR).otherwise(1.0)
     total = ((F.col("words") + F.coalesce("pairs", F.lit(0.0))) * F.sqrt(F.col("matched") / F.col("active")) + bonus) * damp
     if priors is not None:
         rows = rows.join(F.broadcast(priors), "path", "left")

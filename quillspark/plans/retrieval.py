@@ -75,11 +75,11 @@ def stem_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.terms(messages(spark, sf_dir), "text", None).groupBy("word", "term").agg(F.count("*").alias("n"))
 
 
-_HINTS = {k: sorted(set(map(T.plain_stem, v.split()))) for k, v in (("w", T.WHERE_HEADINGS), ("o", T.OBTAIN_HEADINGS), ("l", T.LIST_HEADINGS))}
+_HINTS = {k: T.sql_stems(v.split()) for k, v in (("w", T.WHERE_HEADINGS), ("o", T.OBTAIN_HEADINGS), ("l", T.LIST_HEADINGS))}
 
 
 def _hints_sql(asked: str, folded: str) -> str:
-    lists = {k: f"[{T.sql_list(v)}]" for k, v in _HINTS.items()}
+    lists = {k: f"list_sort(list_distinct([{v}]))" for k, v in _HINTS.items()}
     return (
         f"list_sort(list_distinct(list_concat(list_concat(CASE WHEN list_has_any({asked}, [{T.sql_list(T.WHERE_WORDS)}]) THEN {lists['w']} ELSE [] END, "
         f"CASE WHEN list_has_any({asked}, [{T.sql_list(T.OBTAIN_WORDS)}]) THEN {lists['o']} ELSE [] END), "
@@ -160,7 +160,7 @@ def _set_sql(name: str, column: str, stop: bool) -> str:
     return f"{name} AS (SELECT section_id, list_distinct(list(term)) AS x FROM ({T.sql_terms('sec', 'section_id', column, T.STOPWORDS if stop else None)}) GROUP BY section_id)"
 
 
-_TECHNICAL = list(dict.fromkeys(map(T.plain_stem, S.TECHNICAL_WORDS)))
+_TECHNICAL = T.sql_stems(S.TECHNICAL_WORDS)
 FULL_SCORE_SQL = f"""{index_sql(True)}, {TITLE_QUESTIONS_SQL}, {QTERMS_SQL}, {_ALTS_SQL},
 e AS (SELECT al.qid, al.pos, al.alt, p.section_id, any_value(al.weight) * sum({BM25_SQL}) AS s FROM al JOIN p USING (term) JOIN t USING (term) JOIN l ON l.section_id = p.section_id, c GROUP BY al.qid, al.pos, al.alt, p.section_id),
 b AS (SELECT qid, section_id, pos, max(s) AS s FROM e GROUP BY qid, section_id, pos HAVING max(s) > 0),
@@ -170,7 +170,7 @@ hi AS (SELECT qid, {_hints_sql("regexp_extract_all(" + T.sql_fold('query') + ",
 {_set_sql('tt', 'page_title', True)}, {_set_sql('ht', 'heading', True)}, {_set_sql('hh', 'heading', False)}, {_set_sql('th', 'page_title', False)},
 fo AS (SELECT section_id, list_distinct(list(term)) AS x FROM ({T.sql_terms('sec', 'section_id', "translate(split_part(path, '/', 1), '_', ' ')")}) GROUP BY section_id),
 fe AS (SELECT sec.*, list_filter(coalesce(tt.x, []), lambda v: v NOT IN ('main', 'home')) AS title_terms, CASE WHEN heading <> page_title THEN coalesce(ht.x, []) ELSE [] END AS heading_terms,
-  list_concat(coalesce(hh.x, []), list_filter(coalesce(th.x, []), lambda v: v IN ({T.sql_list(_HINTS['l'])}))) AS hint_targets, coalesce(fo.x, []) AS folder_terms
+  list_concat(coalesce(hh.x, []), list_filter(coalesce(th.x, []), lambda v: v IN ({_HINTS['l']}))) AS hint_targets, coalesce(fo.x, []) AS folder_terms
   FROM sec LEFT JOIN tt USING (section_id) LEFT JOIN ht USING (section_id) LEFT JOIN hh USING (section_id) LEFT JOIN th USING (section_id) LEFT JOIN fo USING (section_id)),
 al0 AS (SELECT qid, pos, CASE WHEN known THEN term ELSE found[1] END AS front, CASE WHEN known THEN term ELSE found[-1] END AS back FROM gg WHERE exact),
 pr AS (SELECT qid, back AS one, lead(front) OVER (PARTITION BY qid ORDER BY pos) AS two FROM al0),
@@ -180,7 +180,7 @@ pb AS (SELECT pr.qid, bg.section_id, sum(1.5::DOUBLE * bt.idf * bg.tf * 2.5::DOU
 x AS (SELECT wd.qid, wd.section_id, fe.path, matched, len(title_terms) > 0 AND list_has_all(asked, title_terms) AS tm, len(heading_terms) > 0 AND list_has_all(asked, heading_terms) AS hm,
   list_has_any(folder_terms, asked) AS fm, list_has_any(hint_targets, hints) AS hint, (words + coalesce(pairs, 0)) * sqrt(matched::DOUBLE / active) AS base,
   (CASE WHEN NOT list_has_any(asked, [{T.sql_list(S.CHANGELOG_WORDS)}]) AND lower(path) LIKE '%changelog%' THEN 0.5::DOUBLE ELSE 1 END)
-  * (CASE WHEN NOT list_has_any(asked, [{T.sql_list(_TECHNICAL)}]) AND lower(heading) IN ({T.sql_list(S.TECHNICAL_HEADINGS)}) THEN 0.4::DOUBLE ELSE 1 END) AS damp
+  * (CASE WHEN NOT list_has_any(asked, [{_TECHNICAL}]) AND lower(heading) IN ({T.sql_list(S.TECHNICAL_HEADINGS)}) THEN 0.4::DOUBLE ELSE 1 END) AS damp
   FROM wd JOIN inf USING (qid) JOIN hi USING (qid) JOIN fe ON fe.section_id = wd.section_id LEFT JOIN pb ON pb.qid = wd.qid AND pb.section_id = wd.section_id),
 sc AS (SELECT qid, section_id, path, matched, tm OR hm AS title_match, round((base + tm::INT * 2 + (tm AND fm)::INT * 2 + hm::INT * 1 + hint::INT * 2.5::DOUBLE) * damp, 4) AS score FROM x),
 pg AS (SELECT * FROM sc WHERE score >= 2 QUALIFY row_number() OVER (PARTITION BY qid, path ORDER BY score DESC, section_id) = 1),

@@ -56,9 +56,9 @@ def test_guesses(spark):
 
 def test_excerpts():
     text = "One fox ran. Two owls flew over the den.\nThe fox den is old. Nothing here."
-    assert answers.window_excerpt(text, {"fox", "den"}, 24) == "…the **den.** The **fox** **den**…"
-    assert answers.lines_excerpt(text, {"fox", "den"}, 40) == "The **fox** **den** is old. Nothing here."
-    assert answers.lines_excerpt("", {"fox"}) == "" and answers.window_excerpt("", {"x"}) == ""
+    assert answers.window_excerpt(text, {"fox": "fox", "den": "den"}, 24) == "…the **den.** The **fox** **den**…"
+    assert answers.lines_excerpt(text, {"fox": "fox", "den": "den"}, 40) == "The **fox** **den** is old. Nothing here."
+    assert answers.lines_excerpt("", {"fox": "fox"}) == "" and answers.window_excerpt("", {"x": "x"}) == ""
 
 
 def test_excerpts_of_whole_questions(spark, tmp_path):
