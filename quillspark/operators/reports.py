@@ -19,11 +19,19 @@ def price_advice(rows: DataFrame, item: str, price: str = "price", sold: str = "
 
 
 def longest_name(questions: DataFrame, key: str, text: str, names: DataFrame) -> DataFrame:
-    """``key, name``: the longest of ``names`` (a catalogue, small beside the questions) that a question holds as words."""
-    padded = F.concat(F.lit(" "), F.col(text), F.lit(" "))
-    has = lambda n: F.contains(padded, F.concat(F.lit(" "), n, F.lit(" ")))
+    """``key, name``: the longest of ``names`` that a question holds as words, or a plural of it.
+
+    Words in a row of a question, as many as any name has, are joined to the names' forms: no question meets all names.
+    """
     n = F.col("name")
-    found = questions.join(F.broadcast(names), has(n) | has(X.plural(n)) | has(F.concat(n, F.lit("es"))))
+    forms = names.select("name", F.explode(F.array_distinct(F.array(n, X.plural(n), F.concat(n, F.lit("es"))))).alias("form"))
+    sizes = forms.agg(F.sort_array(F.collect_set(F.size(F.split("form", " "))))).first()[0]  # how many words a name can have
+    if not sizes:
+        return questions.select(key, F.lit("").alias("name")).limit(0)
+    ws = questions.select(key, F.split(F.col(text), " ").alias("ws")).withColumn("size", F.explode(F.array(*map(F.lit, sizes)))).where(F.size("ws") >= F.col("size"))
+    at = ws.select(key, "ws", "size", F.explode(F.sequence(F.lit(1), F.size("ws") - F.col("size") + 1)).alias("at"))
+    held = at.select(key, F.array_join(F.slice("ws", F.col("at"), F.col("size")), " ").alias("form")).distinct()
+    found = held.join(forms, "form")
     best = found.groupBy(key).agg(F.min(F.struct((-F.length("name")).alias("l"), F.col("name"))).alias("m"))
     return best.select(key, F.col("m.name").alias("name"))
 

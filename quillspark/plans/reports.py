@@ -26,14 +26,14 @@ def price_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH q AS (SELECT p_partkey, 'what do ' || p_name || 's cost in ' || lower(p_type) || ' shops' AS text FROM part WHERE p_partkey % 20 = 0), n AS (SELECT DISTINCT p_name AS name FROM part)
+    """WITH q AS (SELECT p_partkey, 'what do ' || p_name || 's cost in ' || lower(p_type) || ' shops' AS text FROM part), n AS (SELECT DISTINCT p_name AS name FROM part)
 SELECT p_partkey, name FROM q JOIN n ON contains(' ' || text || ' ', ' ' || name || ' ') OR contains(' ' || text || ' ', ' ' || CASE WHEN name LIKE '%s' THEN name WHEN name LIKE '%y' THEN left(name, -1) || 'ies' ELSE name || 's' END || ' ')
   OR contains(' ' || text || ' ', ' ' || name || 'es ') QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY len(name) DESC, name) = 1"""
 )
 def named_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The longest item name in a question, plurals too."""
     part = table(spark, sf_dir, "part")
-    q = part.where("p_partkey % 20 = 0").select("p_partkey", F.concat(F.lit("what do "), "p_name", F.lit("s cost in "), F.lower("p_type"), F.lit(" shops")).alias("text"))
+    q = part.select("p_partkey", F.concat(F.lit("what do "), "p_name", F.lit("s cost in "), F.lower("p_type"), F.lit(" shops")).alias("text"))
     return R.longest_name(q, "p_partkey", "text", part.select(F.col("p_name").alias("name")).distinct())
 
 
@@ -198,7 +198,7 @@ def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH need AS (SELECT DISTINCT s_suppkey, p_partkey FROM supplier JOIN part ON p_partkey % 40 = s_suppkey % 40 AND p_partkey < 200), done AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)
+    """WITH need AS (SELECT DISTINCT s_suppkey, p_partkey FROM supplier JOIN part ON p_partkey % 40 = s_suppkey % 40), done AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)
 SELECT s_suppkey, p_partkey FROM need WHERE NOT EXISTS (SELECT 1 FROM done WHERE l_suppkey = s_suppkey AND l_partkey = p_partkey)"""
 )
 def missing_criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,16 +207,16 @@ def missing_criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") % 40).alias("r"))
-    return table(spark, sf_dir, "part").where("p_partkey < 200").select("p_partkey", (F.col("p_partkey") % 40).alias("r")).join(s, "r").select("s_suppkey", "p_partkey").distinct()
+    return table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 40).alias("r")).join(s, "r").select("s_suppkey", "p_partkey").distinct()
 
 
 @query(
-    """WITH need AS (SELECT l_orderkey, l_partkey, sum(l_quantity) AS n FROM lineitem WHERE l_orderkey % 7 = 0 GROUP BY ALL), have AS (SELECT p_partkey, p_size AS n FROM part)
+    """WITH need AS (SELECT l_orderkey, l_partkey, sum(l_quantity) AS n FROM lineitem GROUP BY ALL), have AS (SELECT p_partkey, p_size AS n FROM part)
 SELECT l_orderkey, bool_and(coalesce(have.n, 0) >= need.n) AS craftable, count(*) AS parts FROM need LEFT JOIN have ON p_partkey = l_partkey GROUP BY l_orderkey"""
 )
 def can_craft(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as recipes, part sizes as stock: whether every ingredient is there."""
-    need = table(spark, sf_dir, "lineitem").where("l_orderkey % 7 = 0").groupBy("l_orderkey", "l_partkey").agg(F.sum("l_quantity").alias("n"))
+    need = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.sum("l_quantity").alias("n"))
     return R.craftable(need, table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_size").alias("have")), "l_orderkey", "l_partkey", "n", "have")
 
 
@@ -356,16 +356,16 @@ def answer_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH RECURSIVE e AS (SELECT user_id, ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE user_id < 40),
+    """WITH RECURSIVE e AS (SELECT user_id, ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
 r AS (SELECT user_id, n, event_id, ts AS last, true AS accepted FROM e WHERE n = 1
 UNION ALL SELECT e.user_id, e.n, e.event_id, CASE WHEN e.ts - r.last >= INTERVAL 3600 SECOND THEN e.ts ELSE r.last END, e.ts - r.last >= INTERVAL 3600 SECOND FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
 SELECT user_id, event_id FROM r WHERE accepted"""
 )
 def cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages within the cooldown after the last accepted one are dropped (an hour here, to fit the data); people below id 40."""
+    """Messages within the cooldown after the last accepted one are dropped (an hour here, to fit the data)."""
     from quillspark.streaming import stateful
 
-    e = table(spark, sf_dir, "events").where("user_id < 40").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
     return stateful.cooldown_batch(e, 3600 * 1_000_000).select("user_id", "event_id")
 
 
