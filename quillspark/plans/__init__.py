@@ -1,6 +1,6 @@
 """All queries of the engine and the SQL that gives the same rows."""
 
-from quillspark.plans import chat, pages, reports, retrieval
+from quillspark.plans import chat, pages, records, reports, retrieval
 from quillspark.plans.common import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "chat", "pages", "reports", "retrieval"]
+__all__ = ["QUERIES", "SQL", "chat", "pages", "records", "reports", "retrieval"]
