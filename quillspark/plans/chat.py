@@ -84,9 +84,17 @@ def recipe_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said(spark, sf_dir).select("conv_id", "turn", M.recipe_item(F.col("text")).alias("item"))
 
 
-@query()
+_ROW = r"(?:^|[^\w.])(-?\d{1,8})(?:\s*,\s*|\s+)(-?\d{1,8})(?:(?:\s*,\s*|\s+)(-?\d{1,8}))?(?:[^\w.]|$)"
+_NUMBERS = ", ".join(rf"regexp_extract_all(low, '\b{k}\s*[=:]?\s*(-?\d{{1,8}})\b', 1)[-1]::INT AS {k}" for k in "xyz")
+
+
+@query(
+    f"""WITH {SAID_SQL}, w AS (SELECT conv_id, turn, lower(text) AS low FROM s),
+n AS (SELECT conv_id, turn, {_NUMBERS}, {', '.join(f"nullif(regexp_extract(low, '{_ROW}', {i}), '')::INT AS {v}" for i, v in enumerate('abc', 1))} FROM w)
+SELECT conv_id, turn, x, y, z FROM n WHERE x IS NOT NULL AND z IS NOT NULL
+UNION ALL SELECT conv_id, turn, a, CASE WHEN c IS NOT NULL THEN b END, coalesce(c, b) FROM n WHERE (x IS NULL OR z IS NULL) AND a IS NOT NULL"""
+)
 def message_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Looks behind and ahead have no form in the SQL here; tested against known sayings."""
     return said(spark, sf_dir).select("conv_id", "turn", M.coordinates(F.col("text")).alias("c")).where("c is not null").select("conv_id", "turn", "c.*")
 
 
@@ -119,9 +127,18 @@ def split_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("line").cast("long").alias("line"), F.size("ss").cast("long").alias("sentences"), F.md5(F.array_join("ss", "\u0002").cast("binary")).alias("digest"))
 
 
-@query()
+_STRIPPED = "regexp_replace(regexp_replace({n}, '^(?:(?:" + "|".join(sorted(classify.STRIP_START, key=len, reverse=True)) + ") )+', ''), '(?: (?:" + "|".join(sorted(classify.STRIP_END, key=len, reverse=True)) + "))+$', '')"
+
+
+def _runs(v: str, to: int) -> str:
+    """Runs of three or more of a letter cut to ``to``, a letter at a time."""
+    for c in "abcdefghijklmnopqrstuvwxyz":
+        v = f"regexp_replace({v}, '{c}{{3,}}', '{c * to}', 'g')"
+    return v
+
+
+@query(f"WITH {SAID_SQL}, v AS (SELECT conv_id, turn, unnest([n, {_runs('n', 1)}, {_runs('n', 2)}]) AS x FROM (SELECT conv_id, turn, {_N} AS n FROM s)) SELECT DISTINCT conv_id, turn, {_STRIPPED.format(n='x')} AS variant FROM v")
 def stretched_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Back-references have no form in the SQL here; tested against known sayings."""
     plain = said(spark, sf_dir).select("conv_id", "turn", T.normalize(F.col("text")).alias("n"))
     out = plain.withColumn("variant", F.explode(M.stretched(F.col("n"))))
     return out.select("conv_id", "turn", M.strip_phrases(F.col("variant"), classify.STRIP_START, classify.STRIP_END).alias("variant")).distinct()
@@ -129,7 +146,6 @@ def stretched_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _RULES = ", ".join("({}, '{}', '{}')".format(i, p.replace("'", "''"), n) for i, (p, n) in enumerate(classify.PATTERNS))
 _KEYS = ", ".join("({}, '{}', [{}], [{}])".format(i, n, T.sql_list(t), T.sql_list(sorted({*w, *" ".join(t).split()}))) for i, (n, t, w) in enumerate(classify.KEYWORDS))
-_STRIPPED = "regexp_replace(regexp_replace({n}, '^(?:(?:" + "|".join(sorted(classify.STRIP_START, key=len, reverse=True)) + ") )+', ''), '(?: (?:" + "|".join(sorted(classify.STRIP_END, key=len, reverse=True)) + "))+$', '')"
 CLASSIFY_SQL = f"""ru(rule, pattern, pool) AS (VALUES {_RULES}), ke(rule, pool, triggers, allowed) AS (VALUES {_KEYS}),
 v AS (SELECT conv_id, turn, n, {_STRIPPED.format(n='n')} AS n2 FROM (SELECT conv_id, turn, {_N} AS n FROM s)),
 v2 AS (SELECT conv_id, turn, 0 AS k, n AS x FROM v WHERE n <> '' UNION ALL SELECT conv_id, turn, 1, n2 FROM v WHERE n2 <> '' AND n2 <> n),

@@ -81,16 +81,21 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 MESSAGES_SQL = "m AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user')"
 
 
-def index_sql(with_sections: bool = False) -> str:
-    """CTEs tok, p (postings), l (lengths), c (corpus), t (term statistics); with sections also bg and bt (bigrams)."""
+def fields_sql(with_sections: bool = False) -> str:
+    """CTEs sec, f (fields) and tok (their words)."""
     if not with_sections:
         f = "f AS (SELECT doc_id AS section_id, 'text' AS field, text AS v, 1 AS w FROM documents), sec AS (SELECT doc_id AS section_id FROM documents)"
     else:
         f = SECTIONS_SQL + """,
 f AS (SELECT section_id, 'text' AS field, text AS v, 1 AS w FROM sec UNION ALL SELECT section_id, 'title', page_title || ' ' || heading, 3 FROM sec
   UNION ALL SELECT section_id, 'path', translate(path, '/_', '  '), 2 FROM sec UNION ALL SELECT section_id, 'meta', meta, 1 FROM sec)"""
-    out = f"""{f},
-tok AS ({T.sql_terms('f', 'section_id, field, w', 'v')}),
+    return f"""{f},
+tok AS ({T.sql_terms('f', 'section_id, field, w', 'v')})"""
+
+
+def index_sql(with_sections: bool = False) -> str:
+    """CTEs tok, p (postings), l (lengths), c (corpus), t (term statistics); with sections also bg and bt (bigrams)."""
+    out = f"""{fields_sql(with_sections)},
 p AS (SELECT section_id, term, sum(w)::BIGINT AS tf FROM tok GROUP BY ALL),
 l AS (SELECT sec.section_id, coalesce(sum(tf), 0)::BIGINT AS length FROM sec LEFT JOIN p USING (section_id) GROUP BY ALL),
 c AS (SELECT count(*) AS n, avg(length) AS avg_len FROM l),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import distance, text as T
 from quillspark.operators import index as I, search as S
 from quillspark.plans.common import (
-    BM25_SQL, MESSAGES_SQL, QTERMS_SQL, SECTIONS_SQL, TITLE_QUESTIONS_SQL, index_sql, messages, query, questions, questions_sql, sections, table, text_sections, title_questions,
+    BM25_SQL, MESSAGES_SQL, QTERMS_SQL, SECTIONS_SQL, TITLE_QUESTIONS_SQL, fields_sql, index_sql, messages, query, questions, questions_sql, sections, table, text_sections, title_questions,
 )
 
 # Abbreviations as the queries use them; any (word, synonym) table can take their place.
@@ -146,7 +146,7 @@ al AS (SELECT qid, pos, 0 AS alt, term, 1.0::DOUBLE AS weight FROM gg WHERE know
 
 
 @query(
-    f"""WITH {index_sql(True)}, {TITLE_QUESTIONS_SQL}, {QTERMS_SQL}, {_ALTS_SQL}
+    f"""WITH {fields_sql(True)}, t AS MATERIALIZED (SELECT DISTINCT term FROM tok), {TITLE_QUESTIONS_SQL}, {QTERMS_SQL.replace('qt AS (', 'qt AS MATERIALIZED (', 1)}, {_ALTS_SQL}
 SELECT qid, pos, word, term, exact, (known::INT + (found IS NOT NULL)::INT)::BIGINT AS n_alternatives, coalesce(array_to_string(found, ' '), '') AS synonym FROM gg"""
 )
 def query_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
