@@ -3,6 +3,8 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillspark.functions import text as T
+
 
 def project_name(path: Column) -> Column:
     """The first part of a path as a name: words with a capital, "home" is the wiki itself; null stays null."""
@@ -44,3 +46,25 @@ def matches_key(key: Column, patterns: list[str]) -> Column:
     for p in patterns:
         out = out | (key.endswith(p[1:]) if p[:1] == "*" else key.startswith(p[:-1]) if p[-1:] == "*" else key == p)
     return out
+
+
+# Titles and chapters that are no article, and words that only name the game.
+SKIP_TITLES = r"(?i)Edition|Snapshot|Pre-release|Release Candidate|\(disambiguation\)|^(Category|Template|File):"
+SKIP_SECTIONS = [
+    "history", "issues", "trivia", "gallery", "screenshots", "videos", "references", "navigation", "in other media", "publicity", "data values", "achievements",
+    "external links", "see also", "notes", "sounds", "renders", "mojang screenshots", "development images", "concept artwork",
+]
+CUE_WORDS = ["vanilla", "minecraft", "mc", "game", "normal", "base", "default"]
+
+
+def is_article(title: Column, heading: Column) -> Column:
+    """Neither the title nor the heading is one of those without an article's text; null counts as empty."""
+    return ~F.coalesce(title, F.lit("")).rlike(SKIP_TITLES) & ~F.lower(F.trim(F.coalesce(heading, F.lit("")))).isin(SKIP_SECTIONS)
+
+
+def keywords(text: Column, synonyms: dict[str, str], stop: list[str], most: int = 10) -> Column:
+    """A question as search words: without stopwords and cue words, slang spelled out, ``most`` at most."""
+    drop = F.array(*map(F.lit, [*stop, *CUE_WORDS]))
+    plain = F.create_map(*(F.lit(x) for pair in synonyms.items() for x in pair))
+    kept = F.filter(T.raw_words(text), lambda w: ~F.array_contains(drop, w))
+    return F.array_join(F.slice(F.transform(kept, lambda w: F.coalesce(F.try_element_at(plain, w), w)), 1, most), " ")

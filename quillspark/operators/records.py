@@ -90,3 +90,48 @@ def tick_health(ticks: DataFrame, by: str, ms: str, target: float = 20.0) -> Dat
     tps = F.when(m > 0, F.least(F.lit(target), 1000.0 / m)).otherwise(target)
     verdict = F.when(m < budget * 0.8, "smooth").when(m < budget, "busy").otherwise("lagging")
     return a.select(by, "n", F.round(m, 4).alias("mspt"), F.round(tps, 1).alias("tps"), verdict.alias("verdict"))
+
+
+MANIFEST = "array<struct<result: string, name: string, datapack: string, type: string, imageUrl: string>>"
+
+
+def recipe_rows(manifests: DataFrame, key: str, text: str, base: str) -> DataFrame:
+    """``key, name, datapack, picture, crafting`` of each listed recipe that has a picture.
+
+    The name loses its count ("× 4"); a picture's address is completed from ``base``. Text that is no list gives no rows.
+    """
+    root, folder = "/".join(base.split("/", 3)[:3]), base.rsplit("/", 1)[0]
+    e = manifests.select(key, F.explode(F.from_json(text, MANIFEST)).alias("e")).select(key, "e.*").where(F.coalesce("imageUrl", F.lit("")) != "")
+    name = F.regexp_replace(F.coalesce(F.nullif("result", F.lit("")), "name", F.lit("")), r"\s*×\s*\d+$", "")
+    url = F.col("imageUrl")
+    full = F.when(url.rlike("^[a-z]+://"), url).when(url.startswith("/"), F.concat(F.lit(root), url)).otherwise(F.concat(F.lit(folder + "/"), url))
+    crafting = F.contains(F.lower(F.coalesce("type", F.lit(""))), F.lit("crafting"))
+    return e.select(key, name.alias("name"), F.coalesce("datapack", F.lit("")).alias("datapack"), full.alias("picture"), crafting.alias("crafting"))
+
+
+def with_pictures(recipes: DataFrame, rows: DataFrame) -> DataFrame:
+    """``recipes`` (name) with the first picture of their name by address, null without one."""
+    return recipes.join(rows.groupBy("name").agg(F.min("picture").alias("picture")), "name", "left")
+
+
+def first_labels(functions: DataFrame, callers: DataFrame, key: str, order: list[str], label: str) -> DataFrame:
+    """``key, label`` of the functions that something calls; the first caller's label wins."""
+    first = callers.where(F.col(label).isNotNull()).groupBy(key).agg(F.min(F.struct(*order, label)).alias("first"))
+    return functions.select(key).join(first, key).select(key, F.col("first")[label].alias("label"))
+
+
+def quiz_answers(events: DataFrame, player: str, order: list[str], ts: str, kind: str, asks: str, answers: str, seconds: int) -> DataFrame:
+    """Answers with ``open``: whether the player's round is open, that is, what came before is a question not too long ago.
+
+    An answer closes its round. One player's events are taken in order, so a player is in one task.
+    """
+    w = Window.partitionBy(player).orderBy(*order)
+    e = events.where(F.col(kind).isin(asks, answers)).withColumn("before", F.lag(F.struct(F.col(kind).alias("kind"), F.col(ts).alias("ts"))).over(w))
+    late = (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("before.ts").cast("timestamp"))) > seconds * 1_000_000
+    return e.where(F.col(kind) == answers).withColumn("open", F.coalesce((F.col("before.kind") == asks) & ~late, F.lit(False))).drop("before")
+
+
+def best_of_sources(results: DataFrame, query: str, source: str, order: list, per: int, k: int) -> DataFrame:
+    """``results`` with ``place``: the best ``per`` of each source, and of those the best ``k`` of a query."""
+    each = results.withColumn("place", F.row_number().over(Window.partitionBy(query, source).orderBy(*order))).where(F.col("place") <= per)
+    return each.withColumn("place", F.row_number().over(Window.partitionBy(query).orderBy(*order)).cast("long")).where(F.col("place") <= k)

@@ -3,13 +3,15 @@
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions import words as W
+from quillspark.functions import text as T, words as W
 from quillspark.operators import records as R
 from quillspark.plans.common import SECTIONS_SQL, query, sections, table
+from quillspark.sources import snapshots
 
 IGNORED = ["*7", "Customer#00000001*", "Customer#000000002"]
 IDEAS = [("look around", None, "view"), ("try a click", "view", "click"), ("buy something", "click", "purchase"), ("sign up", "purchase", "signup"), ("mend it", "error", None)]
 DEFAULTS = {"view": 1.0, "click": 2.0, "purchase": 3.0, "signup": 4.0, "error": 5.0, "rating": 0.5}
+SLANG = {"la": "the", "und": "and", "der": "the", "en": "in"}
 CAPS = {"view": 70, "click": 10, "purchase": 15, "signup": 5, "error": 20}
 _LOW = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 _MEN = "CASE WHEN w LIKE '%men' AND len(w) > 4 THEN left(w, -3) || 'man' ELSE w END"
@@ -207,3 +209,97 @@ def readable_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = out.join(table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey"))
     sees = (F.col("o_custkey") == F.col("l_suppkey")) | (F.col("o_orderstatus") == "F") | (F.col("s_nationkey") == F.col("c_nationkey")) | (F.col("s_acctbal") > 9000)
     return out.select("l_orderkey", "l_suppkey", sees.alias("readable"))
+
+
+_SKIP = W.SKIP_TITLES.replace("'", "''")
+
+
+@query(
+    f"""WITH {SECTIONS_SQL}, x AS (SELECT section_id, CASE section_id % 7 WHEN 0 THEN 'File:' || page_title WHEN 1 THEN page_title || ' Edition' ELSE page_title END AS title,
+CASE section_id % 5 WHEN 0 THEN 'See also' ELSE heading END AS heading FROM sec)
+SELECT section_id, title, heading FROM x WHERE NOT regexp_matches(title, '{_SKIP}') AND lower(trim(heading)) NOT IN ({T.sql_list(W.SKIP_SECTIONS)})"""
+)
+def article_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections that are an article's; the tables hold no other kind, so some get a name of one."""
+    nth, t = F.col("section_id"), F.col("page_title")
+    title = F.when(nth % 7 == 0, F.concat(F.lit("File:"), t)).when(nth % 7 == 1, F.concat(t, F.lit(" Edition"))).otherwise(t)
+    x = sections(spark, sf_dir).select("section_id", title.alias("title"), F.when(nth % 5 == 0, "See also").otherwise(F.col("heading")).alias("heading"))
+    return x.where(W.is_article(F.col("title"), F.col("heading")))
+
+
+@query(
+    f"""SELECT conv_id, turn, array_to_string(list_transform(list_filter(regexp_extract_all({T.sql_fold('text')}, '{T.WORD}'), lambda w: w NOT IN ({T.sql_list([*T.STOPWORDS, *W.CUE_WORDS])})),
+lambda w: CASE w {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in SLANG.items())} ELSE w END)[1:10], ' ') AS keywords FROM conversations"""
+)
+def search_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", W.keywords(F.col("text"), SLANG, T.STOPWORDS).alias("keywords"))
+
+
+@query(
+    f"""WITH w AS (SELECT conv_id, turn, unnest({_LOW}) AS w, generate_subscripts({_LOW}, 1) AS pos FROM conversations), f AS (SELECT conv_id, turn, w, min(pos) AS pos FROM w GROUP BY ALL),
+g AS (SELECT conv_id, turn, string_agg(w, ' ' ORDER BY pos) AS words FROM f GROUP BY ALL) SELECT conv_id, turn, coalesce(words, '') AS words FROM conversations LEFT JOIN g USING (conv_id, turn)"""
+)
+def distinct_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each word of a message once, where it came first."""
+    ws = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(F.array_distinct(ws), " ").alias("words"))
+
+
+@query(f"WITH {SECTIONS_SQL} SELECT section_id, path, page_title, heading, md5(text) AS digest, meta FROM sec")
+def section_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections as JSON lines and back."""
+    back = snapshots.rows(snapshots.lines(sections(spark, sf_dir)))
+    return back.select("section_id", "path", "page_title", "heading", F.md5("text").alias("digest"), "meta")
+
+
+BASE = "https://example.org/data/recipes.json"
+
+
+def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part as a list of one recipe, as JSON; a third have no picture, a third one beside the list."""
+    k = F.col("p_partkey")
+    url = F.when(k % 3 == 1, F.format_string("/pics/%d.png", k)).when(k % 3 == 2, F.format_string("%d.png", k))
+    e = F.struct(F.concat_ws(" × ", "p_name", F.col("p_size").cast("string")).alias("result"), F.col("p_brand").alias("datapack"), F.when(k % 2 == 0, "Crafting Shaped").alias("type"), url.alias("imageUrl"))
+    return table(spark, sf_dir, "part").select("p_partkey", "p_name", F.to_json(F.array(e)).alias("json"))
+
+
+_PICTURE = "'https://example.org/' || CASE p_partkey % 3 WHEN 1 THEN 'pics/' ELSE 'data/' END || p_partkey || '.png'"
+
+
+@query(f"SELECT p_partkey, p_name AS name, p_brand AS datapack, {_PICTURE} AS picture, p_partkey % 2 = 0 AS crafting FROM part WHERE p_partkey % 3 <> 0")
+def recipe_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.recipe_rows(manifests(spark, sf_dir), "p_partkey", "json", BASE)
+
+
+@query(f"SELECT p_name AS name, min({_PICTURE}) FILTER (p_partkey % 3 <> 0) AS picture FROM part GROUP BY p_name")
+def recipe_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = manifests(spark, sf_dir)
+    return R.with_pictures(m.select(F.col("p_name").alias("name")).distinct(), R.recipe_rows(m, "p_partkey", "json", BASE))
+
+
+@query(
+    """SELECT l_partkey, l_returnflag AS label FROM lineitem JOIN part ON p_partkey = l_partkey
+QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_returnflag) = 1"""
+)
+def first_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as functions, lines as callers with a flag as their label."""
+    return R.first_labels(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey")), table(spark, sf_dir, "lineitem"), "l_partkey", ["l_orderkey", "l_linenumber"], "l_returnflag")
+
+
+@query(
+    """WITH e AS (SELECT *, lag(event_type) OVER w AS kind, lag(ts) OVER w AS before FROM events WHERE event_type IN ('view', 'purchase') WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT event_id, user_id, coalesce(kind = 'view' AND epoch_us(ts) - epoch_us(before) <= 1800 * 1000000::BIGINT, false) AS open FROM e WHERE event_type = 'purchase'"""
+)
+def quiz_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views as questions, purchases as answers, rounds of half an hour."""
+    return R.quiz_answers(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "ts", "event_type", "view", "purchase", 1800).select("event_id", "user_id", "open")
+
+
+@query(
+    """WITH s AS (SELECT o_custkey, o_orderkey, o_orderpriority, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) <= 2)
+SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS place FROM s QUALIFY place <= 3"""
+)
+def best_of_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as questions, priorities as sources, prices as scores."""
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderpriority", "o_totalprice")
+    return R.best_of_sources(o, "o_custkey", "o_orderpriority", [F.desc("o_totalprice"), F.col("o_orderkey")], 2, 3).select("o_custkey", "o_orderkey", "place")

@@ -86,3 +86,14 @@ def interests_batch(events: DataFrame, key: str = "user_id", project: str = "pro
 
     kinds = {f.name: f.dataType.simpleString() for f in events.schema}
     return events.repartition(key).sortWithinPartitions(key, order).mapInPandas(run, f"{key} {kinds[key]}, {project} {kinds[project]}, n long")
+
+
+def quiz_stream(asked: DataFrame, answered: DataFrame, seconds: int = 120, late: str = "10 minutes") -> DataFrame:
+    """Answers with the questions of the same player at most ``seconds`` before: a join of two streams within an interval.
+
+    Both have (user_id, ts); state is kept until the watermark has passed the interval.
+    """
+    a = asked.select(F.col("user_id"), F.col("ts").alias("asked_at")).withWatermark("asked_at", late).alias("a")
+    b = answered.select(F.col("user_id"), F.col("ts").alias("answered_at")).withWatermark("answered_at", late).alias("b")
+    near = F.expr(f"a.user_id = b.user_id AND answered_at >= asked_at AND answered_at <= asked_at + INTERVAL {seconds} SECONDS")
+    return a.join(b, near).select("a.user_id", "asked_at", "answered_at")
