@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T, words as W
+from quillspark.functions.wordpiece import pieces
 from quillspark.operators import records as R
 from quillspark.plans.common import SECTIONS_SQL, query, sections, table
 from quillspark.sources import snapshots
@@ -303,3 +304,19 @@ def best_of_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as questions, priorities as sources, prices as scores."""
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderpriority", "o_totalprice")
     return R.best_of_sources(o, "o_custkey", "o_orderpriority", [F.desc("o_totalprice"), F.col("o_orderkey")], 2, 3).select("o_custkey", "o_orderkey", "place")
+
+
+#: Pieces of one and two letters: a vocabulary by rule, whose pieces SQL can tell too.
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+PAIRS = {m + x for m in ("", "##") for x in [*LETTERS, *(a + b for a in LETTERS for b in LETTERS)]}
+
+
+@query(
+    f"""WITH w AS (SELECT item_id, unnest(regexp_extract_all({T.sql_fold('text')}, '[\\pL\\pM\\pN]+|[^\\pL\\pM\\pN\\s]')) AS w, generate_subscripts(regexp_extract_all({T.sql_fold('text')}, '[\\pL\\pM\\pN]+|[^\\pL\\pM\\pN\\s]'), 1) AS pos FROM benchmark),
+p AS (SELECT item_id, pos, CASE WHEN regexp_full_match(w, '[a-z]{{1,100}}') THEN array_to_string(regexp_extract_all(w, '[a-z][a-z]?'), ' ##') ELSE '[UNK]' END AS ps FROM w),
+j AS (SELECT item_id, string_split(string_agg(ps, ' ' ORDER BY pos), ' ')[1:512] AS ps FROM p GROUP BY item_id)
+SELECT item_id, len(ps) AS n_pieces, md5(array_to_string(ps, ' ')) AS digest FROM j"""
+)
+def word_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = table(spark, sf_dir, "benchmark").select("item_id", pieces(T.fold(F.col("text")), PAIRS).alias("ps"))
+    return got.select("item_id", F.size("ps").cast("long").alias("n_pieces"), F.md5(F.array_join("ps", " ")).alias("digest"))

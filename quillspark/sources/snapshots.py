@@ -28,6 +28,6 @@ def load(spark: SparkSession, path: str, schema: str = SECTION) -> DataFrame:
 
 def states(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One state a file with ``seen``, when the file was last written; unreadable files aren't counted. ``path`` may be a glob."""
-    files = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_modification_time").alias("seen"))
+    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_modification_time").alias("seen"))
     got = files.select("seen", F.from_json("value", f"{schema}, corrupt_line string", {"columnNameOfCorruptRecord": "corrupt_line"}).alias("r"))
     return got.select("seen", "r.*").where(F.col("corrupt_line").isNull()).drop("corrupt_line")
