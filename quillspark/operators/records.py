@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions import distance
+from quillspark.functions import distance, text as T
 
 
 def visible_steps(progress: DataFrame, steps: DataFrame) -> DataFrame:
@@ -135,3 +135,44 @@ def best_of_sources(results: DataFrame, query: str, source: str, order: list, pe
     """``results`` with ``place``: the best ``per`` of each source, and of those the best ``k`` of a query."""
     each = results.withColumn("place", F.row_number().over(Window.partitionBy(query, source).orderBy(*order))).where(F.col("place") <= per)
     return each.withColumn("place", F.row_number().over(Window.partitionBy(query).orderBy(*order)).cast("long")).where(F.col("place") <= k)
+
+
+def labelled(settings: DataFrame, keys: DataFrame, values: DataFrame, percents: DataFrame) -> DataFrame:
+    """``settings`` (key, value) with ``label`` and ``shown``: the labels that dialogs give a key and a value of it.
+
+    ``keys``: (key, label), ``values``: (key, value, label), ``percents``: (key). A key without a label is written as words;
+    1 and 0 also match the labels of true and false; numbers of percent keys are shown as such. Of several labels the
+    smallest counts, a null value is shown as "".
+    """
+    names = keys.groupBy("key").agg(F.min("label").alias("key_label"))
+    offered = values.groupBy("key", F.col("value").alias("as_offered")).agg(F.min("label").alias("value_label"))
+    words = F.initcap(F.translate("key", "_", " "))
+    as_offered = F.when(F.col("value") == "1", "true").when(F.col("value") == "0", "false").otherwise(F.col("value"))
+    out = settings.withColumn("as_offered", as_offered).join(names, "key", "left").join(offered, ["key", "as_offered"], "left")
+    out = out.join(percents.select("key").distinct().withColumn("percent", F.lit(True)), "key", "left")
+    number = F.col("value").try_cast("double")
+    percent = F.when(F.col("percent") & number.isNotNull(), F.concat(F.round(number * 100).cast("long").cast("string"), F.lit("%")))
+    out = out.withColumn("shown", F.coalesce("value_label", percent, "value", F.lit(""))).withColumn("label", F.coalesce("key_label", words))
+    return out.drop("as_offered", "key_label", "value_label", "percent")
+
+
+def accepted_texts(sections: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, effect, accepted``: texts in double quotes, each with the last line before it that has none and isn't blank."""
+    ls = sections.select(key, F.posexplode(F.split(text, "\n")).alias("at", "line"))
+    quoted = F.regexp_extract_all("line", F.lit('"([^"]+)"'), F.lit(1))
+    plain = F.when((F.size(quoted) == 0) & (F.trim("line") != ""), F.trim("line"))
+    ls = ls.withColumn("effect", F.last(plain, True).over(Window.partitionBy(key).orderBy("at")))
+    return ls.select(key, F.coalesce("effect", F.lit("")).alias("effect"), F.explode(quoted).alias("accepted"))
+
+
+def named_rules(questions: DataFrame, rules: DataFrame, most: int = 2) -> DataFrame:
+    """``qid, rule``: rules all of whose words a question has; a question that names more than ``most`` gets none.
+
+    An equi-join on words, counted; ``questions`` (qid, query), ``rules`` (rule).
+    """
+    asked = T.terms(questions.select("qid", "query"), "query").select("qid", "term").distinct()
+    of = T.terms(rules.select("rule").distinct(), "rule").select("rule", "term").distinct()
+    sizes = of.groupBy("rule").agg(F.count("*").alias("size"))
+    hits = asked.join(of, "term").groupBy("qid", "rule").agg(F.count("*").alias("held")).join(sizes, "rule").where("held = size")
+    few = hits.groupBy("qid").agg(F.count("*").alias("n")).where(F.col("n") <= most)
+    return hits.join(few, "qid", "left_semi").select("qid", "rule")

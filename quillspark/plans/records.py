@@ -320,3 +320,42 @@ SELECT item_id, len(ps) AS n_pieces, md5(array_to_string(ps, ' ')) AS digest FRO
 def word_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = table(spark, sf_dir, "benchmark").select("item_id", pieces(T.fold(F.col("text")), PAIRS).alias("ps"))
     return got.select("item_id", F.size("ps").cast("long").alias("n_pieces"), F.md5(F.array_join("ps", " ")).alias("digest"))
+
+
+@query(
+    """WITH st AS (SELECT event_type AS pack, event_id AS id, 'key_' || (props->>'k')::BIGINT % 30 AS key, ((props->>'k')::BIGINT % 4)::VARCHAR AS value FROM events
+  UNION ALL SELECT 'Game Rules', s_suppkey, 'rule_' || s_suppkey % 9, (s_nationkey % 2)::VARCHAR FROM supplier),
+ky AS (SELECT 'key_' || n_nationkey AS key, n_name AS label FROM nation WHERE n_nationkey % 2 = 0), va AS (SELECT 'rule_' || r_regionkey AS key, r_name AS label FROM region),
+pc AS (SELECT 'key_' || n_nationkey AS key FROM nation WHERE n_nationkey % 5 = 0)
+SELECT pack, id, st.key, value, coalesce(ky.label, upper(st.key[1]) || replace(st.key[2:], '_', ' ')) AS label,
+CASE WHEN value = '1' AND va.label IS NOT NULL THEN va.label WHEN pc.key IS NOT NULL THEN value::BIGINT * 100 || '%' ELSE value END AS shown
+FROM st LEFT JOIN ky USING (key) LEFT JOIN va ON va.key = st.key LEFT JOIN pc ON pc.key = st.key"""
+)
+def labelled_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events' properties and, as game rules, suppliers; nations label keys, regions label "true"."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    number = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    st = table(spark, sf_dir, "events").select(F.col("event_type").alias("pack"), F.col("event_id").alias("id"), number("key_", k % 30).alias("key"), (k % 4).cast("string").alias("value"))
+    rules = table(spark, sf_dir, "supplier").select(F.lit("Game Rules").alias("pack"), F.col("s_suppkey").alias("id"), number("rule_", F.col("s_suppkey") % 9).alias("key"), (F.col("s_nationkey") % 2).cast("string").alias("value"))
+    n = table(spark, sf_dir, "nation").select(number("key_", F.col("n_nationkey")).alias("key"), "n_nationkey", F.col("n_name").alias("label"))
+    v = table(spark, sf_dir, "region").select(number("rule_", F.col("r_regionkey")).alias("key"), F.lit("true").alias("value"), F.col("r_name").alias("label"))
+    return R.labelled(st.unionByName(rules), n.where("n_nationkey % 2 = 0").drop("n_nationkey"), v, n.where("n_nationkey % 5 = 0").select("key"))
+
+
+@query("SELECT p_partkey, p_type AS effect, unnest([p_name, p_brand]) AS accepted FROM part")
+def accepted_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as sections: a kind, a blank line, and its name and brand in quotes."""
+    text = F.concat(F.lit("Accepted Texts\n"), "p_type", F.lit('\n\n"'), "p_name", F.lit('"\n or "'), "p_brand", F.lit('"\nThe end'))
+    return R.accepted_texts(table(spark, sf_dir, "part").withColumn("text", text), "p_partkey", "text")
+
+
+@query(
+    f"""WITH q AS (SELECT item_id AS qid, text AS query FROM benchmark), ru AS (SELECT DISTINCT array_to_string(string_split(text, ' ')[1:2], ' ') AS rule FROM documents),
+a AS (SELECT DISTINCT qid, term FROM ({T.sql_terms('q', 'qid', 'query')})), o AS (SELECT DISTINCT rule, term FROM ({T.sql_terms('ru', 'rule', 'rule')})), z AS (SELECT rule, count(*) AS n FROM o GROUP BY rule),
+h AS (SELECT qid, rule, count(*) AS m FROM a JOIN o USING (term) GROUP BY ALL)
+SELECT qid, rule FROM h JOIN z USING (rule) WHERE m = n QUALIFY count(*) OVER (PARTITION BY qid) <= 2"""
+)
+def named_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two words of documents as rules, whole benchmark texts as questions."""
+    rules = table(spark, sf_dir, "documents").select(F.array_join(F.slice(F.split("text", " "), 1, 2), " ").alias("rule"))
+    return R.named_rules(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query")), rules)

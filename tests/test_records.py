@@ -117,3 +117,17 @@ def test_snapshots(spark, tmp_path):
 ])
 def test_empty(spark, make):
     assert make(spark.createDataFrame([], "k long, s string, v double")).collect() == []
+
+
+def test_labels_and_texts(spark):
+    st = spark.createDataFrame([("keep_it", "1"), ("odds", "0.25"), ("odds", "x"), ("mode", "b"), ("none", None)], "key string, value string")
+    keys = spark.createDataFrame([("odds", "Odds of it")], "key string, label string")
+    values = spark.createDataFrame([("keep_it", "true", "Yes"), ("mode", "b", "Big"), ("mode", "b", "Vast")], "key string, value string, label string")
+    got = {(r["key"], r["value"]): (r["label"], r["shown"]) for r in R.labelled(st, keys, values, spark.createDataFrame([("odds",)], "key string")).collect()}
+    assert got == {("keep_it", "1"): ("Keep It", "Yes"), ("odds", "0.25"): ("Odds of it", "25%"), ("odds", "x"): ("Odds of it", "x"), ("mode", "b"): ("Mode", "Big"), ("none", None): ("None", "")}
+    texts = spark.createDataFrame([(1, 'Turns upside down\n\n"Dinner", "Grum"\n"Bone"\nRainbow\n"jeb"'), (2, '"alone"'), (3, None), (4, "")], "k long, t string")
+    got = sorted((r["k"], r["effect"], r["accepted"]) for r in R.accepted_texts(texts, "k", "t").collect())
+    assert got == [(1, "Rainbow", "jeb"), (1, "Turns upside down", "Bone"), (1, "Turns upside down", "Dinner"), (1, "Turns upside down", "Grum"), (2, "", "alone")]
+    q = spark.createDataFrame([(1, "is keep inventory on"), (2, "keep inventory, fire and mob loot"), (3, None)], "qid long, query string")
+    rules = spark.createDataFrame([("Keep Inventory",), ("Fire",), ("Mob Loot",), ("Mob Loot",), ("",), (None,)], "rule string")
+    assert [(r["qid"], r["rule"]) for r in R.named_rules(q, rules).collect()] == [(1, "Keep Inventory")]
