@@ -5,7 +5,8 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Word separators of the contracts: space, tab, newline, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -14,6 +15,15 @@ BATCH_BYTES = 4 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
+#: For each byte its lower-case letter or digit or itself beyond ASCII, else a space.
+_TERM_BYTES = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
+
+
+def terms(text: str | None) -> list[bytes]:
+    """Runs of ASCII letters, digits and characters beyond ASCII, with A to Z lower-cased, in UTF-8; null has none."""
+    return text.encode("utf-8", "surrogatepass").translate(_TERM_BYTES).split() if text else []
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -82,3 +92,21 @@ class Scratch:
     def drop(self, name: str | None = None) -> None:
         """Deletes the last table saved under this name, or all of them."""
         drop_path(self.spark, self.paths[name] if name else self.folder)
+
+
+def ranked(df: DataFrame, order: list[Column], scratch: Scratch, name: str, rank: str = "rank") -> DataFrame:
+    """Adds the rank (from 1) of each row in the order of all rows, without a task that holds them all.
+
+    Rows are range-sorted and written with their place in their part; the parts' row counts, one for each part, give the offsets.
+    """
+    place, part = f"_{rank}_place", f"_{rank}_part"
+    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(place, F.monotonically_increasing_id())
+    rows = scratch.saved(parts, name).withColumn(part, F.shiftright(place, 33))
+    counts = sorted((r[0], r[1]) for r in rows.groupBy(part).count().collect())
+    starts, before = [], 0
+    for at, n in counts:
+        starts.append((at, before))
+        before += n
+    offsets = df.sparkSession.createDataFrame(starts, f"{part} long, _{rank}_before long")
+    rows = rows.join(F.broadcast(offsets), part)
+    return rows.withColumn(rank, F.col(f"_{rank}_before") + F.col(place).bitwiseAND((1 << 33) - 1) + 1).drop(place, part, f"_{rank}_before")

@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import bpe, embed_dedup, minhash, mixing, orc_output, quality, sharding, suffix, url_filter, winnow
+from quillspark.llm import bpe, embed_dedup, exact_dedup, minhash, mixing, orc_output, quality, ranked_search, resample, sharding, suffix, url_filter, winnow
 from quillspark.llm.common import new_path, table
 
 
@@ -51,6 +51,20 @@ def op9_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op11_wavelet_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ranked_search.search(docs, table(spark, sf_dir, "benchmark"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return resample.resample(docs, table(spark, sf_dir, "benchmark"))
+
+
+def op13_cuckoo_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_language_models": op1_url_language_models,
     "op2_bpe_round_trip": op2_bpe_round_trip,
@@ -62,9 +76,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_blocks": op8_suffix_blocks,
     "op9_fair_mix": op9_fair_mix,
     "op10_orc_tokens": op10_orc_tokens,
+    "op11_wavelet_search": op11_wavelet_search,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_cuckoo_dedup": op13_cuckoo_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_extendible_shards": sharding.SQL,
     "op9_fair_mix": mixing.SQL,
+    "op11_wavelet_search": ranked_search.SQL,
+    "op13_cuckoo_dedup": exact_dedup.SQL,
 }
