@@ -253,7 +253,7 @@ class CuckooIndex:
     def delete(self, docs: DataFrame) -> None:
         """Ends the life of ``docs`` (by id and text); those that aren't live are passed over, repeated rows count once."""
         keyed = self.keyed(docs).select("doc_id", DIGEST).dropDuplicates()
-        live = self.members().select(F.col("doc_id").alias("_id"), F.col("digest").alias("_d"))
+        live = self.members().select(F.col("doc_id").alias("_id"), F.col("digest").alias("_d"), "n")
         keyed = keyed.join(live, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col(DIGEST) == F.col("_d"))).select("doc_id", DIGEST, "n")
         keyed = keyed.select("doc_id", DIGEST, F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("col")
         self._run(keyed, "delete")
