@@ -3,35 +3,49 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import Scratch, drop_path
+from quillspark.llm.common import Scratch
 
-#: Rounds of a run; each round halves the distances at least, so 60 are enough for any graph.
-ROUNDS = 60
+
+def _jumped(up: DataFrame, scratch: Scratch) -> DataFrame:
+    """``up`` with each node under the end of its chain: pointers double their length until none moves."""
+    moving = True
+    while moving:
+        above = up.select(F.col("node").alias("up"), F.col("up").alias("above"))
+        jumped = scratch.saved(up.join(above, "up", "left").select("node", F.coalesce("above", "up").alias("up"), F.col("above").isNotNull().alias("moved")), "jumped")
+        moving = not jumped.where("moved").isEmpty()
+        up = jumped.select("node", "up")
+    return up
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b", scratch: Scratch | None = None) -> DataFrame:
     """``node, component`` (smallest node reachable) for every node that has a link; nodes are longs.
 
-    Each round gives every node the smallest label among its neighbours, then follows labels to their labels (pointer
-    jumping). Labels of a round are written to the shared folder (into ``scratch`` if given), so lineage stays short and
-    lost executors do no harm. Self-links and repeated links do no harm; rows with a null end are no links.
+    Links are contracted until none is left. In a round every node that has a smaller neighbour hooks onto its least one,
+    chains of hooks are followed to their ends by pointer jumping, and the links are carried over to those ends; links within
+    a node and repeats go. Nodes of a link that have no smaller neighbour touch no other such node, and in the round after
+    they hook unless one of the hooked led to them, so two rounds halve the nodes at least, however they are numbered.
+    The rounds' hooks, each over the nodes that were left, are put together from the last (smallest) to the first. Rounds are
+    written to the shared folder (into ``scratch`` if given), so lineage stays short and lost executors do no harm. Self-links
+    and repeated links do no harm; rows with a null end are no links.
     """
-    spark = links.sparkSession
-    folder = (scratch or Scratch(spark, "components")).path("components")
+    scratch = scratch or Scratch(links.sparkSession, "components")
     pairs = links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a is not null and b is not null")
-    both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both.write.parquet(f"{folder}/edges")
-    edges = spark.read.schema("a long, b long").parquet(f"{folder}/edges")
-    edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")).write.parquet(f"{folder}/0")
-    for i in range(1, ROUNDS):
-        labels = spark.read.schema("node long, label long").parquet(f"{folder}/{i - 1}")
-        near = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        best = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("best"))
-        up = labels.select(F.col("node").alias("best"), F.col("label").alias("up"))
-        new = best.join(up, "best", "left").select("node", F.least("best", F.coalesce("up", "best")).alias("new"), F.col("label").alias("old"))
-        new.select("node", F.col("new").alias("label"), (F.col("new") < F.col("old")).alias("changed")).write.parquet(f"{folder}/{i}")
-        if spark.read.schema("node long, label long, changed boolean").parquet(f"{folder}/{i}").where("changed").isEmpty():
-            break
-        drop_path(spark, f"{folder}/{i - 1}")
-    drop_path(spark, f"{folder}/edges")
-    return spark.read.schema("node long, label long").parquet(f"{folder}/{i}").select("node", F.col("label").alias("component"))
+    live = scratch.saved(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    alone = live.where("a = b").select(F.col("a").alias("node"))
+    live, rounds = live.where("a < b"), []
+    while not live.isEmpty():
+        up = _jumped(scratch.saved(live.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up")), "hooked"), scratch)
+        rounds.append(up)
+        of_b, of_a = up.select(F.col("node").alias("b"), F.col("up").alias("ub")), up.select(F.col("node").alias("a"), F.col("up").alias("ua"))
+        ends = live.join(of_b, "b").join(of_a, "a", "left").select(F.coalesce("ua", "a").alias("x"), F.col("ub").alias("y")).where("x <> y")
+        live = scratch.saved(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
+    if not rounds:
+        return scratch.saved(alone.select("node", F.col("node").alias("component")), "components")
+    found = rounds.pop()
+    while rounds:
+        later = found.select(F.col("node").alias("up"), F.col("up").alias("end"))
+        found = scratch.saved(rounds.pop().join(later, "up", "left").select("node", F.coalesce("end", "up").alias("up")).unionAll(found), "found")
+    roots = found.select(F.col("up").alias("node"), "up").distinct()
+    labels = found.unionAll(roots)
+    single = alone.join(labels, "node", "left_anti").select("node", F.col("node").alias("up"))
+    return scratch.saved(labels.unionAll(single).select("node", F.col("up").alias("component")), "components")
