@@ -2,14 +2,16 @@
 
 ``sections`` has ``section_id`` (long, gives ties their order), ``path``, ``page_title``, ``heading``, ``text``, ``meta``. Each table is
 one declarative plan over it. Terms of a section are counted before the shuffle, so what travels grows with distinct terms,
-not with words. At scale, write ``postings`` bucketed by term once and search it many times.
+not with words. ``operators.store`` writes them once, bucketed by term, for many searches.
+
+Several corpora can share an index: ``keys`` names the columns (such as ``qid``) that tell them apart. Frequencies and lengths
+are then counted for each of them.
 """
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from quillspark.functions import text as T
 
@@ -25,9 +27,21 @@ class Index:
     postings: DataFrame  # section_id, term, tf
     lengths: DataFrame  # section_id, length
     terms: DataFrame  # term, df, idf
-    corpus: DataFrame  # one row: n, avg_len
+    corpus: DataFrame  # n, avg_len: one row, or one of each corpus
     bigrams: DataFrame | None = None  # section_id, pair, tf
     pairs: DataFrame | None = None  # pair, df, idf
+    features: DataFrame | None = None  # search.features of the sections
+    keys: list[str] = field(default_factory=list)
+    buckets: int | None = None  # of stored postings and pairs
+
+
+#: Rows of a table that is sent to all tasks; a larger one is shuffled.
+SENT_ROWS = 1 << 17
+
+
+def sent(df: DataFrame, rows: int = SENT_ROWS) -> DataFrame:
+    """``df`` with the hint to broadcast it, if it is counted to be small; else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def cleaned(sections: DataFrame) -> DataFrame:
@@ -60,15 +74,20 @@ def idf(n: Column, df: Column) -> Column:
 
 
 def bigram_postings(sections: DataFrame) -> DataFrame:
-    """Neighbours among the words that are left of the text (weight 1) and of the title (weight 3)."""
-    rows = T.terms(fields(sections).where(F.col("field").isin("text", "title")), "value")
-    w = Window.partitionBy("section_id", "field").orderBy("pos")
-    pairs = rows.withColumn("next", F.lead("term").over(w)).where("next is not null")
-    return pairs.groupBy("section_id", F.concat_ws(" ", "term", "next").alias("pair")).agg(F.sum("weight").alias("tf"))
+    """Neighbours among the words that are left of the text (weight 1) and of the title (weight 3), paired within their row."""
+    rows = fields(sections).where(F.col("field").isin("text", "title"))
+    pairs = rows.select("section_id", "weight", F.explode(T.bigrams(T.tokens(F.col("value")))).alias("pair"))
+    return pairs.groupBy("section_id", "pair").agg(F.sum("weight").alias("tf"))
+
+
+def beside(df: DataFrame, corpus: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` with the columns of its corpus; a single corpus is one row."""
+    return df.join(corpus, keys) if keys else df.crossJoin(F.broadcast(corpus))
 
 
-def statistics(tf: DataFrame, n: DataFrame, key: str) -> DataFrame:
-    return tf.groupBy(key).agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select(key, "df", idf(F.col("n"), F.col("df")).alias("idf"))
+def statistics(tf: DataFrame, n: DataFrame, on: list[str]) -> DataFrame:
+    """Document frequency and idf by ``on``: the keys of the corpora, if any, and the term."""
+    return beside(tf.groupBy(*on).agg(F.count("*").alias("df")), n, on[:-1]).select(*on, "df", idf(F.col("n"), F.col("df")).alias("idf"))
 
 
 def lengths(sections: DataFrame) -> DataFrame:
@@ -77,24 +96,53 @@ def lengths(sections: DataFrame) -> DataFrame:
     return sections.select("section_id").join(n, "section_id", "left").fillna(0, ["length"])
 
 
-def build(sections: DataFrame, with_bigrams: bool = False, keep: bool = True) -> Index:
-    """The plans of all tables; with ``keep``, lengths stay in memory for the searches that follow."""
+def build(sections: DataFrame, with_bigrams: bool = False) -> Index:
+    """The plans of all tables."""
     sections = cleaned(sections)
     tf = postings(sections)
-    size = lengths(sections).cache() if keep else lengths(sections)
+    size = lengths(sections)
     corpus = size.agg(F.count("*").alias("n"), F.avg("length").alias("avg_len"))
     n = corpus.select("n")
-    out = Index(sections, tf, size, statistics(tf, n, "term"), corpus)
+    out = Index(sections, tf, size, statistics(tf, n, ["term"]), corpus)
     if with_bigrams:
         out.bigrams = bigram_postings(sections)
-        out.pairs = statistics(out.bigrams, n, "pair")
+        out.pairs = statistics(out.bigrams, n, ["pair"])
     return out
 
 
-def only(index: Index, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Postings and statistics of the ``wanted`` terms alone: the filter goes below the counting of postings."""
-    tf = index.postings.join(F.broadcast(wanted.select("term").distinct()), "term", "left_semi")
-    return tf, statistics(tf, index.corpus.select("n"), "term")
+def of_pools(sections: DataFrame, pools: DataFrame, key: str = "qid") -> Index:
+    """A small index of its own for each ``key``: ``pools`` (key, section_id) deals sections to them, one may be in many.
+
+    The words of a section are counted once, whatever the number of its pools.
+    """
+    from quillspark.operators.search import features
+
+    pools = pools.select(key, "section_id").distinct()
+    used = cleaned(sections).join(sent(pools.select("section_id").distinct()), "section_id", "left_semi")
+    size = lengths(used)
+    corpus = pools.join(size, "section_id").groupBy(key).agg(F.count("*").alias("n"), F.avg("length").alias("avg_len"))
+    tf, bigrams = pools.join(postings(used), "section_id"), pools.join(bigram_postings(used), "section_id")
+    n = corpus.select(key, "n")
+    return Index(used, tf, size, statistics(tf, n, [key, "term"]), corpus, bigrams, statistics(bigrams, n, [key, "pair"]), features(used), [key])
+
+
+def only(index: Index, wanted: DataFrame, term: str = "term") -> tuple[DataFrame, DataFrame]:
+    """Postings (or pairs) and statistics of the ``wanted`` terms alone: the filter goes below the counting of postings.
+
+    In a stored index it also tells which buckets are read.
+    """
+    on = [*index.keys, term]
+    rows = index.postings if term == "term" else index.bigrams
+    asked = wanted.select(*on).distinct()
+    if index.buckets:
+        from quillspark.operators.store import bucket
+
+        asked, at = asked.withColumn("bucket", bucket(term, index.buckets)), [*on, "bucket"]
+        tf = rows.join(sent(asked), at, "left_semi").drop("bucket")
+        known = index.terms if term == "term" else index.pairs
+        return tf, known.join(sent(asked), at, "left_semi").drop("bucket")
+    tf = rows.join(sent(asked), on, "left_semi")
+    return tf, statistics(tf, index.corpus.select(*index.keys, "n"), on)
 
 
 def display_forms(sections: DataFrame) -> DataFrame:
@@ -106,7 +154,7 @@ def display_forms(sections: DataFrame) -> DataFrame:
 
 def vocabulary(index_terms: DataFrame) -> DataFrame:
     """Candidates for guesses, the most common first: at least four letters, not a number."""
-    return index_terms.where((F.length("term") >= 4) & ~F.col("term").rlike("^[0-9]+$")).select("term", "df")
+    return index_terms.where((F.length("term") >= 4) & ~F.col("term").rlike("^[0-9]+$")).drop("idf", "bucket")
 
 
 def bm25(tf: Column, length: Column, avg_len: Column, idf_: Column) -> Column:

@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import distance, text as T
-from quillspark.operators.index import K1, Index, bm25, only, statistics, vocabulary
+from quillspark.operators.index import K1, Index, beside, bm25, only, sent, vocabulary
+from quillspark.operators.store import kept
 
 # Fixed values of the ranking.
 SYNONYM_WEIGHT, SYNONYM_ONLY_WEIGHT, TYPO_WEIGHT, PREFIX_WEIGHT = 0.6, 0.9, 0.7, 0.5
@@ -36,13 +37,20 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 def plain_search(index: Index, queries: DataFrame, limit: int = LIMIT, min_score: float = 0.0) -> DataFrame:
     """``qid, rank, section_id, score``: BM25 over exact terms; ties go to the larger section id."""
-    q = query_terms(queries).select("qid", "term").cache()
-    tf, stats = only(index, q)
-    hits = q.join(tf.cache(), "term").join(stats, "term").join(index.lengths, "section_id").crossJoin(F.broadcast(index.corpus.select("avg_len")))
-    score = hits.groupBy("qid", "section_id").agg(F.sum(bm25(F.col("tf"), F.col("length"), F.col("avg_len"), F.col("idf"))).alias("score"))
+    q = query_terms(queries).select("qid", "term")
+    score = weighed(index, q).groupBy("qid", "section_id").agg(F.sum("s").alias("score"))
     return top(score.where(F.col("score") >= min_score), limit)
 
 
+def weighed(index: Index, asked: DataFrame) -> DataFrame:
+    """The postings of the ``asked`` terms (qid, term and more) with ``s``, their BM25 weight."""
+    on = [*index.keys, "term"]
+    tf, stats = only(index, asked)
+    hits = tf.join(sent(asked), on).join(sent(stats.select(*on, "idf")), on).join(index.lengths, "section_id")
+    hits = beside(hits, index.corpus.select(*index.keys, "avg_len"), index.keys)
+    return hits.withColumn("s", bm25(F.col("tf"), F.col("length"), F.col("avg_len"), F.col("idf")))
+
+
 def top(scored: DataFrame, limit: int) -> DataFrame:
     """Scores are rounded before they rank, so equal sums in another order stay ties."""
     w = Window.partitionBy("qid").orderBy(F.desc("score"), F.desc("section_id"))
@@ -54,65 +62,73 @@ def misspelled_question_word(word: Column) -> Column:
     return word.isin(WHAT_TYPOS) | ((F.length(word) >= 4) & near)
 
 
-def typo_corrections(unknown: DataFrame, index_terms: DataFrame) -> DataFrame:
-    """``term, guess, dist`` for unknown terms: the nearest word of the vocabulary within one edit (two from eight letters).
+def typo_corrections(unknown: DataFrame, index_terms: DataFrame, keys: list[str] = []) -> DataFrame:
+    """``term, guess, dist`` (and ``keys``) for unknown terms: the nearest word of the vocabulary within one edit (two from eight letters).
 
     Candidates come from an equi-join on deletion neighbourhoods, so no term meets the whole vocabulary. Of equally near
     ones the more frequent, then the alphabetically first.
     """
-    words = unknown.select("term").distinct().where((F.length("term") >= 4) & ~F.col("term").rlike("^[0-9]+$"))
+    words = unknown.select(*keys, "term").distinct().where((F.length("term") >= 4) & ~F.col("term").rlike("^[0-9]+$"))
     limit = F.when(F.length("term") < 8, 1).otherwise(2)
     vocab = vocabulary(index_terms).withColumnRenamed("term", "guess")
-    short = words.where(F.length("term") < 8).withColumn("key", F.explode(distance.deletions(F.col("term"), 1)))
-    short = short.join(vocab.where(F.length("guess") <= 8).withColumn("key", F.explode(distance.deletions(F.col("guess"), 1))), "key")
-    pairs = short.select("term", "guess", "df")
-    long = words.where(F.length("term") >= 8).cache()
-    if not long.isEmpty():  # the neighbourhood of two deletions is large; it is only made when a long word needs it
-        long = long.withColumn("key", F.explode(distance.deletions(F.col("term"), 2)))
-        long = long.join(vocab.where(F.length("guess") >= 6).withColumn("key", F.explode(distance.deletions(F.col("guess"), 2))), "key")
-        pairs = pairs.unionAll(long.select("term", "guess", "df"))
+
+    def within(asked: Column, guess: Column, edits: int) -> DataFrame:
+        near = words.where(asked).withColumn("key", F.explode(distance.deletions(F.col("term"), edits)))
+        return near.join(vocab.where(guess).withColumn("key", F.explode(distance.deletions(F.col("guess"), edits))), [*keys, "key"]).select(*keys, "term", "guess", "df")
+
+    pairs = within(F.length("term") < 8, F.length("guess") <= 8, 1)
+    if not words.where(F.length("term") >= 8).isEmpty():  # the neighbourhood of two deletions is large; it is only made when a long word needs it
+        longest = words.agg(F.max(F.length("term"))).first()[0]
+        pairs = pairs.unionAll(within(F.length("term") >= 8, F.length("guess").between(6, longest + 2), 2))
     pairs = pairs.distinct()
     near = pairs.withColumn("dist", distance.alignment_column(F.col("term"), F.col("guess"))).where(F.col("dist") <= limit)
-    w = Window.partitionBy("term").orderBy("dist", F.desc("df"), "guess")
-    return near.withColumn("nth", F.row_number().over(w)).where("nth = 1").select("term", "guess", "dist")
+    w = Window.partitionBy(*keys, "term").orderBy("dist", F.desc("df"), "guess")
+    return near.withColumn("nth", F.row_number().over(w)).where("nth = 1").select(*keys, "term", "guess", "dist")
 
 
-def prefix_matches(unknown: DataFrame, index_terms: DataFrame) -> DataFrame:
-    """``term, guess``: the first word of the vocabulary that goes on after the term."""
-    words = unknown.select("term").distinct().where(F.length("term") >= 4)
+def prefix_matches(unknown: DataFrame, index_terms: DataFrame, keys: list[str] = []) -> DataFrame:
+    """``term, guess`` (and ``keys``): the first word of the vocabulary that goes on after the term."""
+    words = unknown.select(*keys, "term").distinct().where(F.length("term") >= 4)
     starts = F.transform(F.sequence(F.lit(4), F.greatest(F.length("guess") - 1, F.lit(4))), lambda n: F.substring("guess", F.lit(1), n))
     vocab = vocabulary(index_terms).withColumnRenamed("term", "guess").where(F.length("guess") > 4).withColumn("term", F.explode(starts))
-    w = Window.partitionBy("term").orderBy(F.desc("df"), "guess")
-    return words.join(vocab, "term").withColumn("nth", F.row_number().over(w)).where("nth = 1").select("term", "guess")
+    vocab = vocab.join(sent(words), [*keys, "term"], "left_semi")
+    w = Window.partitionBy(*keys, "term").orderBy(F.desc("df"), "guess")
+    return words.join(vocab, [*keys, "term"]).withColumn("nth", F.row_number().over(w)).where("nth = 1").select(*keys, "term", "guess")
 
 
 def analyze(index: Index, queries: DataFrame, synonyms: DataFrame, names: DataFrame | None = None, guesses: bool = True) -> DataFrame:
-    """``qid, pos, word, term, exact, alternatives`` (array of terms and weight) for each query word that counts.
+    """``qid, pos, word, term, exact, alternatives`` (array of terms and weight), ``correction`` for each query word that counts.
 
-    ``synonyms``: (word, synonym). ``names``: terms of names that are never corrected to something else.
+    ``synonyms``: (word, synonym). ``names``: terms of names that are only corrected to something that goes on after them, or
+    that they go on after. The rows are few beside the index and are written, as what follows reads them several times.
     """
+    on = [*index.keys, "term"]
     of_word = _synonym_terms(synonyms)
     q = query_terms(queries)
-    wanted = q.select("term").unionAll(of_word.select("s")).distinct()
-    there = index.postings.join(F.broadcast(wanted), "term", "left_semi").select("term").distinct().cache()
-    q = q.join(there.withColumn("known", F.lit(True)), "term", "left").withColumn("known", F.coalesce("known", F.lit(False)))
-    usable = q.select("qid", "term", "word").join(of_word, q["word"] == of_word["w"]).where("s <> term")
-    usable = usable.join(there.withColumnRenamed("term", "s"), "s", "left_semi").groupBy("qid", "term").agg(F.array_sort(F.collect_list(F.struct("at", "s"))).alias("found"))
+    expanded = q.select("qid", "term", "word").join(of_word, F.col("word") == F.col("w")).where("s <> term")
+    wanted = kept(q.select("qid", "term").unionAll(expanded.select("qid", "s")).distinct(), "wanted")
+    there = kept(only(index, wanted)[1].select(*on).distinct(), "known")
+    q = q.join(there.withColumn("known", F.lit(True)), on, "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    usable = expanded.join(there.withColumnRenamed("term", "s"), [*index.keys, "s"], "left_semi").groupBy("qid", "term").agg(F.array_sort(F.collect_list(F.struct("at", "s"))).alias("found"))
     q = q.join(usable.select("qid", "term", F.col("found.s").alias("synonym")), ["qid", "term"], "left")
-    protected = names.select(F.col("term"), F.lit(True).alias("name")) if names is not None else None
-    q = q.join(F.broadcast(protected), "term", "left").withColumn("name", F.coalesce("name", F.lit(False))) if protected is not None else q.withColumn("name", F.lit(False))
+    if names is not None:
+        q = q.join(names.select("term", F.lit(True).alias("name")).distinct(), "term", "left").withColumn("name", F.coalesce("name", F.lit(False)))
+    else:
+        q = q.withColumn("name", F.lit(False))
     nothing = ~F.col("known") & F.col("synonym").isNull()
     q = q.where(~(nothing & ~F.col("name") & misspelled_question_word(F.col("word"))))
+    guess, weight = F.lit(None).cast("string"), F.lit(0.0)
     if guesses:
-        lost = q.where(nothing).select("term")
-        typo = typo_corrections(lost, index.terms).select("term", F.col("guess").alias("typo"))
-        prefix = prefix_matches(lost, index.terms).select("term", F.col("guess").alias("prefix"))
-        q = q.join(typo, "term", "left").join(prefix, "term", "left")
-        guess = F.when(nothing, F.coalesce("typo", "prefix"))
-        guess = F.when(~F.col("name") | guess.startswith(F.col("term")) | F.col("term").startswith(guess), guess)
-        weight = F.when(F.col("typo").isNotNull(), F.lit(TYPO_WEIGHT)).otherwise(F.lit(PREFIX_WEIGHT))
-    else:
-        guess, weight = F.lit(None).cast("string"), F.lit(0.0)
+        q = kept(q, "asked")
+        lost = q.where(nothing).select(*on).distinct()
+        if not lost.isEmpty():
+            typo = typo_corrections(lost, index.terms, index.keys).select(*on, F.col("guess").alias("typo"))
+            prefix = prefix_matches(lost, index.terms, index.keys).select(*on, F.col("guess").alias("prefix"))
+            q = q.join(typo, on, "left").join(prefix, on, "left")
+            fits = lambda g: ~F.col("name") | F.startswith(g, F.col("term")) | F.startswith(F.col("term"), g)
+            typo_fits = F.when(fits(F.col("typo")), F.col("typo"))
+            guess = F.when(nothing, F.coalesce(typo_fits, F.when(F.col("typo").isNull(), F.when(fits(F.col("prefix")), F.col("prefix")))))
+            weight = F.when(F.col("typo").isNotNull(), F.lit(TYPO_WEIGHT)).otherwise(F.lit(PREFIX_WEIGHT))
     q = q.withColumns({"guess": guess, "guess_weight": weight})
     alternatives = F.array(
         F.when(F.col("known"), F.struct(F.array("term").alias("terms"), F.lit(1.0).alias("weight"))),
@@ -120,7 +136,7 @@ def analyze(index: Index, queries: DataFrame, synonyms: DataFrame, names: DataFr
         F.when(F.col("guess").isNotNull(), F.struct(F.array("guess").alias("terms"), F.col("guess_weight").alias("weight"))),
     )
     exact = F.col("known") | F.col("synonym").isNotNull()
-    return q.select("qid", "pos", "word", "term", exact.alias("exact"), F.filter(alternatives, lambda a: a.isNotNull()).alias("alternatives"), F.col("guess").alias("correction"))
+    return kept(q.select("qid", "pos", "word", "term", exact.alias("exact"), F.filter(alternatives, lambda a: a.isNotNull()).alias("alternatives"), F.col("guess").alias("correction")), "groups")
 
 
 def _synonym_terms(synonyms: DataFrame) -> DataFrame:
@@ -141,7 +157,7 @@ def features(sections: DataFrame) -> DataFrame:
     lists = T.stems(T.LIST_HEADINGS.split())
     hint = F.array_union(hint, F.array_intersect(T.tokens(F.col("page_title"), None), lists))
     return sections.select(
-        "section_id", "path", "page_title", "heading", home.alias("home"),
+        "section_id", "path", "page_title", "heading", home.alias("home"), vanilla.alias("vanilla"),
         F.array_distinct(F.when(home, F.array_union(title, folder)).otherwise(title)).alias("title_terms"),
         F.when(heading != F.col("page_title"), F.array_distinct(T.tokens(heading))).otherwise(none).alias("heading_terms"),
         F.when(home & ~vanilla, F.array_union(hint, lists)).otherwise(hint).alias("hint_targets"),
@@ -154,71 +170,140 @@ def subset(a: Column, b: Column) -> Column:
     return F.size(F.array_except(a, b)) == 0
 
 
-def score(index: Index, queries: DataFrame, groups: DataFrame, interests: DataFrame | None = None, priors: DataFrame | None = None) -> DataFrame:
-    """``qid, section_id, score, matched, title_match``: the full score of every section that has a query word.
+def score(index: Index, queries: DataFrame, groups: DataFrame, interests: DataFrame | None = None, priors: DataFrame | None = None, hints: DataFrame | None = None) -> DataFrame:
+    """``qid, section_id, path, score, matched, title_match`` and more: the full score of every section that has a query word.
 
-    Words and pairs, times the root of coverage; then the bonuses; then damping; the prior and interests last.
+    Words and pairs, times the root of coverage; then the bonuses; then damping; the prior (qid, path, prior) and interests
+    (qid, project, share) last. ``hints`` (qid, hint): heading terms that answer a question besides those that its words tell.
     """
+    keys = index.keys
     active = groups.where(F.size("alternatives") > 0)
     alts = active.select("qid", "pos", F.posexplode("alternatives").alias("alt", "a")).select("qid", "pos", "alt", F.col("a.weight").alias("weight"), F.explode("a.terms").alias("term"))
-    tf, stats = only(index, alts)
-    hits = alts.join(tf.cache(), "term").join(stats, "term").join(index.lengths, "section_id").crossJoin(F.broadcast(index.corpus.select("avg_len")))
-    each = hits.groupBy("qid", "section_id", "pos", "alt").agg((F.first("weight") * F.sum(bm25(F.col("tf"), F.col("length"), F.col("avg_len"), F.col("idf")))).alias("s"))
+    hits = weighed(index, alts).repartition("qid", "section_id")  # the three sums below need no other exchange
+    each = hits.groupBy("qid", "section_id", "pos", "alt").agg((F.first("weight") * F.sum("s")).alias("s"))
     best = each.groupBy("qid", "section_id", "pos").agg(F.max("s").alias("s")).where("s > 0")
     words = best.groupBy("qid", "section_id").agg(F.sum("s").alias("words"), F.count("*").alias("matched"))
     info = active.groupBy("qid").agg(F.count("*").alias("active"), F.array_distinct(F.flatten(F.flatten(F.collect_list(F.col("alternatives.terms"))))).alias("asked"))
-    info = info.join(queries.select("qid", T.question_hints(F.col("query")).alias("hints")), "qid")
+    asked_hints = T.question_hints(F.col("query"))
+    if hints is not None:
+        more = hints.groupBy("qid").agg(F.collect_set("hint").alias("more"))
+        of = queries.join(more, "qid", "left").select("qid", F.array_union(asked_hints, F.coalesce("more", F.array().cast("array<string>"))).alias("hints"))
+    else:
+        of = queries.select("qid", asked_hints.alias("hints"))
+    info = info.join(of, "qid")
 
-    feats = features(index.sections).cache()
-    rows = words.join(F.broadcast(info), "qid").join(feats, "section_id")
+    feats = (index.features if index.features is not None else features(index.sections)).withColumn("project_name", F.split_part("path", F.lit("/"), F.lit(1)))
+    rows = words.join(sent(info), "qid").join(feats, "section_id")
     if index.bigrams is not None:
-        order = Window.partitionBy("qid").orderBy("pos")
-        last = F.element_at(F.col("alternatives")[0]["terms"], -1)
-        follows = active.withColumn("second", F.lead(F.col("alternatives")[0]["terms"][0]).over(order)).where("second is not null")
-        pairs = follows.select("qid", last.alias("first"), "second").withColumn("pair", F.concat_ws(" ", "first", "second"))
-        folders = feats.select(F.explode("folder_terms").alias("t")).distinct()
-        named = pairs.join(folders.select(F.col("t").alias("first"), F.lit(True).alias("f1")), "first", "left").join(folders.select(F.col("t").alias("second"), F.lit(True).alias("f2")), "second", "left")
-        bigrams = index.bigrams.join(F.broadcast(pairs.select("pair").distinct()), "pair", "left_semi").cache()
-        in_text = named.join(bigrams, "pair").join(statistics(bigrams, index.corpus.select("n"), "pair"), "pair").join(feats.select("section_id", "folder_terms"), "section_id")
-        own = lambda flag, c: F.col(flag).isNull() | F.array_contains("folder_terms", F.col(c))
-        in_text = in_text.where(own("f1", "first") & own("f2", "second"))
-        add = in_text.groupBy("qid", "section_id").agg(F.sum(BIGRAM_WEIGHT * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1)).alias("pairs"))
+        add = _pair_scores(index, active, feats)
         rows = rows.join(add, ["qid", "section_id"], "left")
     else:
         rows = rows.withColumn("pairs", F.lit(0.0))
     title = (F.size("title_terms") > 0) & subset(F.col("title_terms"), F.col("asked"))
     bonus = F.when(title, TITLE_BONUS).otherwise(0.0) + F.when(title & F.arrays_overlap("folder_terms", "asked"), TITLE_BONUS).otherwise(0.0)
     heading = (F.size("heading_terms") > 0) & subset(F.col("heading_terms"), F.col("asked"))
-    bonus = bonus + F.when(heading, HEADING_BONUS).otherwise(0.0) + F.when(F.arrays_overlap("hint_targets", "hints"), HINT_BONUS).otherwise(0.0)
-    bonus = bonus + F.when((F.size("project_terms") > 0) & subset(F.col("asked"), F.col("project_terms")), PROJECT_BONUS).otherwise(0.0)
+    hinted = F.arrays_overlap("hint_targets", "hints")
+    project = (F.size("project_terms") > 0) & subset(F.col("asked"), F.col("project_terms"))
+    bonus = bonus + F.when(heading, HEADING_BONUS).otherwise(0.0) + F.when(hinted, HINT_BONUS).otherwise(0.0)
+    bonus = bonus + F.when(project, PROJECT_BONUS).otherwise(0.0)
     about = lambda words: F.arrays_overlap("asked", F.array(*map(F.lit, words)))
     damp = F.when(~about(CHANGELOG_WORDS) & F.lower("path").contains("changelog"), CHANGELOG_FACTOR).otherwise(1.0)
     damp = damp * F.when(~F.arrays_overlap("asked", T.stems(list(TECHNICAL_WORDS))) & F.lower("heading").isin(TECHNICAL_HEADINGS), TECHNICAL_FACTOR).otherwise(1.0)
     total = ((F.col("words") + F.coalesce("pairs", F.lit(0.0))) * F.sqrt(F.col("matched") / F.col("active")) + bonus) * damp
     if priors is not None:
-        rows = rows.join(F.broadcast(priors), "path", "left")
+        rows = rows.join(sent(priors.select("qid", "path", "prior")), ["qid", "path"], "left")
         total = total + F.coalesce("prior", F.lit(0.0))
     if interests is not None:
-        rows = rows.withColumn("project", F.split_part(F.col("path"), F.lit("/"), F.lit(1))).join(F.broadcast(interests), ["qid", "project"], "left")
+        rows = rows.join(sent(interests.select("qid", F.col("project").alias("project_name"), "share")), ["qid", "project_name"], "left")
         total = total + INTEREST_BONUS * F.coalesce("share", F.lit(0.0))
-    return rows.select("qid", "section_id", "path", total.alias("score"), "matched", (title | heading).alias("title_match"))
-
-
-def best_pages(scored: DataFrame, limit: int = LIMIT, min_score: float = MIN_SCORE) -> DataFrame:
-    """The best section of each page, the best pages of each query, and of those the ones near the first."""
+    return rows.select("qid", "section_id", "path", total.alias("score"), "matched", (title | heading).alias("title_match"), title.alias("titled"), hinted.alias("hinted"), project.alias("of_project"))
+
+
+def _pair_scores(index: Index, active: DataFrame, feats: DataFrame) -> DataFrame:
+    """``qid, section_id, pairs``: neighbouring query words that are neighbours in a section, but not those that name another project."""
+    on = [*index.keys, "pair"]
+    order = Window.partitionBy("qid").orderBy("pos")
+    last = F.element_at(F.col("alternatives")[0]["terms"], -1)
+    follows = active.withColumn("second", F.lead(F.col("alternatives")[0]["terms"][0]).over(order)).where("second is not null")
+    asked = follows.select("qid", last.alias("first"), "second").withColumn("pair", F.concat_ws(" ", "first", "second"))
+    tf, stats = only(index, asked, "pair")
+    folders = feats.select(F.explode("folder_terms").alias("t")).distinct()
+    named = asked.join(folders.select(F.col("t").alias("first"), F.lit(True).alias("f1")), "first", "left").join(folders.select(F.col("t").alias("second"), F.lit(True).alias("f2")), "second", "left")
+    found = tf.join(sent(named), on).join(sent(stats.select(*on, "idf")), on).join(feats.select("section_id", "folder_terms"), "section_id")
+    own = lambda flag, c: F.col(flag).isNull() | F.array_contains("folder_terms", F.col(c))
+    found = found.where(own("f1", "first") & own("f2", "second"))
+    return found.groupBy("qid", "section_id").agg(F.sum(BIGRAM_WEIGHT * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1)).alias("pairs"))
+
+
+def page_bests(scored: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
+    """The best section of each page of each query, of sections with ``min_score`` or more; of equals the first."""
     scored = scored.withColumn("score", F.round("score", 4)).where(F.col("score") >= min_score)
     page = Window.partitionBy("qid", "path").orderBy(F.desc("score"), "section_id")
-    one = scored.withColumn("nth", F.row_number().over(page)).where("nth = 1").drop("nth")
+    return scored.withColumn("nth", F.row_number().over(page)).where("nth = 1").drop("nth")
+
+
+def cut(bests: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """The best pages of each query, and of those the ones near the first."""
     order = Window.partitionBy("qid").orderBy(F.desc("score"), F.desc("section_id"))
-    ranked = one.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= limit)
+    ranked = bests.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= limit)
     first = F.max("score").over(Window.partitionBy("qid"))
-    return ranked.withColumn("first", first).where(F.col("score") >= F.col("first") * RELATIVE_CUTOFF).drop("first", "nth")
+    return ranked.withColumn("first", first).where(F.col("score") >= F.col("first") * RELATIVE_CUTOFF).drop("first")
+
+
+def best_pages(scored: DataFrame, limit: int = LIMIT, min_score: float = MIN_SCORE) -> DataFrame:
+    return cut(page_bests(scored, min_score), limit)
 
 
-def find(index: Index, queries: DataFrame, synonyms: DataFrame, names: DataFrame | None = None, limit: int = LIMIT, min_score: float = MIN_SCORE, interests: DataFrame | None = None, guesses: bool = True) -> DataFrame:
-    """``qid, rank, section_id, path, score, matched, title_match``."""
-    groups = analyze(index, queries, synonyms, names, guesses).cache()
-    return best_pages(score(index, queries, groups, interests), limit, min_score)
+def with_overview(ranked: DataFrame, scored: DataFrame, index: Index, queries: DataFrame, groups: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """A list question whose two best pages are siblings is answered by their overview, in front of them and just above the best.
+
+    That is the folder's own overview page, else the section of the project's home page whose heading the question has most
+    words of. A best page with the asked title is such a list already.
+    """
+    parent = F.regexp_replace("path", "/[^/]*$", "")
+    lists = queries.where(F.size(F.array_intersect(T.question_hints(F.col("query")), T.stems(T.LIST_HEADINGS.split()))) > 0).select("qid")
+    two = ranked.where("rank <= 2").withColumn("parent", parent).groupBy("qid").agg(
+        F.count("*").alias("n"), F.count_distinct("parent").alias("parents"), F.min("parent").alias("parent"), F.max(F.col("titled") & (F.col("rank") == 1)).alias("named"), F.max("score").alias("top")
+    )
+    two = two.where("n = 2 and parents = 1 and not named").join(lists, "qid", "left_semi").select("qid", "parent", "top")
+    feats = index.features if index.features is not None else features(index.sections)
+    feats = feats.withColumn("folder", parent)
+    own = feats.where(F.col("path").endswith("/overview") | F.contains(F.lower("page_title"), F.lit("overview"))).groupBy("folder").agg(F.min("section_id").alias("section_id"))
+    by_folder = two.join(own.withColumnRenamed("folder", "parent"), "parent").select("qid", "section_id", "top")
+    asked = groups.where(F.size("alternatives") > 0).groupBy("qid").agg(F.array_distinct(F.flatten(F.flatten(F.collect_list(F.col("alternatives.terms"))))).alias("asked"))
+    homes = feats.where("home and not vanilla and size(heading_terms) > 0").select(F.split_part("path", F.lit("/"), F.lit(1)).alias("project"), "section_id", "heading_terms")
+    rest = two.join(by_folder, "qid", "left_anti").withColumn("project", F.split_part("parent", F.lit("/"), F.lit(1))).join(asked, "qid").join(homes, "project").where(subset(F.col("heading_terms"), F.col("asked")))
+    by_home = rest.groupBy("qid", "top").agg(F.max_by("section_id", F.struct(F.size("heading_terms"), -F.col("section_id"))).alias("section_id")).select("qid", "section_id", "top")
+    found = by_folder.unionAll(by_home).join(feats.select("section_id", "path", "title_terms", "heading_terms"), "section_id").join(asked, "qid")
+    named = lambda c: (F.size(c) > 0) & subset(F.col(c), F.col("asked"))
+    found = found.join(scored.select("qid", "section_id", "matched"), ["qid", "section_id"], "left")
+    front = found.select(
+        "qid", "section_id", "path", F.round(F.col("top") + 0.01, 4).alias("score"), F.coalesce("matched", F.lit(0)).cast("long").alias("matched"), (named("title_terms") | named("heading_terms")).alias("title_match"),
+        named("title_terms").alias("titled"), F.lit(True).alias("hinted"), F.lit(False).alias("of_project"), F.lit(0).cast("long").alias("rank"),
+    )
+    others = ranked.join(front.select("qid", "path"), ["qid", "path"], "left_anti")
+    order = Window.partitionBy("qid").orderBy("rank")
+    return front.unionByName(others.select(*front.columns)).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= limit)
+
+
+def find(
+    index: Index, queries: DataFrame, synonyms: DataFrame, names: DataFrame | None = None, limit: int = LIMIT, min_score: float = MIN_SCORE,
+    interests: DataFrame | None = None, guesses: bool = True, priors: DataFrame | None = None, hints: DataFrame | None = None, groups: DataFrame | None = None,
+) -> DataFrame:
+    """``qid, rank, section_id, path, score, matched, title_match`` and more; ``groups`` are those of ``analyze``, if they are there already."""
+    groups = analyze(index, queries, synonyms, names, guesses) if groups is None else groups
+    scored = kept(page_bests(score(index, queries, groups, interests, priors, hints), 0.0), "scored")
+    ranked = kept(cut(scored.where(F.col("score") >= min_score), limit), "ranked")
+    return with_overview(ranked, scored, index, queries, groups, limit)
+
+
+def outcomes(queries: DataFrame, groups: DataFrame, results: DataFrame) -> DataFrame:
+    """``qid, confidence, uncertain, corrected`` of each query: the best score, whether a word was only guessed or unknown, and whether one was corrected."""
+    of = groups.groupBy("qid").agg(F.max(~F.col("exact")).alias("uncertain"), F.max(F.col("correction").isNotNull()).alias("corrected"))
+    best = results.groupBy("qid").agg(F.max("score").alias("confidence"))
+    out = queries.select("qid").join(best, "qid", "left").join(of, "qid", "left")
+    no = F.lit(False)
+    return out.select("qid", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("uncertain", no).alias("uncertain"), (F.coalesce("corrected", no) & F.col("confidence").isNotNull()).alias("corrected"))
 
 
 def cosine_scores(queries: DataFrame, vectors: DataFrame) -> DataFrame:

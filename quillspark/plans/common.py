@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.operators.index import Index
+from quillspark.operators.store import shared_index
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -40,38 +42,53 @@ def text_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as sections: the source is the project, the first two words the title, the third the heading."""
-    ws = F.split(F.trim("text"), r"\s+")
+    """Documents as sections of pages: the source is the project, with a folder for each language; some are the project's home, a folder's overview or changes.
+
+    The first two words are the title, the third the heading.
+    """
+    ws, d = F.split(F.trim("text"), r"\s+"), F.col("doc_id")
+    page = F.when(d % 97 == 0, F.concat("lang", F.lit("/overview"))).when(d % 101 == 1, "home").when(d % 103 == 2, F.concat("lang", F.lit("/changelog_"), d.cast("string")))
     return spread(table(spark, sf_dir, "documents")).select(
-        F.col("doc_id").alias("section_id"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"),
+        d.alias("section_id"), F.concat_ws("/", "source", page.otherwise(F.concat_ws("/", "lang", d.cast("string")))).alias("path"),
         F.array_join(F.slice(ws, 1, 2), " ").alias("page_title"), F.coalesce(F.get(ws, F.lit(2)), F.lit("")).alias("heading"), "text", F.col("lang").alias("meta"),
     )
 
 
-SECTIONS_SQL = r"""sec AS (SELECT doc_id AS section_id, source || '/' || doc_id AS path, array_to_string(ws[1:2], ' ') AS page_title, coalesce(ws[3], '') AS heading, text, lang AS meta
-  FROM (SELECT *, regexp_split_to_array(trim(text), '\s+') AS ws FROM documents))"""
+SECTIONS_SQL = r"""sec AS (SELECT doc_id AS section_id, source || '/' || CASE WHEN doc_id % 97 = 0 THEN lang || '/overview' WHEN doc_id % 101 = 1 THEN 'home' WHEN doc_id % 103 = 2 THEN lang || '/changelog_' || doc_id ELSE lang || '/' || doc_id END AS path,
+  array_to_string(ws[1:2], ' ') AS page_title, coalesce(ws[3], '') AS heading, text, lang AS meta FROM (SELECT *, regexp_split_to_array(trim(text), '\s+') AS ws FROM documents))"""
+
+
+def text_index(spark: SparkSession, sf_dir: str) -> Index:
+    """The stored index of the documents' texts, which the first search builds."""
+    return shared_index(text_sections(spark, sf_dir), "texts")
+
+
+def section_index(spark: SparkSession, sf_dir: str) -> Index:
+    """The same of the documents as sections of pages."""
+    return shared_index(sections(spark, sf_dir), "sections")
 
 
-def questions(spark: SparkSession, sf_dir: str, words: int | None = 8) -> DataFrame:
-    """The first words of each benchmark item as a question, or all of them."""
-    if words is None:
-        return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.array_join(F.slice(F.split("text", " "), 1, words), " ").alias("query"))
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark's items as questions."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
 
 
-def questions_sql(words: int = 8) -> str:
-    return f"q AS (SELECT item_id AS qid, array_to_string(string_split(text, ' ')[1:{words}], ' ') AS query FROM benchmark)"
+QUESTIONS_SQL = "q AS (SELECT item_id AS qid, text AS query FROM benchmark)"
 
 
-def title_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every fiftieth document's first five words and its source as a question."""
-    ws = F.split(F.trim("text"), r"\s+")
-    docs = table(spark, sf_dir, "documents").where("doc_id % 50 = 0")
-    return docs.select(F.col("doc_id").alias("qid"), F.concat_ws(" ", F.array_join(F.slice(ws, 1, 5), " "), "source").alias("query"))
+def all_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark's items, and of every hundredth document two more: its title, heading and project (every second title mistyped), and one for a list."""
+    s = sections(spark, sf_dir).where("section_id % 100 = 0")
+    title, n, project = F.col("page_title"), F.length("page_title"), F.split_part("path", F.lit("/"), F.lit(1))
+    mistyped = F.concat(F.substring(title, F.lit(1), n - 2), F.substring(title, n, F.lit(1)), F.substring(title, n - 1, F.lit(1)))
+    about = s.select((-1 - 2 * F.col("section_id")).alias("qid"), F.concat_ws(" ", F.when(F.col("section_id") % 200 == 0, mistyped).otherwise(title), "heading", project).alias("query"))
+    lists = s.select((-2 - 2 * F.col("section_id")).alias("qid"), F.concat(F.lit("which "), F.split_part(title, F.lit(" "), F.lit(1)), F.lit(" are there in "), project, F.lit(" "), "meta").alias("query"))
+    return about.unionAll(lists).unionAll(questions(spark, sf_dir))
 
 
-TITLE_QUESTIONS_SQL = r"""q AS (SELECT doc_id AS qid, array_to_string(ws[1:5], ' ') || ' ' || source AS query
-  FROM (SELECT *, regexp_split_to_array(trim(text), '\s+') AS ws FROM documents WHERE doc_id % 50 = 0))"""
+ALL_QUESTIONS_SQL = r"""q AS (SELECT item_id AS qid, text AS query FROM benchmark
+  UNION ALL SELECT -1 - 2 * section_id, CASE WHEN section_id % 200 = 0 THEN left(page_title, len(page_title) - 2) || right(page_title, 1) || substr(page_title, len(page_title) - 1, 1) ELSE page_title END || ' ' || heading || ' ' || split_part(path, '/', 1) FROM sec WHERE section_id % 100 = 0
+  UNION ALL SELECT -2 - 2 * section_id, 'which ' || split_part(page_title, ' ', 1) || ' are there in ' || split_part(path, '/', 1) || ' ' || meta FROM sec WHERE section_id % 100 = 0)"""
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,8 +4,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import formats as X, text as T
-from quillspark.operators import answers, blend, index as I, palette as P, search as S, settings
-from quillspark.plans.common import BM25_SQL, QTERMS_SQL, index_sql, query, questions, questions_sql, spread, table, text_sections
+from quillspark.operators import answers, blend, palette as P, search as S, settings
+from quillspark.plans.common import BM25_SQL, QTERMS_SQL, QUESTIONS_SQL, index_sql, query, questions, spread, table, text_index, text_sections
 from quillspark.plans.reports import _RGB
 from quillspark.sources import html
 
@@ -45,7 +45,7 @@ def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    rf"""WITH {index_sql()}, {questions_sql(8)}, {QTERMS_SQL},
+    rf"""WITH {index_sql()}, {QUESTIONS_SQL}, {QTERMS_SQL},
 s AS (SELECT qid, p.section_id, round(sum({BM25_SQL}), 4) AS score FROM qt JOIN p USING (term) JOIN t USING (term) JOIN l ON l.section_id = p.section_id, c GROUP BY qid, p.section_id),
 r AS (SELECT qid, section_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, section_id DESC) - 1 AS rank FROM s QUALIFY rank < 2),
 qi AS (SELECT DISTINCT qid, term, coalesce(idf, 1) AS idf FROM qt LEFT JOIN t USING (term)), ne AS (SELECT qid, sum(idf) * 0.5::DOUBLE AS needed FROM qi GROUP BY qid),
@@ -61,16 +61,16 @@ SELECT qid, answer, score FROM sc WHERE score > 0 QUALIFY row_number() OVER (PAR
 )
 def answer_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     sec, q = text_sections(spark, sf_dir), questions(spark, sf_dir)
-    ix = I.build(sec)
+    ix = text_index(spark, sf_dir)
     return answers.answer_lines(q, S.plain_search(ix, q), sec, ix.terms)
 
 
 @query()
 def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Excerpts are greedy over each text's words; tested against a plain version on small texts."""
-    sec, q = text_sections(spark, sf_dir), questions(spark, sf_dir, None)
+    sec, q = text_sections(spark, sf_dir), questions(spark, sf_dir)
     asked = S.query_terms(q).groupBy("qid").agg(F.collect_set("term").alias("terms"))
-    return answers.excerpts(S.plain_search(I.build(sec), q), sec, asked)
+    return answers.excerpts(S.plain_search(text_index(spark, sf_dir), q), sec, asked)
 
 
 def _side(lang: str) -> str:
@@ -123,7 +123,7 @@ _NAMES = "nm AS (SELECT DISTINCT array_to_string(string_split(text, ' ')[1:2], '
 
 
 @query(
-    f"""WITH {questions_sql(12)}, {_NAMES}, nt AS (SELECT DISTINCT name, term FROM ({T.sql_terms('nm', 'name', 'name')})), z AS (SELECT name, count(*) AS n FROM nt GROUP BY name HAVING count(*) > 1 OR len(name) >= 4),
+    f"""WITH {QUESTIONS_SQL}, {_NAMES}, nt AS (SELECT DISTINCT name, term FROM ({T.sql_terms('nm', 'name', 'name')})), z AS (SELECT name, count(*) AS n FROM nt GROUP BY name HAVING count(*) > 1 OR len(name) >= 4),
 qt AS (SELECT DISTINCT qid, term FROM ({T.sql_terms('q', 'qid', 'query')})), h AS (SELECT qid, name, count(*) AS m FROM qt JOIN nt USING (term) GROUP BY ALL)
 SELECT qid, name FROM h JOIN z USING (name) WHERE m = n QUALIFY row_number() OVER (PARTITION BY qid ORDER BY n DESC, len(name), name) = 1"""
 )
@@ -131,7 +131,7 @@ def named_things(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = F.split("text", " ")
     docs = table(spark, sf_dir, "documents")
     names = docs.select(F.array_join(F.slice(ws, 1, 2), " ").alias("name")).union(docs.select(F.get(ws, F.lit(1)).alias("name"))).distinct()
-    return blend.named_thing(questions(spark, sf_dir, 12), names)
+    return blend.named_thing(questions(spark, sf_dir), names)
 
 
 SETTINGS = [
