@@ -274,27 +274,35 @@ def with_overview(ranked: DataFrame, scored: DataFrame, index: Index, queries: D
     homes = feats.where("home and not vanilla and size(heading_terms) > 0").select(F.split_part("path", F.lit("/"), F.lit(1)).alias("project"), "section_id", "heading_terms")
     rest = two.join(by_folder, "qid", "left_anti").withColumn("project", F.split_part("parent", F.lit("/"), F.lit(1))).join(asked, "qid").join(homes, "project").where(subset(F.col("heading_terms"), F.col("asked")))
     by_home = rest.groupBy("qid", "top").agg(F.max_by("section_id", F.struct(F.size("heading_terms"), -F.col("section_id"))).alias("section_id")).select("qid", "section_id", "top")
-    found = by_folder.unionAll(by_home).join(feats.select("section_id", "path", "title_terms", "heading_terms"), "section_id").join(asked, "qid")
+    hints = queries.select("qid", T.question_hints(F.col("query")).alias("hints"))
+    found = by_folder.unionAll(by_home).join(feats.select("section_id", "path", "title_terms", "heading_terms", "hint_targets", "project_terms"), "section_id").join(asked, "qid").join(hints, "qid")
     named = lambda c: (F.size(c) > 0) & subset(F.col(c), F.col("asked"))
     found = found.join(scored.select("qid", "section_id", "matched"), ["qid", "section_id"], "left")
     front = found.select(
         "qid", "section_id", "path", F.round(F.col("top") + 0.01, 4).alias("score"), F.coalesce("matched", F.lit(0)).cast("long").alias("matched"), (named("title_terms") | named("heading_terms")).alias("title_match"),
-        named("title_terms").alias("titled"), F.lit(True).alias("hinted"), F.lit(False).alias("of_project"), F.lit(0).cast("long").alias("rank"),
+        named("title_terms").alias("titled"), F.arrays_overlap("hint_targets", "hints").alias("hinted"),
+        ((F.size("project_terms") > 0) & subset(F.col("asked"), F.col("project_terms"))).alias("of_project"), F.lit(0).cast("long").alias("rank"),
     )
     others = ranked.join(front.select("qid", "path"), ["qid", "path"], "left_anti")
     order = Window.partitionBy("qid").orderBy("rank")
     return front.unionByName(others.select(*front.columns)).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= limit)
 
 
-def find(
+def find_all(
     index: Index, queries: DataFrame, synonyms: DataFrame, names: DataFrame | None = None, limit: int = LIMIT, min_score: float = MIN_SCORE,
-    interests: DataFrame | None = None, guesses: bool = True, priors: DataFrame | None = None, hints: DataFrame | None = None, groups: DataFrame | None = None,
-) -> DataFrame:
-    """``qid, rank, section_id, path, score, matched, title_match`` and more; ``groups`` are those of ``analyze``, if they are there already."""
-    groups = analyze(index, queries, synonyms, names, guesses) if groups is None else groups
+    interests: DataFrame | None = None, guesses: bool = True, priors: DataFrame | None = None, hints: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What ``find`` shows, the best section of every page with ``min_score``, and the groups of ``analyze``; all are written tables."""
+    groups = analyze(index, queries, synonyms, names, guesses)
     scored = kept(page_bests(score(index, queries, groups, interests, priors, hints), 0.0), "scored")
-    ranked = kept(cut(scored.where(F.col("score") >= min_score), limit), "ranked")
-    return with_overview(ranked, scored, index, queries, groups, limit)
+    bests = scored.where(F.col("score") >= min_score)
+    ranked = kept(cut(bests, limit), "ranked")
+    return kept(with_overview(ranked, scored, index, queries, groups, limit), "shown"), bests, groups
+
+
+def find(index: Index, queries: DataFrame, synonyms: DataFrame, names: DataFrame | None = None, **how) -> DataFrame:
+    """``qid, rank, section_id, path, score, matched, title_match`` and more: the best pages; ``how`` as in ``find_all``."""
+    return find_all(index, queries, synonyms, names, **how)[0]
 
 
 def outcomes(queries: DataFrame, groups: DataFrame, results: DataFrame) -> DataFrame:
@@ -306,27 +314,12 @@ def outcomes(queries: DataFrame, groups: DataFrame, results: DataFrame) -> DataF
     return out.select("qid", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("uncertain", no).alias("uncertain"), (F.coalesce("corrected", no) & F.col("confidence").isNotNull()).alias("corrected"))
 
 
-def cosine_scores(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """``qid, section_id, similarity`` of every query vector and section vector; the few queries go to the sections."""
-    dot = F.aggregate(F.zip_with("qv", "v", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    return vectors.crossJoin(F.broadcast(queries)).select("qid", "section_id", dot.alias("similarity"))
-
-
 def unit(v: Column) -> Column:
     """A vector of length 1; zero stays zero."""
     n = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     return F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n)).otherwise(F.transform(v, lambda x: x.cast("double")))
 
 
-def meaning_ranks(similar: DataFrame) -> DataFrame:
-    """``qid, path, section_id, similarity, place`` (from 0): the first pages among the most similar sections."""
-    w = Window.partitionBy("qid").orderBy(F.desc("similarity"), F.desc("section_id"))
-    near = similar.withColumn("n", F.row_number().over(w)).where((F.col("n") <= SEMANTIC_SECTIONS) & (F.col("similarity") >= SEMANTIC_MIN))
-    page = Window.partitionBy("qid", "path").orderBy("n")
-    one = near.withColumn("k", F.row_number().over(page)).where("k = 1")
-    return one.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy("n")) - 1).where(F.col("place") < SEMANTIC_CANDIDATES).select("qid", "path", "section_id", "similarity", "place")
-
-
 def fuse(keyword: DataFrame, kept: DataFrame, meaning: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Reciprocal rank fusion of ``keyword`` (qid, path, section_id, score) and ``meaning``; ``kept`` are the pages that keywords alone show.
 

@@ -155,12 +155,17 @@ def hybrid(ranked: DataFrame, bests: DataFrame, sections: DataFrame, index: Vect
     plain = ranked.select("qid", "rank", "section_id", "path", "score")
     if index is None or query_vectors is None:
         return plain
+    both = fused(ranked, bests, sections, index, query_vectors, limit)
+    asked = query_vectors.select("qid").join(keyword_sure(ranked), "qid", "left_anti")
+    return plain.join(asked, "qid", "left_anti").unionByName(both.select("qid", "rank", "section_id", "path", "score"))
+
+
+def fused(ranked: DataFrame, bests: DataFrame, sections: DataFrame, index: VectorIndex, query_vectors: DataFrame, limit: int = S.LIMIT) -> DataFrame:
+    """The same for the queries that keywords aren't sure of alone, with ``fused``, their reciprocal ranks."""
     open_ = kept(query_vectors.join(keyword_sure(ranked), "qid", "left_anti"), "open")
     near = index.nearest(open_, S.SEMANTIC_SECTIONS, S.SEMANTIC_MIN).join(sections.select("section_id", "path"), "section_id")
     pages = Window.partitionBy("qid", "path").orderBy("n")
     one = near.withColumn("k", F.row_number().over(pages)).where("k = 1")
     meaning = one.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy("n")) - 1).where(F.col("place") < S.SEMANTIC_CANDIDATES).select("qid", "path", "section_id", "similarity", "place")
-    meaning = kept(meaning, "meaning")
     asked = open_.select("qid")
-    fused = S.fuse(bests.join(asked, "qid", "left_semi"), ranked.join(asked, "qid", "left_semi"), meaning, limit)
-    return plain.join(asked, "qid", "left_anti").unionByName(fused.select("qid", "rank", "section_id", "path", "score"))
+    return S.fuse(bests.join(asked, "qid", "left_semi"), ranked.join(asked, "qid", "left_semi"), kept(meaning, "meaning"), limit)

@@ -73,52 +73,6 @@ def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.excerpts(S.plain_search(text_index(spark, sf_dir), q), sec, asked)
 
 
-def _side(lang: str) -> str:
-    return f"""SELECT item_id AS qid, doc_id AS section_id, round(30.0::DOUBLE / (1 + abs(doc_id - item_id * 7)), 4) AS score, doc_id % 3 = 0 AS title_match,
-  row_number() OVER (PARTITION BY item_id ORDER BY abs(doc_id - item_id * 7), doc_id) AS rank FROM benchmark JOIN documents ON abs(doc_id - item_id * 7) <= 12 AND lang = '{lang}' QUALIFY rank <= 3"""
-
-
-_BLEND_Q = "q AS (SELECT item_id AS qid, CASE WHEN item_id % 5 = 0 THEN 'vanilla ' ELSE '' END || left(text, 20) AS query FROM benchmark)"
-
-
-def blend_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = table(spark, sf_dir, "benchmark")
-    return b.select(F.col("item_id").alias("qid"), F.concat(F.when(F.col("item_id") % 5 == 0, "vanilla ").otherwise(""), F.substring("text", 1, 20)).alias("query"))
-
-
-def side(spark: SparkSession, sf_dir: str, lang: str) -> DataFrame:
-    """Results of one source, stood in for by ids near seven times the question's."""
-    near = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.explode(F.sequence(F.col("item_id") * 7 - 12, F.col("item_id") * 7 + 12)).alias("doc_id"))
-    rows = near.join(table(spark, sf_dir, "documents").where(F.col("lang") == lang).select("doc_id"), "doc_id")
-    away = F.abs(F.col("doc_id") - F.col("qid") * 7)
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(away, "doc_id")).cast("long")
-    return rows.select("qid", F.col("doc_id").alias("section_id"), F.round(30.0 / (1 + away), 4).alias("score"), (F.col("doc_id") % 3 == 0).alias("title_match"), rank.alias("rank")).where("rank <= 3")
-
-
-@query(
-    f"""WITH {_BLEND_Q}, a AS ({_side('en')}), b AS ({_side('fr')}),
-i AS (SELECT q.qid, regexp_matches(query, '\\b(vanilla|minecraft|mc|normal game|base game|default game)\\b', 'i') AS cue, a.qid IS NOT NULL AS aa, coalesce(a.title_match, false) AS att, b.qid IS NOT NULL AS ba, coalesce(b.title_match, false) AS bt
-  FROM q LEFT JOIN (SELECT * FROM a WHERE rank = 1) a USING (qid) LEFT JOIN (SELECT * FROM b WHERE rank = 1) b USING (qid)),
-j AS (SELECT qid, ba AND (NOT aa OR cue OR (bt AND NOT att)) AS bf, aa AND ba AS bo FROM i),
-u AS (SELECT *, 'a' AS source FROM a UNION ALL SELECT *, 'b' FROM b), v AS (SELECT u.*, (source = 'b') = bf AS leads, CASE WHEN bo THEN 2 ELSE 3 END AS head FROM u JOIN j USING (qid)),
-n AS (SELECT *, sum((leads AND rank <= head)::INT) OVER (PARTITION BY qid) AS nh FROM v), k AS (SELECT * FROM n WHERE CASE WHEN leads THEN rank <= head ELSE rank <= 3 - nh END)
-SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY leads DESC, rank) AS rank, source, section_id, score FROM k"""
-)
-def blend_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blend.combine(blend_questions(spark, sf_dir), side(spark, sf_dir, "en"), side(spark, sf_dir, "fr"))
-
-
-@query(
-    f"""WITH a AS ({_side('en')}), r AS (SELECT *, qid % 2 = 0 AS vanilla, qid % 3 = 0 AS uncertain, qid % 4 = 0 AS corrected FROM a WHERE rank = 1), s AS (SELECT *, score * CASE WHEN vanilla THEN 2 ELSE 1 END AS x, uncertain AND NOT vanilla AS doubt FROM r)
-SELECT qid, CASE WHEN x < 4 OR (doubt AND NOT corrected) THEN 'guess' WHEN NOT doubt AND (x >= 12 OR (title_match AND x >= 7)) THEN 'sure' ELSE 'maybe' END AS confidence, CASE WHEN score >= 8 AND NOT uncertain THEN 'check' ELSE 'search' END AS plan FROM s"""
-)
-def confidence_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = side(spark, sf_dir, "en").where("rank = 1")
-    flag = lambda n: F.col("qid") % n == 0
-    sure = blend.confidence(F.col("score"), flag(2), F.col("title_match"), flag(3), flag(4))
-    return rows.select("qid", sure.alias("confidence"), blend.plan(F.lit("a question"), F.col("score"), flag(3)).alias("plan"))
-
-
 _NAMES = "nm AS (SELECT DISTINCT array_to_string(string_split(text, ' ')[1:2], ' ') AS name FROM documents UNION SELECT DISTINCT string_split(text, ' ')[2] FROM documents)"
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import distance, text as T
-from quillspark.operators import index as I, search as S
+from quillspark.operators import index as I, search as S, vectors as V
 from quillspark.operators.index import sent
 from quillspark.plans.common import (
     ALL_QUESTIONS_SQL, BM25_SQL, MESSAGES_SQL, QTERMS_SQL, QUESTIONS_SQL, SECTIONS_SQL, all_questions, index_sql, messages, query, questions, section_index, sections, table, text_index, text_sections,
@@ -168,31 +168,49 @@ _SWAP = " OR ".join(
     f"(i + {o} >= 1 AND substr(guess, i + {o}, 2) = substr(un.term, i + 1, 1) || substr(un.term, i, 1) AND damerau_levenshtein(left(un.term, i - 1), left(guess, i + {o} - 1)) + damerau_levenshtein(substr(un.term, i + 2), substr(guess, i + {o} + 2)) <= 1)"
     for o in (-1, 0, 1)
 )
-#: The nearest word for terms ``un``, by edits and swaps of neighbours that nothing else touches; else one that goes on after it.
-GUESS_SQL = f"""v AS MATERIALIZED (SELECT term AS guess, df FROM t WHERE len(term) >= 4 AND NOT regexp_full_match(term, '[0-9]+')),
-cd AS (SELECT un.term, guess, df, damerau_levenshtein(un.term, guess) AS dl, levenshtein(un.term, guess) AS lv FROM un JOIN v ON abs(len(un.term) - len(guess)) <= {_LIMIT} AND damerau_levenshtein(un.term, guess) <= {_LIMIT} WHERE len(un.term) >= 4 AND NOT regexp_full_match(un.term, '[0-9]+')),
-ty AS (SELECT term, guess, dist FROM (SELECT *, CASE WHEN dl <= 1 THEN dl WHEN lv <= 2 OR len(list_filter(range(1, len(un.term)), lambda i: {_SWAP})) > 0 THEN 2 ELSE 3 END AS dist FROM cd AS un) un
-  WHERE dist <= {_LIMIT} QUALIFY row_number() OVER (PARTITION BY term ORDER BY dist, df DESC, guess) = 1),
-pf AS (SELECT un.term, guess FROM un JOIN v ON starts_with(guess, un.term) AND guess <> un.term WHERE len(un.term) >= 4 QUALIFY row_number() OVER (PARTITION BY un.term ORDER BY df DESC, guess) = 1)"""
-
-_ALTS_SQL = f"""{SYNONYMS_SQL}, st AS (SELECT w, pos AS spot, term AS s FROM ({T.sql_terms('syn', 'w', 'synonym')})),
-us AS (SELECT qid, qt.term, list(s ORDER BY spot) AS found FROM qt JOIN st ON st.w = qt.word WHERE s <> qt.term AND s IN (SELECT term FROM t) GROUP BY qid, qt.term),
-nt AS (SELECT DISTINCT term FROM ({T.sql_terms('(SELECT DISTINCT source FROM documents)', 'source', 'source')})),
-g AS (SELECT qt.qid, qt.pos, qt.word, qt.term, t.term IS NOT NULL AS known, us.found, nt.term IS NOT NULL AS name FROM qt LEFT JOIN t ON t.term = qt.term LEFT JOIN us ON us.qid = qt.qid AND us.term = qt.term LEFT JOIN nt ON nt.term = qt.term),
+
+
+def guess_sql(key: str = "", p: str = "") -> str:
+    """CTEs ty and pf: the nearest word of t for terms un, by edits and swaps of neighbours that nothing else touches; and one that goes on after it.
+
+    ``key``: a column (with a comma) that tells several corpora apart; ``p``: what all names start with.
+    """
+    same = f"AND un.{key.strip(', ')} = v.{key.strip(', ')}" if key else ""
+    return f"""{p}v AS MATERIALIZED (SELECT {key} term AS guess, df FROM {p}t WHERE len(term) >= 4 AND NOT regexp_full_match(term, '[0-9]+')),
+{p}cd AS (SELECT {'un.' + key if key else ''} un.term, guess, df, damerau_levenshtein(un.term, guess) AS dl, levenshtein(un.term, guess) AS lv FROM {p}un AS un JOIN {p}v AS v ON abs(len(un.term) - len(guess)) <= {_LIMIT} AND damerau_levenshtein(un.term, guess) <= {_LIMIT} {same} WHERE len(un.term) >= 4 AND NOT regexp_full_match(un.term, '[0-9]+')),
+{p}ty AS (SELECT {key} term, guess, dist FROM (SELECT *, CASE WHEN dl <= 1 THEN dl WHEN lv <= 2 OR len(list_filter(range(1, len(un.term)), lambda i: {_SWAP})) > 0 THEN 2 ELSE 3 END AS dist FROM {p}cd AS un) un
+  WHERE dist <= {_LIMIT} QUALIFY row_number() OVER (PARTITION BY {key} term ORDER BY dist, df DESC, guess) = 1),
+{p}pf AS (SELECT {'un.' + key if key else ''} un.term, guess FROM {p}un AS un JOIN {p}v AS v ON starts_with(guess, un.term) AND guess <> un.term {same} WHERE len(un.term) >= 4 QUALIFY row_number() OVER (PARTITION BY {'un.' + key if key else ''} un.term ORDER BY df DESC, guess) = 1)"""
+
+
+NAMES_SQL = f"nt AS (SELECT DISTINCT term FROM ({T.sql_terms('(SELECT DISTINCT source FROM documents)', 'source', 'source')}))"
+NO_NAMES_SQL = "nt AS (SELECT NULL::VARCHAR AS term WHERE false)"
+
+
+def alternatives_sql(synonyms_sql: str = SYNONYMS_SQL, names_sql: str = NAMES_SQL, key: str = "") -> str:
+    """CTEs gg and al: what each word of the questions qt may stand for; with ``key`` ("qid,") in a corpus of each question's own."""
+    own = "AND t.qid = qt.qid" if key else ""
+    also = lambda x: f"AND {x}.qid = g1.qid" if key else ""
+    return f"""{synonyms_sql}, st AS (SELECT w, pos AS spot, term AS s FROM ({T.sql_terms('syn', 'w', 'synonym')})),
+us AS (SELECT qt.qid, qt.term, list(s ORDER BY spot) AS found FROM qt JOIN st ON st.w = qt.word JOIN t ON t.term = s {own} WHERE s <> qt.term GROUP BY qt.qid, qt.term),
+{names_sql},
+g AS (SELECT qt.qid, qt.pos, qt.word, qt.term, t.term IS NOT NULL AS known, us.found, nt.term IS NOT NULL AS name FROM qt LEFT JOIN t ON t.term = qt.term {own} LEFT JOIN us ON us.qid = qt.qid AND us.term = qt.term LEFT JOIN nt ON nt.term = qt.term),
 g1 AS MATERIALIZED (SELECT *, known OR found IS NOT NULL AS exact FROM g WHERE known OR found IS NOT NULL OR name OR NOT (word IN ({T.sql_list(S.WHAT_TYPOS)})
   OR (len(word) >= 4 AND ({' OR '.join(f"damerau_levenshtein(word, '{x}') <= 1" for x in S.QUESTION_WORDS)})))),
-un AS MATERIALIZED (SELECT DISTINCT term FROM g1 WHERE NOT exact), {GUESS_SQL},
-g2 AS (SELECT g1.*, coalesce(ty.guess, pf.guess) AS maybe, CASE WHEN ty.guess IS NOT NULL THEN 0.7::DOUBLE ELSE 0.5::DOUBLE END AS gw FROM g1 LEFT JOIN ty ON ty.term = g1.term LEFT JOIN pf ON pf.term = g1.term),
+un AS MATERIALIZED (SELECT DISTINCT {key} term FROM g1 WHERE NOT exact), {guess_sql(key)},
+g2 AS (SELECT g1.*, coalesce(ty.guess, pf.guess) AS maybe, CASE WHEN ty.guess IS NOT NULL THEN 0.7::DOUBLE ELSE 0.5::DOUBLE END AS gw FROM g1 LEFT JOIN ty ON ty.term = g1.term {also('ty')} LEFT JOIN pf ON pf.term = g1.term {also('pf')}),
 gg AS (SELECT *, CASE WHEN NOT exact AND (NOT name OR starts_with(maybe, term) OR starts_with(term, maybe)) THEN maybe END AS guess FROM g2),
 al AS (SELECT qid, pos, 0 AS alt, term, 1.0::DOUBLE AS weight FROM gg WHERE known
   UNION ALL SELECT qid, pos, 1, unnest(found), CASE WHEN known THEN 0.6::DOUBLE ELSE 0.9::DOUBLE END FROM gg WHERE found IS NOT NULL
   UNION ALL SELECT qid, pos, 2, guess, gw FROM gg WHERE guess IS NOT NULL)"""
+
+
 #: Terms with their frequencies, from each document's distinct words.
 _TERMS_SQL = f"t AS MATERIALIZED (SELECT term, count(*) AS df FROM (SELECT DISTINCT section_id, term FROM ({T.sql_terms('(SELECT section_id, unnest([text, page_title, heading, path, meta]) AS v FROM sec)', 'section_id', 'v')})) GROUP BY term)"
 
 
 @query(
-    f"""WITH {SECTIONS_SQL}, {_TERMS_SQL}, {ALL_QUESTIONS_SQL}, {QTERMS_SQL}, {_ALTS_SQL}
+    f"""WITH {SECTIONS_SQL}, {_TERMS_SQL}, {ALL_QUESTIONS_SQL}, {QTERMS_SQL}, {alternatives_sql()}
 SELECT qid, pos, word, term, exact, (known::INT + (found IS NOT NULL)::INT + (guess IS NOT NULL)::INT)::BIGINT AS n_alternatives, coalesce(array_to_string(found, ' '), '') AS synonym, coalesce(guess, '') AS correction FROM gg"""
 )
 def query_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,44 +227,56 @@ def _set_sql(name: str, column: str, stop: bool) -> str:
 
 
 _TECHNICAL = T.sql_stems(S.TECHNICAL_WORDS)
-FULL_SCORE_SQL = f"""{index_sql(True)}, {ALL_QUESTIONS_SQL}, {QTERMS_SQL}, {_ALTS_SQL},
-e AS (SELECT al.qid, al.pos, al.alt, p.section_id, any_value(al.weight) * sum({BM25_SQL}) AS s FROM al JOIN p USING (term) JOIN t USING (term) JOIN l ON l.section_id = p.section_id, c GROUP BY al.qid, al.pos, al.alt, p.section_id),
+def score_sql(keyed: bool = False, hints: str = "[]::VARCHAR[]", least: float = 2.0, limit: int = 3) -> str:
+    """CTEs up to fin (results of every question), from sec, p, l, bg, q, qt, gg, al and statistics t, bt, c.
+
+    ``keyed``: all statistics are by qid, and pool (qid, section_id) and prior (qid, path, prior) are there; sections are of the other wiki then.
+    """
+    vanilla = "true" if keyed else "false"
+    pool_p, own_t = ("JOIN pool ON pool.qid = al.qid AND pool.section_id = p.section_id", "AND t.qid = al.qid") if keyed else ("", "")
+    pool_b, own_b = ("JOIN pool ON pool.qid = pr.qid AND pool.section_id = bg.section_id", "AND bt.qid = pr.qid") if keyed else ("", "")
+    corpus = "JOIN c ON c.qid = al.qid" if keyed else ", c"
+    prior, prior_join = ("+ coalesce(prior.prior, 0)", "LEFT JOIN prior ON prior.qid = x.qid AND prior.path = x.path") if keyed else ("", "")
+    return f"""e AS (SELECT al.qid, al.pos, al.alt, p.section_id, any_value(al.weight) * sum({BM25_SQL}) AS s FROM al JOIN p USING (term) {pool_p} JOIN t ON t.term = al.term {own_t} JOIN l ON l.section_id = p.section_id {corpus} GROUP BY al.qid, al.pos, al.alt, p.section_id),
 b AS (SELECT qid, section_id, pos, max(s) AS s FROM e GROUP BY qid, section_id, pos HAVING max(s) > 0),
 wd AS (SELECT qid, section_id, sum(s) AS words, count(*) AS matched FROM b GROUP BY qid, section_id),
 inf AS (SELECT qid, count(DISTINCT pos) AS active, list_distinct(list(term)) AS asked FROM al GROUP BY qid),
-hi AS (SELECT qid, {_hints_sql("regexp_extract_all(" + T.sql_fold('query') + ", '[a-z]+')", T.sql_fold('query'))} AS hints FROM q),
+hi AS (SELECT qid, list_concat({_hints_sql("regexp_extract_all(" + T.sql_fold('query') + ", '[a-z]+')", T.sql_fold('query'))}, {hints}) AS hints FROM q),
 {_set_sql('tt', 'page_title', True)}, {_set_sql('ht', 'heading', True)}, {_set_sql('hh', 'heading', False)}, {_set_sql('th', 'page_title', False)},
 fo AS (SELECT section_id, list_distinct(list(term)) AS x FROM ({T.sql_terms('sec', 'section_id', "translate(split_part(path, '/', 1), '_', ' ')")}) GROUP BY section_id),
-fe AS (SELECT *, CASE WHEN home THEN list_distinct(list_concat(own_title, folder_terms)) ELSE own_title END AS title_terms, CASE WHEN home THEN list_concat(own_hints, [{_HINTS['l']}]) ELSE own_hints END AS hint_targets, CASE WHEN home THEN folder_terms ELSE [] END AS project_terms
+fe AS (SELECT *, CASE WHEN home THEN list_distinct(list_concat(own_title, folder_terms0)) ELSE own_title END AS title_terms, CASE WHEN home AND NOT {vanilla} THEN list_concat(own_hints, [{_HINTS['l']}]) ELSE own_hints END AS hint_targets, CASE WHEN home AND NOT {vanilla} THEN folder_terms ELSE [] END AS project_terms
   FROM (SELECT sec.*, path LIKE '%/home' OR lower(page_title) IN ({T.sql_list(S.GENERIC_TITLES)}) AS home, list_filter(coalesce(tt.x, []), lambda v: v NOT IN ({T.sql_list(S.GENERIC_TITLES)})) AS own_title, CASE WHEN heading <> page_title THEN coalesce(ht.x, []) ELSE [] END AS heading_terms,
-  list_concat(coalesce(hh.x, []), list_filter(coalesce(th.x, []), lambda v: v IN ({_HINTS['l']}))) AS own_hints, coalesce(fo.x, []) AS folder_terms
+  list_concat(coalesce(hh.x, []), list_filter(coalesce(th.x, []), lambda v: v IN ({_HINTS['l']}))) AS own_hints, coalesce(fo.x, []) AS folder_terms0, CASE WHEN {vanilla} THEN [] ELSE coalesce(fo.x, []) END AS folder_terms
   FROM sec LEFT JOIN tt USING (section_id) LEFT JOIN ht USING (section_id) LEFT JOIN hh USING (section_id) LEFT JOIN th USING (section_id) LEFT JOIN fo USING (section_id))),
 al0 AS (SELECT qid, pos, CASE WHEN known THEN term WHEN found IS NOT NULL THEN found[1] ELSE guess END AS front, CASE WHEN known THEN term WHEN found IS NOT NULL THEN found[-1] ELSE guess END AS back FROM gg WHERE exact OR guess IS NOT NULL),
 pr AS (SELECT qid, back AS one, lead(front) OVER (PARTITION BY qid ORDER BY pos) AS two FROM al0),
 allf AS (SELECT DISTINCT unnest(folder_terms) AS v FROM fe),
-pb AS (SELECT pr.qid, bg.section_id, sum(1.5::DOUBLE * bt.idf * bg.tf * 2.5::DOUBLE / (bg.tf + 1.5::DOUBLE)) AS pairs FROM pr JOIN bg ON bg.pair = pr.one || ' ' || pr.two JOIN bt ON bt.pair = bg.pair JOIN fe ON fe.section_id = bg.section_id
+pb AS (SELECT pr.qid, bg.section_id, sum(1.5::DOUBLE * bt.idf * bg.tf * 2.5::DOUBLE / (bg.tf + 1.5::DOUBLE)) AS pairs FROM pr JOIN bg ON bg.pair = pr.one || ' ' || pr.two {pool_b} JOIN bt ON bt.pair = bg.pair {own_b} JOIN fe ON fe.section_id = bg.section_id
   WHERE two IS NOT NULL AND (one NOT IN (SELECT v FROM allf) OR list_contains(folder_terms, one)) AND (two NOT IN (SELECT v FROM allf) OR list_contains(folder_terms, two)) GROUP BY pr.qid, bg.section_id),
 x AS (SELECT wd.qid, wd.section_id, fe.path, matched, len(title_terms) > 0 AND list_has_all(asked, title_terms) AS tm, len(heading_terms) > 0 AND list_has_all(asked, heading_terms) AS hm,
   len(project_terms) > 0 AND list_has_all(project_terms, asked) AS pm, list_has_any(folder_terms, asked) AS fm, list_has_any(hint_targets, hints) AS hint, (words + coalesce(pairs, 0)) * sqrt(matched::DOUBLE / active) AS base,
   (CASE WHEN NOT list_has_any(asked, [{T.sql_list(S.CHANGELOG_WORDS)}]) AND lower(path) LIKE '%changelog%' THEN 0.5::DOUBLE ELSE 1 END)
   * (CASE WHEN NOT list_has_any(asked, [{_TECHNICAL}]) AND lower(heading) IN ({T.sql_list(S.TECHNICAL_HEADINGS)}) THEN 0.4::DOUBLE ELSE 1 END) AS damp
   FROM wd JOIN inf USING (qid) JOIN hi USING (qid) JOIN fe ON fe.section_id = wd.section_id LEFT JOIN pb ON pb.qid = wd.qid AND pb.section_id = wd.section_id),
-sc AS (SELECT qid, section_id, path, matched, tm, hm, round((base + tm::INT * 2 + (tm AND fm)::INT * 2 + hm::INT * 1 + hint::INT * 2.5::DOUBLE + pm::INT * 3) * damp, 4) AS score FROM x),
+sc AS (SELECT x.qid, section_id, x.path, matched, tm, hm, hint, pm, round((base + tm::INT * 2 + (tm AND fm)::INT * 2 + hm::INT * 1 + hint::INT * 2.5::DOUBLE + pm::INT * 3) * damp {prior}, 4) AS score FROM x {prior_join}),
 pg AS MATERIALIZED (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY qid, path ORDER BY score DESC, section_id) = 1),
-rk AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, section_id DESC) AS rank FROM pg WHERE score >= 2),
-ct AS MATERIALIZED (SELECT * FROM rk WHERE rank <= 3 QUALIFY score >= max(score) OVER (PARTITION BY qid) * 0.35::DOUBLE),
+rk AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, section_id DESC) AS rank FROM pg WHERE score >= {least}),
+ct AS MATERIALIZED (SELECT * FROM rk WHERE rank <= {limit} QUALIFY score >= max(score) OVER (PARTITION BY qid) * 0.35::DOUBLE),
 tw AS (SELECT qid, any_value(parent) AS parent, max(score) AS top FROM (SELECT *, regexp_replace(path, '/[^/]*$', '') AS parent FROM ct WHERE rank <= 2) JOIN hi USING (qid)
   WHERE list_has_any(hints, [{_HINTS['l']}]) GROUP BY qid HAVING count(*) = 2 AND count(DISTINCT parent) = 1 AND NOT bool_or(tm AND rank = 1)),
 ow AS (SELECT regexp_replace(path, '/[^/]*$', '') AS parent, min(section_id) AS section_id FROM fe WHERE path LIKE '%/overview' OR contains(lower(page_title), 'overview') GROUP BY 1),
 bf AS (SELECT qid, section_id, top FROM tw JOIN ow USING (parent)),
-bh AS (SELECT qid, fe.section_id, top FROM tw JOIN inf USING (qid) JOIN fe ON fe.home AND split_part(fe.path, '/', 1) = split_part(tw.parent, '/', 1) AND len(heading_terms) > 0 AND list_has_all(asked, heading_terms)
+bh AS (SELECT qid, fe.section_id, top FROM tw JOIN inf USING (qid) JOIN fe ON fe.home AND NOT {vanilla} AND split_part(fe.path, '/', 1) = split_part(tw.parent, '/', 1) AND len(heading_terms) > 0 AND list_has_all(asked, heading_terms)
   WHERE qid NOT IN (SELECT qid FROM bf) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY len(heading_terms) DESC, fe.section_id) = 1),
-fr AS (SELECT o.qid, o.section_id, fe.path, round(top + 0.01::DOUBLE, 4) AS score, coalesce(pg.matched, 0) AS matched, (len(title_terms) > 0 AND list_has_all(asked, title_terms)) OR (len(heading_terms) > 0 AND list_has_all(asked, heading_terms)) AS title_match, 0 AS rank
-  FROM (SELECT * FROM bf UNION ALL SELECT * FROM bh) o JOIN fe USING (section_id) JOIN inf USING (qid) LEFT JOIN pg ON pg.qid = o.qid AND pg.section_id = o.section_id),
-ov AS (SELECT * FROM fr UNION ALL SELECT qid, section_id, path, score, matched, tm OR hm, rank FROM ct WHERE NOT EXISTS (SELECT 1 FROM fr WHERE fr.qid = ct.qid AND fr.path = ct.path)),
+fr AS (SELECT o.qid, o.section_id, fe.path, round(top + 0.01::DOUBLE, 4) AS score, coalesce(pg.matched, 0) AS matched, (len(title_terms) > 0 AND list_has_all(asked, title_terms)) OR (len(heading_terms) > 0 AND list_has_all(asked, heading_terms)) AS title_match, len(title_terms) > 0 AND list_has_all(asked, title_terms) AS tm, list_has_any(hint_targets, hints) AS hint, len(project_terms) > 0 AND list_has_all(project_terms, asked) AS pm, 0 AS rank
+  FROM (SELECT * FROM bf UNION ALL SELECT * FROM bh) o JOIN fe USING (section_id) JOIN inf USING (qid) JOIN hi USING (qid) LEFT JOIN pg ON pg.qid = o.qid AND pg.section_id = o.section_id),
+ov AS (SELECT * FROM fr UNION ALL SELECT qid, section_id, path, score, matched, tm OR hm, tm, hint, pm, rank FROM ct WHERE NOT EXISTS (SELECT 1 FROM fr WHERE fr.qid = ct.qid AND fr.path = ct.path)),
 fin AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY ov.rank) AS place FROM ov)"""
 
 
+FULL_SCORE_SQL = f"{index_sql(True)}, {ALL_QUESTIONS_SQL}, {QTERMS_SQL}, {alternatives_sql()},\n{score_sql()}"
+
+
 @query(f"WITH {FULL_SCORE_SQL} SELECT qid, place AS rank, section_id, score, matched, title_match FROM fin WHERE place <= 3")
 def full_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search as it runs by default: synonyms, guesses with protected names, pairs, coverage, bonuses, damping, cutoff and overview pages."""
@@ -264,7 +294,7 @@ def mutants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select(F.concat(F.substring("w", F.lit(1), n - 2), F.substring("w", n, F.lit(1)), F.substring("w", n - 1, F.lit(1))).alias("term")).distinct()
 
 
-@query(f"WITH {index_sql()}, {_MUTANTS}, un AS MATERIALIZED (SELECT term FROM mu WHERE term NOT IN (SELECT term FROM t)), {GUESS_SQL} SELECT term, guess, dist::INTEGER AS dist FROM ty")
+@query(f"WITH {index_sql()}, {_MUTANTS}, un AS MATERIALIZED (SELECT term FROM mu WHERE term NOT IN (SELECT term FROM t)), {guess_sql()} SELECT term, guess, dist::INTEGER AS dist FROM ty")
 def typo_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every length: one edit, two from eight letters."""
     terms = text_index(spark, sf_dir).terms
@@ -314,32 +344,6 @@ VECTORS_SQL = (
 
 @query(f"WITH {VECTORS_SQL} SELECT qid, section_id, round(similarity, 6) AS similarity, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, section_id DESC) AS rank FROM sim QUALIFY rank <= 10")
 def semantic_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sim = S.cosine_scores(query_vectors(spark, sf_dir), vectors(spark, sf_dir))
-    w = Window.partitionBy("qid").orderBy(F.desc("similarity"), F.desc("section_id"))
-    return sim.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 10").withColumn("similarity", F.round("similarity", 6))
-
-
-@query(
-    f"""WITH {VECTORS_SQL}, d AS (SELECT doc_id, 'p' || (doc_id // 2) AS path, source FROM documents),
-near AS (SELECT sim.*, d.path, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, section_id DESC) AS n FROM sim JOIN d ON d.doc_id = section_id),
-me AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY n) - 1 AS place FROM (SELECT * FROM near WHERE n <= 40 AND similarity >= 0.1 QUALIFY row_number() OVER (PARTITION BY qid, path ORDER BY n) = 1)),
-kw AS (SELECT qid, d.path, d.doc_id AS section_id, round(20.0::DOUBLE / (1 + abs(d.doc_id - qid)), 4) AS score FROM qs JOIN d ON abs(d.doc_id - qid) <= 6 AND (d.doc_id - qid) % 2 = 0),
-ks AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, section_id DESC) - 1 AS kp FROM kw),
-fu AS (SELECT coalesce(ks.qid, m.qid) AS qid, coalesce(ks.path, m.path) AS path, ks.section_id AS ksec, m.section_id AS msec, score, similarity, kp, m.place,
-  round(coalesce(1::DOUBLE / (10 + kp), 0) + coalesce(0.6::DOUBLE / (10 + m.place), 0), 9) AS fused FROM ks FULL JOIN (SELECT * FROM me WHERE place < 10) m ON m.qid = ks.qid AND m.path = ks.path),
-ou AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY fused DESC, path) AS rank FROM fu WHERE place IS NOT NULL OR kp < 3)
-SELECT qid, rank, path, coalesce(ksec, msec) AS section_id, round(coalesce(score, 9 * similarity), 4) AS score, fused FROM ou WHERE rank <= 3"""
-)
-def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keyword and meaning ranks fused; keywords are stood in for by the distance of ids, meaning counts from 0.1 here."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("p"), F.floor(F.col("doc_id") / 2).cast("string")).alias("path"))
-    qv = query_vectors(spark, sf_dir)
-    sim = S.cosine_scores(qv, vectors(spark, sf_dir)).join(docs.withColumnRenamed("doc_id", "section_id"), "section_id")
-    w = Window.partitionBy("qid").orderBy(F.desc("similarity"), F.desc("section_id"))
-    near = sim.withColumn("n", F.row_number().over(w)).where("n <= 40 and similarity >= 0.1")
-    one = near.withColumn("k", F.row_number().over(Window.partitionBy("qid", "path").orderBy("n"))).where("k = 1")
-    meaning = one.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy("n")) - 1).where("place < 10")
-    near_ids = qv.select("qid", F.explode(F.array(*[F.lit(i) for i in range(-6, 7, 2)])).alias("o")).select("qid", (F.col("qid") + F.col("o")).alias("doc_id"))
-    keyword = near_ids.join(docs, "doc_id").select("qid", "path", F.col("doc_id").alias("section_id"), F.round(20.0 / (1 + F.abs(F.col("doc_id") - F.col("qid"))), 4).alias("score"))
-    first = keyword.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), F.desc("section_id")))).where("n <= 3")
-    return S.fuse(keyword, first, meaning)
+    """The ten nearest vectors by the index of inverted lists, which loses none."""
+    near = V.VectorIndex.build(vectors(spark, sf_dir)).nearest(query_vectors(spark, sf_dir), 10)
+    return near.select("qid", "section_id", F.round("similarity", 6).alias("similarity"), F.col("n").cast("long").alias("rank"))
