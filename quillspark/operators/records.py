@@ -163,16 +163,3 @@ def accepted_texts(sections: DataFrame, key: str, text: str) -> DataFrame:
     plain = F.when((F.size(quoted) == 0) & (F.trim("line") != ""), F.trim("line"))
     ls = ls.withColumn("effect", F.last(plain, True).over(Window.partitionBy(key).orderBy("at")))
     return ls.select(key, F.coalesce("effect", F.lit("")).alias("effect"), F.explode(quoted).alias("accepted"))
-
-
-def named_rules(questions: DataFrame, rules: DataFrame, most: int = 2) -> DataFrame:
-    """``qid, rule``: rules all of whose words a question has; a question that names more than ``most`` gets none.
-
-    An equi-join on words, counted; ``questions`` (qid, query), ``rules`` (rule).
-    """
-    asked = T.terms(questions.select("qid", "query"), "query").select("qid", "term").distinct()
-    of = T.terms(rules.select("rule").distinct(), "rule").select("rule", "term").distinct()
-    sizes = of.groupBy("rule").agg(F.count("*").alias("size"))
-    hits = asked.join(of, "term").groupBy("qid", "rule").agg(F.count("*").alias("held")).join(sizes, "rule").where("held = size")
-    few = hits.groupBy("qid").agg(F.count("*").alias("n")).where(F.col("n") <= most)
-    return hits.join(few, "qid", "left_semi").select("qid", "rule")

@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.operators.store import kept
+
 from quillspark.functions import formats as X
 
 
@@ -108,12 +110,29 @@ def craftable(need: DataFrame, stock: DataFrame, recipe: str, item: str, needed:
 
 
 def flatten_settings(df: DataFrame, json: str, keep: list) -> DataFrame:
-    """A row for each key of a flat or nested JSON object (nested keys joined by dots); lists are skipped."""
-    flat = df.select(*keep, F.inline(F.expr(f"transform(map_entries(from_json({json}, 'map<string,string>')), e -> e)")))
-    nested = flat.where(F.col("value").startswith("{")).select("*", F.inline(F.expr("transform(map_entries(from_json(value, 'map<string,string>')), e -> struct(concat(key, '.', e.key) AS inner, e.value AS leaf))")))
-    plain = flat.where(~F.col("value").startswith("{") & ~F.col("value").startswith("["))
-    deep = nested.where(~F.col("leaf").startswith("[")).drop("key", "value").withColumnsRenamed({"inner": "key", "leaf": "value"})
-    return plain.unionByName(deep)
+    """A row (key, value) for each leaf of a JSON object, at any depth: the keys on the way joined by dots; lists are skipped, a null value is the text "null".
+
+    Each pass opens one level, so there are as many passes as the deepest object has levels, each over what is left.
+    """
+    opened = lambda c, start: F.expr(f"transform(map_entries(from_json({c}, 'map<string,string>')), e -> struct(concat({start}, e.key) AS key, coalesce(e.value, 'null') AS value))")
+    names = [f.name for f in df.select(*keep).schema.fields]
+    level = df.select(*keep, F.col(json).alias("_json")).select(*names, F.inline(opened("_json", "''")))
+    out = None
+    while True:
+        level = kept(level, "level")
+        leaves = level.where(~F.col("value").startswith("{") & ~F.col("value").startswith("["))
+        out = leaves if out is None else out.unionByName(leaves)
+        inner = level.where(F.col("value").startswith("{"))
+        if inner.isEmpty():
+            return out
+        level = inner.withColumn("_open", opened("value", "key || '.'")).drop("key", "value").select(*names, F.inline("_open"))
+
+
+def labelled_only(settings: DataFrame, source: list[str], labels: DataFrame) -> DataFrame:
+    """``settings`` with ``label`` by key (``labels``: key, label); a source that names any of its settings shows only those it names."""
+    out = settings.join(labels.select("key", "label"), "key", "left")
+    named = out.where("label is not null").select(*source).distinct().withColumn("_named", F.lit(True))
+    return out.join(named, source, "left").where("label is not null or _named is null").drop("_named")
 
 
 def family(name: Column, words: list[str]) -> Column:

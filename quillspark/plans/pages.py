@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import formats as X, text as T
-from quillspark.operators import answers, blend, palette as P, search as S, settings
+from quillspark.operators import answers, blend, palette as P, search as S
 from quillspark.plans.common import BM25_SQL, QTERMS_SQL, QUESTIONS_SQL, index_sql, query, questions, spread, table, text_index, text_sections
 from quillspark.plans.reports import _RGB
 from quillspark.sources import html
@@ -88,21 +88,6 @@ def named_things(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blend.named_thing(questions(spark, sf_dir), names)
 
 
-SETTINGS = [
-    (0, "Gentle Nights", "Gentle Nights › Sleep Share", "sleep share players", "50"), (1, "Gentle Nights", "Gentle Nights › Phantom Chance", "phantom spawnchance", "0.2"),
-    (2, "Keep Things", "Keep Things › Keep Inventory", "keep inventory", "true"), (3, "Keep Things", "Keep Things › Grave Duration (Minutes)", "grave duration", "30"),
-    (4, "Market Day", "Market Day › Listing Cost", "listing cost", "5"), (5, "Market Day", "Market Day › Stall Radius", "stall radius", "12"), (6, "Game Rules", "PvP", "pvp", "false"),
-]
-SETTING_QUESTIONS = ["is pvp on", "how long do graves last", "market day settings", "phantom chance", "how far is the stall", "where do parrots live", "keep inventory"]
-
-
-@query()
-def settings_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tiers of rules over a small catalogue; tested against expected labels."""
-    s = spark.createDataFrame(SETTINGS, "setting_id long, pack string, label string, key_words string, value string")
-    return settings.rank(s, spark.createDataFrame(list(enumerate(SETTING_QUESTIONS)), "qid long, query string"))
-
-
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as blocks: colors from their keys, families from their names."""
     k = F.col("p_partkey")

@@ -347,15 +347,3 @@ def accepted_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as sections: a kind, a blank line, and its name and brand in quotes."""
     text = F.concat(F.lit("Accepted Texts\n"), "p_type", F.lit('\n\n"'), "p_name", F.lit('"\n or "'), "p_brand", F.lit('"\nThe end'))
     return R.accepted_texts(table(spark, sf_dir, "part").withColumn("text", text), "p_partkey", "text")
-
-
-@query(
-    f"""WITH q AS (SELECT item_id AS qid, text AS query FROM benchmark), ru AS (SELECT DISTINCT array_to_string(string_split(text, ' ')[1:2], ' ') AS rule FROM documents),
-a AS (SELECT DISTINCT qid, term FROM ({T.sql_terms('q', 'qid', 'query')})), o AS (SELECT DISTINCT rule, term FROM ({T.sql_terms('ru', 'rule', 'rule')})), z AS (SELECT rule, count(*) AS n FROM o GROUP BY rule),
-h AS (SELECT qid, rule, count(*) AS m FROM a JOIN o USING (term) GROUP BY ALL)
-SELECT qid, rule FROM h JOIN z USING (rule) WHERE m = n QUALIFY count(*) OVER (PARTITION BY qid) <= 2"""
-)
-def named_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first two words of documents as rules, whole benchmark texts as questions."""
-    rules = table(spark, sf_dir, "documents").select(F.array_join(F.slice(F.split("text", " "), 1, 2), " ").alias("rule"))
-    return R.named_rules(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query")), rules)

@@ -246,10 +246,22 @@ def friendship_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("user_id", "chats", note("chats", [10, 25, 50, 100, 250, 500], 1000).alias("milestone"), note("days", [7, 30, 100, 365], 365).alias("anniversary"), often.alias("often"))
 
 
-@query("SELECT event_id, 'k' AS key, (props->>'k')::BIGINT AS value, event_type AS pack FROM events WHERE props->>'k' IS NOT NULL")
+_DEEP = """'{"pack":{"' || event_type || '":{"rule":{"inner":{"leaf":' || props || ',"list":[1,{"x":2}]},"kind":"' || event_type || '"},"note":"a.b"}},"flat":' || event_id || ',"empty":{}}'"""
+
+
+@query(
+    f"""WITH d AS (SELECT event_id, event_type AS pack, ({_DEEP})::JSON AS j FROM events),
+r AS (SELECT event_id, pack, substr(fullkey, 3) AS key, coalesce(atom ->> '$', 'null') AS value FROM d, json_tree(j) WHERE type NOT IN ('OBJECT', 'ARRAY') AND NOT contains(fullkey, '[')),
+n AS (SELECT r.*, CASE WHEN ends_with(key, '.k') OR ends_with(key, '.kind') THEN upper(pack) || ' ' || key END AS label FROM r WHERE pack IN ('view', 'click') UNION ALL SELECT r.*, NULL FROM r WHERE pack NOT IN ('view', 'click'))
+SELECT event_id, pack, key, value, coalesce(label, '') AS label FROM n WHERE label IS NOT NULL OR pack NOT IN ('view', 'click')"""
+)
 def settings_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nested settings as rows of pack, key and value."""
-    return R.flatten_settings(table(spark, sf_dir, "events"), "props", ["event_id", F.col("event_type").alias("pack")]).select("event_id", "key", F.col("value").cast("long").alias("value"), "pack")
+    """Objects six levels deep as rows; of the packs that label any setting only those that they label."""
+    e = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("pack"), F.expr(_DEEP).alias("j"))
+    flat = R.flatten_settings(e, "j", ["event_id", "pack"])
+    keys = flat.where(F.col("pack").isin("view", "click") & (F.col("key").endswith(".k") | F.col("key").endswith(".kind"))).select("pack", "key").distinct()
+    labels = keys.select("key", F.concat_ws(" ", F.upper("pack"), "key").alias("label"))
+    return R.labelled_only(flat, ["pack"], labels).select("event_id", "pack", "key", "value", F.coalesce("label", F.lit("")).alias("label"))
 
 
 @query(
