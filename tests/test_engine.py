@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from conftest import DATA
-from quillspark.operators import answers, index as I, palette as P, search as S, settings
+from quillspark.operators import answers, index as I, palette as P, reports, search as S, settings
 from quillspark.plans import QUERIES, SQL, pages
 from quillspark.sources import html
 from quillspark.streaming import stateful
@@ -70,13 +70,39 @@ def test_excerpts_of_whole_questions(spark, tmp_path):
     assert got == [(1, 7, "The **walrus** sleeps.")]
 
 
+SETTINGS = [
+    (0, "Gentle Nights", "Gentle Nights › Sleep Share", "sleep share players", "50"), (1, "Gentle Nights", "Gentle Nights › Phantom Chance", "phantom spawnchance", "0.2"),
+    (2, "Keep Things", "Keep Things › Keep Inventory", "keep inventory", "true"), (3, "Keep Things", "Keep Things › Grave Duration (Minutes)", "grave duration", "30"),
+    (4, "Market Day", "Market Day › Listing Cost", "listing cost", "5"), (5, "Market Day", "Market Day › Stall Radius", "stall radius", "12"), (6, "Game Rules", "PvP", "pvp", "false"),
+    (7, "Game Rules", "Keep Exp", "keepExp", "true"), (8, "Game Rules", "Spawn Mobs", "doMobSpawning", "true"), (9, "Game Rules", "Spawn Wardens", "spawnWardens", "true"), (10, "Game Rules", "Spawn Radius", "spawnRadius", "10"),
+]
+
+
 def test_settings(spark):
+    s = spark.createDataFrame(SETTINGS, "setting_id long, pack string, label string, key_words string, value string")
+    asked = ["is pvp on", "how long do graves last", "market day settings", "phantom chance", "how far is the stall", "where do parrots live", "keep inventory", "keep xp", "spawn", "do I keep my xp when I fight other players", None, ""]
+    q = spark.createDataFrame(list(enumerate(asked)), "qid long, query string")
     got = {}
-    for r in pages.settings_rank(spark, DATA).collect():
+    for r in settings.rank(s, q).collect():
         got.setdefault(r["qid"], {})[r["place"]] = r["label"]
     assert got[0][1] == "PvP" and got[1][1].endswith("Grave Duration (Minutes)") and len(got[2]) == 2 and got[4][1].endswith("Stall Radius") and 5 not in got and got[6][1].endswith("Keep Inventory")
     none = spark.createDataFrame([], "setting_id long, pack string, label string, key_words string, value string")
     assert settings.rank(none, spark.createDataFrame([(1, "is pvp on")], "qid long, query string")).isEmpty()
+    # A rule is named by the question's words, as asked or translated; "spawn" fits three and names none.
+    words = {"xp": "exp"}
+    rules = {(r["qid"], r["setting_id"]) for r in settings.named_rules(s, q, words, [(r"\bfight (other )?players\b", "pvp")]).collect()}
+    assert rules == {(0, 6), (7, 7)}
+    first = {r["qid"]: r["label"] for r in settings.search(s, q, words).where("place = 1").collect()}
+    assert first[0] == "PvP" and first[7] == "Keep Exp" and first[6].endswith("Keep Inventory")
+    assert settings.named_rules(none, q, words).isEmpty() and settings.search(none, q, words).isEmpty()
+
+
+def test_deep_settings(spark):
+    rows_ = [(1, '{"a":{"b":{"c":{"d":{"e":5}}}},"list":[1,{"x":2}],"s":"text","n":null,"o":{}}'), (2, "{}"), (3, None), (4, '{"f":true}')]
+    flat = reports.flatten_settings(spark.createDataFrame(rows_, "id long, j string"), "j", ["id"])
+    assert rows(flat) == [("1", "a.b.c.d.e", "5"), ("1", "n", "null"), ("1", "s", "text"), ("4", "f", "true")]
+    shown = reports.labelled_only(flat, ["id"], spark.createDataFrame([("s", "Some text")], "key string, label string"))
+    assert sorted((r["id"], r["key"], r["label"]) for r in shown.collect()) == [(1, "s", "Some text"), (4, "f", None)]
 
 
 def test_palette(spark):

@@ -128,6 +128,3 @@ def test_labels_and_texts(spark):
     texts = spark.createDataFrame([(1, 'Turns upside down\n\n"Dinner", "Grum"\n"Bone"\nRainbow\n"jeb"'), (2, '"alone"'), (3, None), (4, "")], "k long, t string")
     got = sorted((r["k"], r["effect"], r["accepted"]) for r in R.accepted_texts(texts, "k", "t").collect())
     assert got == [(1, "Rainbow", "jeb"), (1, "Turns upside down", "Bone"), (1, "Turns upside down", "Dinner"), (1, "Turns upside down", "Grum"), (2, "", "alone")]
-    q = spark.createDataFrame([(1, "is keep inventory on"), (2, "keep inventory, fire and mob loot"), (3, None)], "qid long, query string")
-    rules = spark.createDataFrame([("Keep Inventory",), ("Fire",), ("Mob Loot",), ("Mob Loot",), ("",), (None,)], "rule string")
-    assert [(r["qid"], r["rule"]) for r in R.named_rules(q, rules).collect()] == [(1, "Keep Inventory")]
