@@ -138,10 +138,10 @@ def only(index: Index, wanted: DataFrame, term: str = "term") -> tuple[DataFrame
         from quillspark.operators.store import bucket
 
         asked, at = asked.withColumn("bucket", bucket(term, index.buckets)), [*on, "bucket"]
-        tf = rows.join(sent(asked), at, "left_semi").drop("bucket")
+        tf = rows.join(asked, at, "left_semi").drop("bucket")  # asked terms are a written table, whose size Spark knows
         known = index.terms if term == "term" else index.pairs
-        return tf, known.join(sent(asked), at, "left_semi").drop("bucket")
-    tf = rows.join(sent(asked), on, "left_semi")
+        return tf, known.join(asked, at, "left_semi").drop("bucket")
+    tf = rows.join(asked, on, "left_semi")
     return tf, statistics(tf, index.corpus.select(*index.keys, "n"), on)
 
 

@@ -37,7 +37,7 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 def plain_search(index: Index, queries: DataFrame, limit: int = LIMIT, min_score: float = 0.0) -> DataFrame:
     """``qid, rank, section_id, score``: BM25 over exact terms; ties go to the larger section id."""
-    q = query_terms(queries).select("qid", "term")
+    q = kept(query_terms(queries).select("qid", "term"), "asked")
     score = weighed(index, q).groupBy("qid", "section_id").agg(F.sum("s").alias("score"))
     return top(score.where(F.col("score") >= min_score), limit)
 
@@ -46,7 +46,7 @@ def weighed(index: Index, asked: DataFrame) -> DataFrame:
     """The postings of the ``asked`` terms (qid, term and more) with ``s``, their BM25 weight."""
     on = [*index.keys, "term"]
     tf, stats = only(index, asked)
-    hits = tf.join(sent(asked), on).join(sent(stats.select(*on, "idf")), on).join(index.lengths, "section_id")
+    hits = tf.join(asked, on).join(sent(stats.select(*on, "idf")), on).join(index.lengths, "section_id")
     hits = beside(hits, index.corpus.select(*index.keys, "avg_len"), index.keys)
     return hits.withColumn("s", bm25(F.col("tf"), F.col("length"), F.col("avg_len"), F.col("idf")))
 
@@ -190,10 +190,11 @@ def score(index: Index, queries: DataFrame, groups: DataFrame, interests: DataFr
         of = queries.join(more, "qid", "left").select("qid", F.array_union(asked_hints, F.coalesce("more", F.array().cast("array<string>"))).alias("hints"))
     else:
         of = queries.select("qid", asked_hints.alias("hints"))
-    info = info.join(of, "qid")
-
+    about = lambda words: F.arrays_overlap("asked", words)
+    info = info.join(of, "qid").withColumns({"about_changes": about(F.array(*map(F.lit, CHANGELOG_WORDS))), "about_technique": about(T.stems(list(TECHNICAL_WORDS)))})
+    info = kept(info, "info")
     feats = (index.features if index.features is not None else features(index.sections)).withColumn("project_name", F.split_part("path", F.lit("/"), F.lit(1)))
-    rows = words.join(sent(info), "qid").join(feats, "section_id")
+    rows = words.join(info, "qid").join(feats, "section_id")
     if index.bigrams is not None:
         add = _pair_scores(index, active, feats)
         rows = rows.join(add, ["qid", "section_id"], "left")
@@ -206,15 +207,14 @@ def score(index: Index, queries: DataFrame, groups: DataFrame, interests: DataFr
     project = (F.size("project_terms") > 0) & subset(F.col("asked"), F.col("project_terms"))
     bonus = bonus + F.when(heading, HEADING_BONUS).otherwise(0.0) + F.when(hinted, HINT_BONUS).otherwise(0.0)
     bonus = bonus + F.when(project, PROJECT_BONUS).otherwise(0.0)
-    about = lambda words: F.arrays_overlap("asked", F.array(*map(F.lit, words)))
-    damp = F.when(~about(CHANGELOG_WORDS) & F.lower("path").contains("changelog"), CHANGELOG_FACTOR).otherwise(1.0)
-    damp = damp * F.when(~F.arrays_overlap("asked", T.stems(list(TECHNICAL_WORDS))) & F.lower("heading").isin(TECHNICAL_HEADINGS), TECHNICAL_FACTOR).otherwise(1.0)
+    damp = F.when(~F.col("about_changes") & F.lower("path").contains("changelog"), CHANGELOG_FACTOR).otherwise(1.0)
+    damp = damp * F.when(~F.col("about_technique") & F.lower("heading").isin(TECHNICAL_HEADINGS), TECHNICAL_FACTOR).otherwise(1.0)
     total = ((F.col("words") + F.coalesce("pairs", F.lit(0.0))) * F.sqrt(F.col("matched") / F.col("active")) + bonus) * damp
     if priors is not None:
-        rows = rows.join(sent(priors.select("qid", "path", "prior")), ["qid", "path"], "left")
+        rows = rows.join(priors.select("qid", "path", "prior"), ["qid", "path"], "left")
         total = total + F.coalesce("prior", F.lit(0.0))
     if interests is not None:
-        rows = rows.join(sent(interests.select("qid", F.col("project").alias("project_name"), "share")), ["qid", "project_name"], "left")
+        rows = rows.join(interests.select("qid", F.col("project").alias("project_name"), "share"), ["qid", "project_name"], "left")
         total = total + INTEREST_BONUS * F.coalesce("share", F.lit(0.0))
     return rows.select("qid", "section_id", "path", total.alias("score"), "matched", (title | heading).alias("title_match"), title.alias("titled"), hinted.alias("hinted"), project.alias("of_project"))
 
@@ -225,11 +225,11 @@ def _pair_scores(index: Index, active: DataFrame, feats: DataFrame) -> DataFrame
     order = Window.partitionBy("qid").orderBy("pos")
     last = F.element_at(F.col("alternatives")[0]["terms"], -1)
     follows = active.withColumn("second", F.lead(F.col("alternatives")[0]["terms"][0]).over(order)).where("second is not null")
-    asked = follows.select("qid", last.alias("first"), "second").withColumn("pair", F.concat_ws(" ", "first", "second"))
+    asked = kept(follows.select("qid", last.alias("first"), "second").withColumn("pair", F.concat_ws(" ", "first", "second")), "asked-pairs")
     tf, stats = only(index, asked, "pair")
     folders = feats.select(F.explode("folder_terms").alias("t")).distinct()
     named = asked.join(folders.select(F.col("t").alias("first"), F.lit(True).alias("f1")), "first", "left").join(folders.select(F.col("t").alias("second"), F.lit(True).alias("f2")), "second", "left")
-    found = tf.join(sent(named), on).join(sent(stats.select(*on, "idf")), on).join(feats.select("section_id", "folder_terms"), "section_id")
+    found = tf.join(kept(named, "named-pairs"), on).join(sent(stats.select(*on, "idf")), on).join(feats.select("section_id", "folder_terms"), "section_id")
     own = lambda flag, c: F.col(flag).isNull() | F.array_contains("folder_terms", F.col(c))
     found = found.where(own("f1", "first") & own("f2", "second"))
     return found.groupBy("qid", "section_id").agg(F.sum(BIGRAM_WEIGHT * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1)).alias("pairs"))
