@@ -73,13 +73,6 @@ def moving_speed(rows: DataFrame, key: str, order: list[str], place: str, sample
     return parts.withColumn("speed", F.coalesce(F.avg(F.when(F.col("step") <= jump, F.col("step"))).over(last), F.lit(0.0)))
 
 
-def nearest(people: DataFrame, places: DataFrame, same: Column, person: str, place: str) -> DataFrame:
-    """For each person (px, pz) the nearest place (x, z) of its group: an equi-join and one aggregation."""
-    dx, dz = F.col("x") - F.col("px"), F.col("z") - F.col("pz")
-    pairs = people.join(places, same).select(person, F.struct((dx * dx + dz * dz).alias("d2"), F.col(place), dx.alias("dx"), dz.alias("dz")).alias("p"))
-    return pairs.groupBy(person).agg(F.min("p").alias("p")).select(person, "p.*")
-
-
 def in_boxes(people: DataFrame, boxes: DataFrame, group: tuple[str, str], reach: int, cell: int = 32) -> DataFrame:
     """People (px, pz) in or within ``reach`` of boxes (x0, x1, z0, z1) of their group, with the distance to the edge."""
     at = lambda c: F.floor(c / cell).cast("int")

@@ -153,17 +153,6 @@ def people(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PP = "pe AS (SELECT c_custkey, c_nationkey, (c_custkey * 29 % 103)::INT AS px, (c_custkey * 41 % 89)::INT AS pz FROM customer)"
 
 
-@query(
-    f"""WITH pl AS (SELECT {_XY} FROM supplier), {_PP}, d AS (SELECT c_custkey, s_suppkey, (x - px) * (x - px) + (z - pz) * (z - pz) AS d2, x - px AS dx, z - pz AS dz FROM pe JOIN pl ON c_nationkey = s_nationkey),
-n AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY d2, s_suppkey) = 1)
-SELECT c_custkey, s_suppkey, d2, ['north', 'northeast', 'east', 'southeast', 'south', 'southwest', 'west', 'northwest'][(floor(((degrees(atan2(dx, -dz)) + 360) % 360) / 45 + 0.5)::INT % 8) + 1] AS direction FROM n"""
-)
-def nearest_in_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest place in the same dimension, and which way it is."""
-    near = R.nearest(people(spark, sf_dir), places(spark, sf_dir), F.col("c_nationkey") == F.col("s_nationkey"), "c_custkey", "s_suppkey")
-    return near.select("c_custkey", "s_suppkey", "d2", X.direction(F.col("dx").cast("double"), F.col("dz").cast("double")).alias("direction"))
-
-
 @query(
     f"""WITH pl AS (SELECT {_XY} FROM supplier), {_PP}, b AS (SELECT *, x - 10 AS x0, x + 10 AS x1, z - 10 AS z0, z + 10 AS z1 FROM pl)
 SELECT c_custkey, s_suppkey, px BETWEEN x0 AND x1 AND pz BETWEEN z0 AND z1 AS inside, greatest(0, x0 - px, px - x1) + greatest(0, z0 - pz, pz - z1) AS distance
