@@ -164,4 +164,4 @@ def steady_directions(rows: DataFrame, key: str, order: list[str], dx: str = "dx
     run = Window.partitionBy(key, "_run").orderBy(*order)
     bit = F.pmod(F.first("_fixed").over(run) + F.sum("_flip").over(run) - F.first("_flip").over(run), F.lit(2))
     name = F.element_at(F.array(*map(F.lit, X.DIRECTIONS)), (F.pmod(F.col("_low") + bit, F.lit(8)) + 1).cast("int"))
-    return rows.withColumn("direction", name).drop("_low", "_plain", "_between", "_fixed", "_flip", "_run")
+    return rows.withColumn("direction", F.when(F.col("_low").isNotNull(), name)).drop("_low", "_plain", "_between", "_fixed", "_flip", "_run")
