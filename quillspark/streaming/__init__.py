@@ -1,0 +1,7 @@
+"""State over time. What goes to executors is pickled by value, so they need no installed package."""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
