@@ -91,3 +91,35 @@ def test_stream_is_the_batch(rocks, tmp_path, name):
     assert told(got) == told(folds.fold_batch(df, "user_id", FOLDS[name])) and got.count() > 3
     kept = {r["key"]["user_id"] for r in rocks.read.format("statestore").option("stateVarName", "slots").load(str(tmp_path / "state")).select("key").collect()}
     assert kept <= {99} if FOLDS[name].life is not None else kept >= {0, 1, 2, 3}
+
+
+def test_learned_interests_by_a_plain_loop(spark):
+    """The registered query against interests kept as text between events."""
+    import pandas as pd
+
+    from conftest import DATA
+    from quillspark.plans import QUERIES
+
+    e = pd.read_parquet(f"{DATA}/events.parquet").sort_values(["user_id", "ts", "event_id"])
+    want, user, text, answered = set(), None, "", None
+    for r in e.itertuples():
+        if r.user_id != user:
+            user, text, answered = r.user_id, "", None
+        at, topic = r.ts.value // 1000 // 60, f"topic {r.event_id % 3}"
+        change = None
+        if r.event_type == "view":
+            change = (topic, 1)
+        elif r.event_type == "click":
+            answered = (at, topic)
+        elif answered and at - answered[0] < 300_000_000:
+            change = (answered[1], -1 if r.event_type == "error" else 1)
+        if change:
+            counts = {p.rsplit(":", 1)[0]: int(p.rsplit(":", 1)[1]) for p in text.split("|") if p}
+            counts[change[0]] = max(0, counts.get(change[0], 0) + change[1])
+            if max(counts.values()) > 20:
+                counts = {k: v // 2 for k, v in counts.items()}
+            top = sorted(((v, k) for k, v in counts.items() if v), reverse=True)[:3]
+            text = "|".join(f"{k}:{v}" for v, k in top)
+            want.add((r.user_id, r.event_id, text.replace("|", " ")))
+    got = [(r["user_id"], r["event_id"], r["interests"]) for r in QUERIES["learned_interests"](spark, DATA).collect()]
+    assert len(got) == len(want) and set(got) == want
