@@ -26,7 +26,7 @@ Rule = tuple[str, str, str]
 RULES: tuple[Rule, ...] = (
     ("com", "/en/", "block"),
     ("example.com", "/en/7", "allow"),
-    ("net", "/de/", "block"),
+    ("net", "/de/", "allow"),
     ("example.net", "/de/8", "block"),
     ("org", "/es/", "block"),
 )
