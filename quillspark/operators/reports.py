@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.operators.index import sent
 from quillspark.operators.store import kept
 
 from quillspark.functions import formats as X
@@ -78,7 +79,8 @@ def in_boxes(people: DataFrame, boxes: DataFrame, group: tuple[str, str], reach:
     at = lambda c: F.floor(c / cell).cast("int")
     span = lambda a, b: F.sequence(at(F.col(a) - reach), at(F.col(b) + reach))
     wide = boxes.withColumn("cx", F.explode(span("x0", "x1"))).withColumn("cz", F.explode(span("z0", "z1")))
-    own = people.withColumns({"cx": at(F.col("px")), "cz": at(F.col("pz"))})
+    own = people.repartition(people.sparkSession.sparkContext.defaultParallelism * 4).withColumns({"cx": at(F.col("px")), "cz": at(F.col("pz"))})
+    wide = sent(wide)  # with few groups and cells a shuffle by them would leave the pairs to few tasks
     pairs = own.join(wide, (own[group[0]] == wide[group[1]]) & (own["cx"] == wide["cx"]) & (own["cz"] == wide["cz"]))
     x, z = F.col("px"), F.col("pz")
     near = pairs.where(x.between(F.col("x0") - reach, F.col("x1") + reach) & z.between(F.col("z0") - reach, F.col("z1") + reach))
