@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import formats as X
+from quillspark.operators.index import sent
 from quillspark.operators.store import kept
 
 #: A side of a cell is this many sides of a cell of the next level.
@@ -76,17 +77,19 @@ def nearest(people: DataFrame, places: DataFrame, group: list[str], person: str,
 def held_names(texts: DataFrame, key: str, text: str, names: DataFrame) -> DataFrame:
     """``key, name``: the distinct names, of three letters or more, that a text holds anywhere, also within words.
 
-    Cuts of three to eight letters of a text meet the names' beginnings by an equi-join, so no text meets all names.
+    Cuts of three to eight letters of a text meet the names' beginnings by an equi-join. What begins so is then cut to each length
+    that a name with this beginning has, and meets the names whole: names that begin alike are not tried one after another.
     """
-    begins = names.where(F.length("name") >= SHORTEST).select("name").distinct().withColumn("cut", F.substring("name", 1, KEY))
+    whole_names = names.where(F.length("name") >= SHORTEST).select("name").distinct()
+    begins = whole_names.select(F.substring("name", 1, KEY).alias("cut"), F.length("name").alias("size")).distinct()
     size = F.length(text)
     starts = texts.where(size >= SHORTEST).select(key, text, F.explode(F.sequence(F.lit(1), size - SHORTEST + 1)).alias("at"))
     cuts = starts.withColumn("n", F.explode(F.sequence(F.lit(SHORTEST), F.least(F.lit(KEY), size - F.col("at") + 1))))
     cuts = cuts.withColumn("cut", F.substring(text, F.col("at"), F.col("n")))
-    whole = F.substring(text, F.col("at"), F.length("name")) == F.col("name")
     # a shorter cut is the beginning of a longer name, too: only the name's own length, or the longest cut, is its key
-    own = F.col("n") == F.least(F.lit(KEY), F.length("name"))
-    return cuts.join(begins, "cut").where(own & whole).select(key, "name").distinct()
+    own = F.col("n") == F.least(F.lit(KEY), F.col("size"))
+    found = cuts.join(sent(begins), "cut").where(own).select(key, F.substring(text, F.col("at"), F.col("size")).alias("name")).distinct()
+    return found.join(whole_names, "name", "left_semi").select(key, "name")
 
 
 def locate(people: DataFrame, places: DataFrame, person: str = "person", place: str = "place") -> DataFrame:

@@ -58,6 +58,16 @@ def test_held_names(spark):
     assert got == [(1, "cas"), (1, "castle"), (1, "castle gate"), (2, "cas"), (2, "castle"), (2, "les"), (5, "the very long name of a place")]
 
 
+def test_names_that_begin_alike(spark):
+    """A text that holds a beginning isn't tried with every name that begins so."""
+    n = spark.range(20_000).select(F.concat(F.lit("supplier#"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("name"))
+    t = spark.range(2_000).select(F.col("id").alias("k"), F.concat(F.lit("where is supplier#"), F.lpad((F.col("id") * 3).cast("string"), 6, "0"), F.lit("?")).alias("t"))
+    found = P.held_names(t, "k", "t", n)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and found.count() == 2_000
+    assert found.where(F.col("name") != F.concat(F.lit("supplier#"), F.lpad((F.col("k") * 3).cast("string"), 6, "0"))).isEmpty()
+
+
 PLACES = [
     (1, "Castle", "ann", "over", 10, 0), (2, "Castle Gate", "Ann", "under", 0, 10), (3, "Mill", "bob", "over", 100, 100), (4, "Farm", "bob", "over", -50, 0), (5, "ab", "cy", "end", 1, 1),
     (6, None, None, "over", 2, 2),
