@@ -146,10 +146,10 @@ def keyword_sure(ranked: DataFrame) -> DataFrame:
     return ranked.where((F.col("rank") == 1) & sure).select("qid")
 
 
-def hybrid(ranked: DataFrame, bests: DataFrame, sections: DataFrame, index: VectorIndex | None, query_vectors: DataFrame | None, limit: int = S.LIMIT) -> DataFrame:
+def hybrid(ranked: DataFrame, bests: S.Bests, sections: DataFrame, index: VectorIndex | None, query_vectors: DataFrame | None, limit: int = S.LIMIT) -> DataFrame:
     """``qid, rank, section_id, path, score``: keyword results, fused with those by meaning where keywords aren't sure.
 
-    ``ranked``: what ``search.find`` shows; ``bests``: the best section of every page (``search.page_bests``). Without vectors
+    ``ranked``: what ``search.find`` shows; ``bests``: the best sections of pages. Without vectors
     (no model, or none of the query's words known) the keywords' results stay.
     """
     plain = ranked.select("qid", "rank", "section_id", "path", "score")
@@ -160,7 +160,7 @@ def hybrid(ranked: DataFrame, bests: DataFrame, sections: DataFrame, index: Vect
     return plain.join(asked, "qid", "left_anti").unionByName(both.select("qid", "rank", "section_id", "path", "score"))
 
 
-def fused(ranked: DataFrame, bests: DataFrame, sections: DataFrame, index: VectorIndex, query_vectors: DataFrame, limit: int = S.LIMIT) -> DataFrame:
+def fused(ranked: DataFrame, bests: S.Bests, sections: DataFrame, index: VectorIndex, query_vectors: DataFrame, limit: int = S.LIMIT) -> DataFrame:
     """The same for the queries that keywords aren't sure of alone, with ``fused``, their reciprocal ranks."""
     open_ = kept(query_vectors.join(keyword_sure(ranked), "qid", "left_anti"), "open")
     near = index.nearest(open_, S.SEMANTIC_SECTIONS, S.SEMANTIC_MIN).join(sections.select("section_id", "path"), "section_id")
@@ -168,4 +168,7 @@ def fused(ranked: DataFrame, bests: DataFrame, sections: DataFrame, index: Vecto
     one = near.withColumn("k", F.row_number().over(pages)).where("k = 1")
     meaning = one.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy("n")) - 1).where(F.col("place") < S.SEMANTIC_CANDIDATES).select("qid", "path", "section_id", "similarity", "place")
     asked = open_.select("qid")
-    return S.fuse(bests.join(asked, "qid", "left_semi"), ranked.join(asked, "qid", "left_semi"), kept(meaning, "meaning"), limit)
+    meaning, shown = kept(meaning, "meaning"), ranked.join(asked, "qid", "left_semi")
+    # only these pages can come out, so only their places among all are wanted
+    keyword = bests.placed(meaning.select("qid", "path").unionAll(shown.select("qid", "path")).distinct())
+    return S.fuse(keyword, shown, meaning, limit)

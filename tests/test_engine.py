@@ -1,4 +1,5 @@
 import os
+import re
 
 import duckdb
 import pytest
@@ -200,3 +201,13 @@ def test_same_as_sql(spark, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_sums_of_a_search_need_no_exchange(spark):
+    """A question's postings are not dealt anew by question and section: they are many more than postings."""
+    docs = spark.createDataFrame([(i, f"stone word{i % 7} bridge{i % 3}") for i in range(60)], "section_id long, text string")
+    asked = spark.createDataFrame([(1, "stone bridge1"), (2, "word3")], "qid long, query string")
+    found = S.plain_search(I.build(docs), asked)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(qid#\d+L?, section_id#", plan)
+    assert {(r["qid"], r["section_id"]) for r in found.where("rank = 1").collect()} == {(1, 58), (2, 59)}
