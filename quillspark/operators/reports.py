@@ -33,8 +33,8 @@ def longest_name(questions: DataFrame, key: str, text: str, names: DataFrame) ->
         return questions.select(key, F.lit("").alias("name")).limit(0)
     ws = questions.select(key, F.split(F.col(text), " ").alias("ws")).withColumn("size", F.explode(F.array(*map(F.lit, sizes)))).where(F.size("ws") >= F.col("size"))
     at = ws.select(key, "ws", "size", F.explode(F.sequence(F.lit(1), F.size("ws") - F.col("size") + 1)).alias("at"))
-    held = at.select(key, F.array_join(F.slice("ws", F.col("at"), F.col("size")), " ").alias("form")).distinct()
-    found = held.join(forms, "form")
+    held = at.select(key, F.array_join(F.slice("ws", F.col("at"), F.col("size")), " ").alias("form"))
+    found = held.join(sent(forms), "form")  # where names are few, only the best name of each question is shuffled, none of its other words
     best = found.groupBy(key).agg(F.min(F.struct((-F.length("name")).alias("l"), F.col("name"))).alias("m"))
     return best.select(key, F.col("m.name").alias("name"))
 
