@@ -1,19 +1,25 @@
 """Search over a small corpus made for each question: the pages whose titles fit it, with frequencies of their own.
 
-All questions are searched in one plan. Candidate pages come from an index of titles; their sections are dealt to the
+All questions are searched in one plan. Titles are few words: the best of all titles that share a set of words are found once for
+each set, and a question meets these alone, so that questions beside titles are never made. Candidate pages come from an index of titles; their sections are dealt to the
 questions as pools, and lengths, document frequencies and guesses are counted by question (``index.of_pools``).
 """
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import distance, text as T, words as W
 from quillspark.operators import blend, index as I, search as S
+from quillspark.operators.index import sent
 from quillspark.operators.store import kept
 
 # Candidate pages, head start of the first two, lowest score, and the questions that a chapter on making or finding answers.
 CANDIDATES, PRIORS, MIN_SCORE = 3, [1.5, 0.75], 1.0
 HOW_TO = r"(?i)\b(make|craft|build|create|get|obtain|find|where|spawn)\b"
+#: Titles of up to so many terms, and questions of up to so many that titles have, meet by sets of them; others by each term.
+TITLE_TERMS, QUESTION_TERMS = 6, 12
 HOW_TO_HEADINGS = "creation crafting obtaining construction recipe building natural generation spawning location"
 
 
@@ -33,9 +39,14 @@ def title_candidates(queries: DataFrame, pages: DataFrame, most: int = CANDIDATE
     Questions that find none are asked once more with their words put right after the titles' own (the nearest by edits, else one
     that goes on after it). Equal scores: the shorter title, then the first.
     """
+    pages = kept(pages.select("page_id", "path", "title"), "articles")
     titles = titles or title_index(pages)
+    titles = replace(titles, terms=kept(titles.terms, "title-terms"))
     queries = kept(queries.select("qid", "query"), "questions")
-    first = kept(_by_title(titles, pages, queries, most), "titles")
+    weighted = kept(_weighted(titles, pages), "title-weights")
+    heads = kept(_heads(weighted, most), "heads")
+    by_title = lambda asked: _by_title(titles, weighted, heads, asked, most)
+    first = kept(by_title(queries), "titles")
     lost = queries.join(first.select("qid").distinct(), "qid", "left_anti")
     words = kept(S.query_terms(lost), "lost")
     if words.isEmpty():
@@ -44,15 +55,54 @@ def title_candidates(queries: DataFrame, pages: DataFrame, most: int = CANDIDATE
     longer = S.prefix_matches(words.join(near, "term", "left_anti"), titles.terms)
     right = words.join(near.unionAll(longer), "term", "left").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("guess", "word").alias("w")))).alias("ws"))
     again = right.select("qid", F.array_join("ws.w", " ").alias("query"))
-    return first.unionByName(_by_title(titles, pages, again, most))
+    return first.unionByName(by_title(again))
+
+
+def _weighted(titles: I.Index, pages: DataFrame) -> DataFrame:
+    """``page_id, path, title, ts``: each title's terms with their BM25 weight, sorted."""
+    rows = titles.postings.join(sent(titles.terms.select("term", "idf")), "term").join(titles.lengths, "section_id")
+    rows = I.beside(rows, titles.corpus.select("avg_len"), [])
+    s = I.bm25(F.col("tf"), F.col("length"), F.col("avg_len"), F.col("idf"))
+    ts = rows.groupBy(F.col("section_id").alias("page_id")).agg(F.array_sort(F.collect_list(F.struct("term", s.alias("s")))).alias("ts"))
+    return pages.join(ts, "page_id")
+
 
+def _sets(array: str, kind: str, most: int) -> Column:
+    """All sets of 1 to ``most`` of an array's items, in its order."""
+    longer = lambda sets, x: F.transform(F.filter(sets, lambda s: F.size(s) < most), lambda s: F.concat(s, F.array(x)))
+    none = F.array(F.array().cast(f"array<{kind}>"))
+    return F.filter(F.aggregate(array, none, lambda sets, x: F.concat(sets, longer(sets, x))), lambda s: F.size(s) > 0)
 
-def _by_title(titles: I.Index, pages: DataFrame, queries: DataFrame, most: int) -> DataFrame:
-    scored = S.weighed(titles, S.query_terms(queries).select("qid", "term")).groupBy("qid", "section_id").agg(F.round(F.sum("s"), 4).alias("score"))
-    rows = scored.join(pages.select(F.col("page_id").alias("section_id"), "path", "title"), "section_id")
-    order = Window.partitionBy("qid").orderBy(F.desc("score"), F.length("title"), "section_id")
-    rows = rows.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= most)
-    return rows.select("qid", "place", F.col("section_id").alias("page_id"), "path", "title")
+
+def _heads(weighted: DataFrame, most: int) -> DataFrame:
+    """``set, page_id, path, title, score``: of each set of words the best titles that have them all, by these words alone.
+
+    A title of a question's best is among the best of the very set of words that it shares with the question: what comes before
+    it there has these words too, so it comes before it in the question as well. Weights are above 0.
+    """
+    rows = weighted.where(F.size("ts") <= TITLE_TERMS).withColumn("s", F.explode(_sets("ts", "struct<term:string,s:double>", TITLE_TERMS)))
+    total = F.aggregate("s", F.lit(0.0), lambda n, t: n + t["s"])
+    rows = rows.select(F.array_join("s.term", " ").alias("set"), "page_id", "path", "title", F.round(total, 4).alias("score"))
+    order = Window.partitionBy("set").orderBy(F.desc("score"), F.length("title"), "page_id")
+    return rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).drop("nth")  # tasks cut before the exchange
+
+
+def _by_title(titles: I.Index, weighted: DataFrame, heads: DataFrame, queries: DataFrame, most: int) -> DataFrame:
+    known = S.query_terms(queries).select("qid", "term").join(titles.terms.select("term"), "term", "left_semi")
+    asked = kept(known.groupBy("qid").agg(F.array_sort(F.collect_set("term")).alias("ts")), "asked-titles")
+    few = F.size("ts") <= QUESTION_TERMS
+    sets = asked.where(few).select("qid", F.explode(_sets("ts", "string", TITLE_TERMS)).alias("s")).select("qid", F.array_join("s", " ").alias("set"))
+    shown = ["qid", "page_id", "path", "title"]
+    by_set = sets.join(heads, "set").select(*shown, "score")
+    each = lambda rows: rows.select("page_id", "path", "title", F.inline("ts"))
+    terms = lambda rows: rows.select("qid", F.explode("ts").alias("term"))
+    long = F.size("ts") > TITLE_TERMS
+    plain = each(weighted.where(long)).join(terms(asked), "term").unionByName(each(weighted.where(~long)).join(terms(asked.where(~few)), "term"))
+    by_term = plain.groupBy(*shown).agg(F.round(F.sum("s"), 4).alias("score"))
+    scored = by_set.unionByName(by_term).groupBy(*shown).agg(F.max("score").alias("score"))  # of a title's sets the whole one
+    order = Window.partitionBy("qid").orderBy(F.desc("score"), F.length("title"), "page_id")
+    rows = scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    return rows.select("qid", F.col("place").cast("long").alias("place"), "page_id", "path", "title")
 
 
 def similar(a: Column, b: Column) -> Column:
@@ -78,7 +128,7 @@ def _hints(queries: DataFrame) -> DataFrame:
 
 def _pools(candidates: DataFrame, sections: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``qid, section_id`` of the candidates' sections, and ``qid, path, prior``; pages without sections have no place among the priors."""
-    rows = candidates.join(sections.select("path", "section_id"), "path")
+    rows = kept(sections.select("path", "section_id").join(sent(candidates.select("qid", "path", "place"), I.ASKED_ROWS), "path"), "pool-rows")
     order = Window.partitionBy("qid").orderBy("place")
     paths = rows.groupBy("qid", "path").agg(F.min("place").alias("place")).withColumn("n", F.row_number().over(order))
     prior = F.when(F.col("n") <= len(PRIORS), F.element_at(F.array(*map(F.lit, PRIORS)), F.least(F.col("n"), F.lit(len(PRIORS))))).otherwise(0.0)
@@ -105,7 +155,7 @@ def live_search(questions: DataFrame, sections: DataFrame, pages: DataFrame, syn
     sections = sections.withColumn("vanilla", F.lit(True))
     pool, priors = _pools(use, sections)
     words = spark.createDataFrame(list(synonyms.items()), "word string, synonym string")
-    index = I.of_pools(sections, kept(pool, "pools"))
+    index = I.of_pools(sections, pool)
     asked = q.select("qid", "query")
     found = S.find(index, asked, words, limit=limit, min_score=MIN_SCORE, priors=kept(priors, "priors"), hints=_hints(q.select("qid", F.col("asked").alias("query"))))
     return found.join(open_.select("qid", F.col("titled").alias("names_page")), "qid").select("qid", "rank", "section_id", "path", "score", "matched", "title_match", F.col("names_page").alias("titled"))
@@ -124,7 +174,7 @@ def named_pages(questions: DataFrame, names: DataFrame, sections: DataFrame, pag
     page = things.withColumn("key", key("name")).join(exact, "key").select("qid", "name", "p.path", F.lit(1).cast("long").alias("place"))
     sections = sections.withColumn("vanilla", F.lit(True))
     pool, priors = _pools(page, sections)
-    pool, priors = kept(pool, "pools"), kept(priors, "priors")
+    priors = kept(priors, "priors")
     words = spark.createDataFrame(list(synonyms.items()), "word string, synonym string")
     index = I.of_pools(sections, pool)
     mine = kept(questions.join(page.select("qid", "name"), "qid"), "named")
