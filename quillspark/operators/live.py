@@ -127,12 +127,13 @@ def _hints(queries: DataFrame) -> DataFrame:
 
 
 def _pools(candidates: DataFrame, sections: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``qid, section_id`` of the candidates' sections, and ``qid, path, prior``; pages without sections have no place among the priors."""
-    rows = kept(sections.select("path", "section_id").join(sent(candidates.select("qid", "path", "place"), I.ASKED_ROWS), "path"), "pool-rows")
+    """``qid, path`` of the candidates that have sections, and ``qid, path, prior``; pages without sections have no place among the priors."""
+    there = sections.select("path").join(sent(candidates.select("path").distinct(), I.ASKED_ROWS), "path", "left_semi").distinct()
+    rows = kept(candidates.select("qid", "path", "place").join(there, "path"), "pool-pages")
     order = Window.partitionBy("qid").orderBy("place")
     paths = rows.groupBy("qid", "path").agg(F.min("place").alias("place")).withColumn("n", F.row_number().over(order))
     prior = F.when(F.col("n") <= len(PRIORS), F.element_at(F.array(*map(F.lit, PRIORS)), F.least(F.col("n"), F.lit(len(PRIORS))))).otherwise(0.0)
-    return rows.select("qid", "section_id"), paths.select("qid", "path", prior.alias("prior"))
+    return rows.select("qid", "path"), paths.select("qid", "path", prior.alias("prior"))
 
 
 def live_search(questions: DataFrame, sections: DataFrame, pages: DataFrame, synonyms: dict[str, str] = {}, limit: int = 2) -> DataFrame:
@@ -155,7 +156,7 @@ def live_search(questions: DataFrame, sections: DataFrame, pages: DataFrame, syn
     sections = sections.withColumn("vanilla", F.lit(True))
     pool, priors = _pools(use, sections)
     words = spark.createDataFrame(list(synonyms.items()), "word string, synonym string")
-    index = I.of_pools(sections, pool)
+    index = I.of_pools(sections, pool, by="path")
     asked = q.select("qid", "query")
     found = S.find(index, asked, words, limit=limit, min_score=MIN_SCORE, priors=kept(priors, "priors"), hints=_hints(q.select("qid", F.col("asked").alias("query"))))
     return found.join(open_.select("qid", F.col("titled").alias("names_page")), "qid").select("qid", "rank", "section_id", "path", "score", "matched", "title_match", F.col("names_page").alias("titled"))
@@ -176,7 +177,7 @@ def named_pages(questions: DataFrame, names: DataFrame, sections: DataFrame, pag
     pool, priors = _pools(page, sections)
     priors = kept(priors, "priors")
     words = spark.createDataFrame(list(synonyms.items()), "word string, synonym string")
-    index = I.of_pools(sections, pool)
+    index = I.of_pools(sections, pool, by="path")
     mine = kept(questions.join(page.select("qid", "name"), "qid"), "named")
     ask = lambda q: S.find(index, q, words, limit=1, min_score=0.0, priors=priors, hints=_hints(mine.select("qid", "query")))
     first = kept(ask(mine.select("qid", W.keywords(F.col("query"), synonyms, T.STOPWORDS).alias("query"))), "first")
